@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkreel.llm import decontam, jaccard
+from sparkreel.llm import decontam, jaccard, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,15 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with host, path, fitting rule and verdict of their URL."""
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op4_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the component that links of 4-word shingles at 0.85 put them in."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op4_count_vector_jaccard, op7_winnowing_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_url_model_ratio, op4_count_vector_jaccard, op7_winnowing_decontamination)}
 ORACLE_SQL = {"op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
