@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkreel.llm import decontam, jaccard, urls
+from sparkreel.llm import decontam, jaccard, search, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op1_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's five best inner products over the whole table."""
+    return search.top_k(_table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op3_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with host, path, fitting rule and verdict of their URL."""
     return urls.url_verdicts(_table(spark, sf_dir, "pages"))
@@ -27,5 +32,5 @@ def op4_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op3_url_model_ratio, op4_count_vector_jaccard, op7_winnowing_decontamination)}
-ORACLE_SQL = {"op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op7_winnowing_decontamination)}
+ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
