@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkreel.llm import decontam, jaccard, search, urls
+from sparkreel.llm import decontam, jaccard, search, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their sizes in bytes and tokens."""
+    import public_tokenizers
+
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the words that benchmark windows cover."""
     return decontam.report(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -32,5 +39,5 @@ def op4_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op7_winnowing_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op6_two_tier_token_counts, op7_winnowing_decontamination)}
 ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
