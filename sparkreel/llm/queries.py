@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkreel.llm import decontam, jaccard, search, tokens, urls
+from sparkreel.llm import decontam, jaccard, langid, pii, search, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the personal data in them."""
+    return pii.report(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op6_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their sizes in bytes and tokens."""
     import public_tokenizers
@@ -39,5 +44,10 @@ def op4_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op6_two_tier_token_counts, op7_winnowing_decontamination)}
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the language their words carry."""
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op10_crf_language_id)}
 ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
