@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkreel.llm import decontam, jaccard, langid, pii, search, tokens, urls
+from sparkreel.llm import decontam, html_text, jaccard, langid, lm, packing, pii, search, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,26 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op10_crf_language_id)}
+def op2_text_density_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their main text."""
+    return html_text.page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op8_variable_capacity_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' pieces with their bins, lengths in words and an end token."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.word_count(docs.text).alias("n_words")), "n_words")
+
+
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their log10 probabilities under unigrams and under the mixture."""
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over the whole corpus."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op2_text_density_pages, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op8_variable_capacity_packing, op9_deleted_interpolation, op10_crf_language_id, pipeline)}
 ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
