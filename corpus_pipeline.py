@@ -16,7 +16,7 @@ from sparkreel.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose words carry their commonest language with less mean probability is rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
