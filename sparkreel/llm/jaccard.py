@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm.common import chained, connected_components, forget, mix, slices, stored, utf8_buffers, word_hashes
 
-GROUPS, LEAF, MOST, SLICE = 64, 32, 4096, 1 << 20
+#: Least groups of a count vector (doubled until a group holds four shingles at most on average), points of a leaf,
+#: points of a block, bytes hashed at once, shingles of two leaves that are compared as one matrix.
+GROUPS, LEAF, MOST, SLICE, MATRIX = 64, 32, 4096, 1 << 20, 200_000
 _SKETCH = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, counts binary"
 
 
@@ -34,8 +36,36 @@ def shingle_sets(column: pa.Array, size: int):
             yield np.unique(whole[a : b - size + 1]) if b - a >= size else chained(hashes[a:b], b - a) if b > a else whole[:0]
 
 
+def levels(sizes: np.ndarray) -> np.ndarray:
+    """How often GROUPS is doubled for sets of these sizes; sizes of two sets that link are a level apart at most."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (4 * GROUPS)))).astype(np.int64)
+
+
 def group_counts(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    groups = GROUPS << int(levels(np.array([len(hashes)]))[0])
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def as_bytes(counts: np.ndarray) -> bytes:
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+class Points:
+    """Count vectors of sets; a vector is brought down a level by adding its halves."""
+
+    def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray]):
+        self.sizes, self.vectors, self.levels = sizes, vectors, levels(sizes)
+
+    @classmethod
+    def read(cls, sizes: np.ndarray, blobs: list[bytes]) -> "Points":
+        groups = (GROUPS << levels(sizes)).tolist()
+        return cls(sizes, [np.frombuffer(b, "u1" if len(b) == g else "<u4") for b, g in zip(blobs, groups, strict=True)])
+
+    def at(self, rows: np.ndarray, level: int) -> np.ndarray:
+        width, own = GROUPS << level, [self.vectors[r] for r in rows.tolist()]
+        if (self.levels[rows] == level).all():
+            return np.stack(own).astype(np.int32)
+        return np.stack([v.astype(np.int32).reshape(-1, width).sum(0) for v in own])
 
 
 def _sketcher(size: int, num: int, den: int):
@@ -47,7 +77,7 @@ def _sketcher(size: int, num: int, den: int):
                 keep = n - -(-num * n // den) + 1 if n else 0
                 m = mix(u)
                 fp = np.array([np.bitwise_xor.reduce(m), np.sum(m)], np.uint64).view(np.int64)
-                for to, x in zip(out, (doc, n, fp[0], fp[1], u[:keep].view(np.int64), group_counts(u).astype("<u4").tobytes()), strict=True):
+                for to, x in zip(out, (doc, n, fp[0], fp[1], u[:keep].view(np.int64), as_bytes(group_counts(u))), strict=True):
                     to.append(x)
             at = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out[4]])))
@@ -80,46 +110,77 @@ class Forest:
         return np.array([self.root(x) for x in which.tolist()])
 
 
-def rtree_leaves(points: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """Rows packed into leaves: tiles by set size, within a tile by the place of the largest count."""
-    if len(rows) <= LEAF:
-        return [rows] if len(rows) else []
-    rows = rows[np.argsort(sizes[rows], kind="stable")]
-    tile = LEAF * max(1, int(np.sqrt(len(rows) / LEAF)))
+def rtree_leaves(points: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Positions packed into leaves: tiles by set size, within a tile by the place of the largest count."""
+    order = np.argsort(sizes, kind="stable")
+    tile = LEAF * max(1, int(np.sqrt(len(order) / LEAF)))
     out = []
-    for i in range(0, len(rows), tile):
-        part = rows[i : i + tile]
+    for i in range(0, len(order), tile):
+        part = order[i : i + tile]
         part = part[np.argsort(points[part].argmax(1), kind="stable")]
         out += [part[j : j + LEAF] for j in range(0, len(part), LEAF)]
     return out
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int, forest: Forest):
-    """Pairs (i, j) of rows whose bound reaches the threshold, leaf by leaf; those already joined are left out.
+def _tree_against_tree(points: Points, left: np.ndarray, right: np.ndarray | None, level: int, num: int, den: int, forest: Forest):
+    """(rows, cols, which pairs) of leaves of left and right (None: of left with itself) at one level."""
+    if not len(left) or right is not None and not len(right):
+        return
+    tops_left = points.at(left, level)
+    tops_right, cols_all = (tops_left, left) if right is None else (points.at(right, level), right)
+    ours = rtree_leaves(tops_left, points.sizes[left])
+    theirs = ours if right is None else rtree_leaves(tops_right, points.sizes[right])
+    top_b, low_b = np.array([tops_right[x].max(0) for x in theirs]), np.array([points.sizes[cols_all[x]].min() for x in theirs])
+    for a, x in enumerate(ours):
+        rows, first = left[x], a if right is None else 0
+        fits = (num + den) * np.minimum(tops_left[x].max(0), top_b[first:]).sum(1) >= num * (points.sizes[rows].min() + low_b[first:])
+        for b in (np.flatnonzero(fits) + first).tolist():
+            y = theirs[b]
+            cols = cols_all[y]
+            apart = forest.roots(rows)[:, None] != forest.roots(cols)[None, :]
+            if right is None and a == b:
+                apart &= np.triu(np.ones_like(apart), 1)
+            apart &= den * np.minimum(points.sizes[rows][:, None], points.sizes[cols]) >= num * np.maximum(points.sizes[rows][:, None], points.sizes[cols])
+            some = np.flatnonzero(apart.any(1))
+            if len(some):
+                shared = np.minimum(tops_left[x[some]][:, None, :], tops_right[y][None, :, :]).sum(2)
+                apart[some] &= (num + den) * shared >= num * (points.sizes[rows[some]][:, None] + points.sizes[cols][None, :])
+                if apart.any():
+                    yield rows, cols, apart
+
+
+def rtree_pairs(points: Points, left: np.ndarray, right: np.ndarray | None, num: int, den: int, forest: Forest):
+    """Pairs whose bound reaches the threshold, as (rows, cols, matrix of pairs), leaf by leaf; those already joined are left out.
 
     Two sets of a and b shingles link if (num + den) * shared >= num * (a + b). A box keeps the largest
-    count of each group and the smallest size; box against box prunes, then point against point.
-    right None: pairs within left.
+    count of each group and the smallest size; box against box prunes, then point against point. Vectors
+    are compared at the lower of their two levels. right None: pairs within left.
     """
-    ours = rtree_leaves(points, sizes, left)
-    theirs = ours if right is None else rtree_leaves(points, sizes, right)
-    box = lambda leaves: (np.array([points[x].max(0) for x in leaves]), np.array([sizes[x].min() for x in leaves]))
-    if not ours or not theirs:
+    at = lambda rows, k: rows[points.levels[rows] == k]
+    for k in np.unique(points.levels[left if right is None else np.concatenate([left, right])]).tolist():
+        sides = [(at(left, k), None), (at(left, k), at(left, k + 1))] if right is None else [(at(left, k), at(right, k)), (at(left, k), at(right, k + 1)), (at(right, k), at(left, k + 1))]
+        for a, b in sides:
+            yield from _tree_against_tree(points, a, b, k, num, den, forest)
+
+
+def shared_shingles(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, which: np.ndarray):
+    """(i, j, shared shingles) of the pairs asked for: of two leaves at once, or one by one if they are long."""
+    rows, which = rows[some := which.any(1)], which[some]
+    cols, which = cols[some := which.any(0)], which[:, some]
+    own = [sets[i] for i in [*rows.tolist(), *cols.tolist()]]
+    lengths = np.array([len(x) for x in own])
+    if which.sum() > 8 and lengths.sum() <= MATRIX:
+        ids, at = np.unique(np.concatenate(own), return_inverse=True)
+        has = np.zeros((len(own), len(ids)), np.float32)
+        has[np.repeat(np.arange(len(own)), lengths), at] = 1
+        counts = has[: len(rows)] @ has[len(rows) :].T
+        for i, j in zip(*(x.tolist() for x in np.nonzero(which)), strict=True):
+            yield int(rows[i]), int(cols[j]), int(counts[i, j])
         return
-    (top_a, low_a), (top_b, low_b) = box(ours), box(theirs)
-    for a, rows in enumerate(ours):
-        first = a if right is None else 0
-        fits = (num + den) * np.minimum(top_a[a], top_b[first:]).sum(1) >= num * (low_a[a] + low_b[first:])
-        for b in (np.flatnonzero(fits) + first).tolist():
-            cols = theirs[b]
-            shared = np.minimum(points[rows][:, None, :], points[cols][None, :, :]).sum(2)
-            ok = (num + den) * shared >= num * (sizes[rows][:, None] + sizes[cols][None, :])
-            if right is None and a == b:
-                ok &= np.triu(np.ones_like(ok), 1)
-            if ok.any():
-                ok &= forest.roots(rows)[:, None] != forest.roots(cols)[None, :]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-                yield int(rows[i]), int(cols[j])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(which)), strict=True):
+        a, b = sorted((own[i], own[len(rows) + j]), key=len)
+        at = np.searchsorted(b, a)
+        yield int(rows[i]), int(cols[j]), int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
 def _cells(cell: DataFrame, sizes: DataFrame, most: int, key: str) -> DataFrame:
@@ -139,22 +200,27 @@ def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
 def _forest_of_cells(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "lo", "hi", "id"], kind="stable", ignore_index=True)
-        points = np.frombuffer(b"".join(pdf["counts"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        sizes, ids = pdf["n"].to_numpy(), pdf["id"].to_numpy()
+        ids, points = pdf["id"].to_numpy(), Points.read(pdf["n"].to_numpy(), pdf["counts"].tolist())
         new = (pdf[["key", "lo", "hi"]].to_numpy()[1:] != pdf[["key", "lo", "hi"]].to_numpy()[:-1]).any(1)
         starts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(pdf)]])
         edges, width = [], np.diff(starts)
         two = starts[:-1][width == 2]  # most cells: decided at once
-        ok = (num + den) * np.minimum(points[two], points[two + 1]).sum(1) >= num * (sizes[two] + sizes[two + 1])
-        ok &= (pdf["lo"].to_numpy()[two] == pdf["hi"].to_numpy()[two]) | (pdf["side"].to_numpy()[two] != pdf["side"].to_numpy()[two + 1])
-        edges.append(np.stack([ids[two[ok]], ids[two[ok] + 1]], 1))
+        two = two[(pdf["lo"].to_numpy()[two] == pdf["hi"].to_numpy()[two]) | (pdf["side"].to_numpy()[two] != pdf["side"].to_numpy()[two + 1])]
+        low = np.minimum(points.levels[two], points.levels[two + 1])
+        two, low = two[keep := np.abs(points.levels[two] - points.levels[two + 1]) < 2], low[keep]
+        for k in np.unique(low).tolist():
+            for at in np.array_split(two[low == k], -(-int((low == k).sum()) // MOST)):
+                ok = (num + den) * np.minimum(points.at(at, k), points.at(at + 1, k)).sum(1) >= num * (points.sizes[at] + points.sizes[at + 1])
+                edges.append(np.stack([ids[at[ok]], ids[at[ok] + 1]], 1))
         for a, b in zip(starts[:-1][width > 2].tolist(), starts[1:][width > 2].tolist(), strict=True):
             left, right = _sides(pdf.iloc[a:b])
-            forest = Forest(b - a)
-            found = [(i, j) for i, j in rtree_pairs(points[a:b], sizes[a:b], left, right, num, den, forest) if forest.join(i, j)]
+            forest, found = Forest(b - a), []
+            part = Points(points.sizes[a:b], points.vectors[a:b])
+            for rows, cols, which in rtree_pairs(part, left, right, num, den, forest):
+                found += [(x, y) for i, j in zip(*np.nonzero(which), strict=True) if forest.join(x := int(rows[i]), y := int(cols[j]))]
             if found:
                 edges.append(ids[np.array(found) + a])
-        return pd.DataFrame(np.concatenate(edges), columns=["src", "dst"])
+        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *edges]), columns=["src", "dst"])
 
     return run
 
@@ -165,15 +231,11 @@ def _links(size: int, num: int, den: int):
         for _, part in pdf.groupby(["key", "lo", "hi"], sort=False):
             part = part.drop_duplicates("id", ignore_index=True)
             sets = list(shingle_sets(pa.array(part["text"], pa.large_string()), size))
-            points, sizes, ids = np.array([group_counts(x) for x in sets]), np.array([len(x) for x in sets]), part["id"].to_numpy()
+            points, ids = Points(np.array([len(x) for x in sets]), [group_counts(x) for x in sets]), part["id"].to_numpy()
             forest = Forest(len(part))
-            for i, j in rtree_pairs(points, sizes, *_sides(part), num, den, forest):
-                if forest.root(i) != forest.root(j):
-                    a, b = sorted((sets[i], sets[j]), key=len)
-                    at = np.searchsorted(b, a)
-                    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                    if den * shared >= num * (len(a) + len(b) - shared):
-                        forest.join(i, j)
+            for rows, cols, which in rtree_pairs(points, *_sides(part), num, den, forest):
+                for i, j, shared in shared_shingles(sets, rows, cols, which):
+                    if den * shared >= num * (len(sets[i]) + len(sets[j]) - shared) and forest.join(i, j):
                         edges.append((ids[i], ids[j]))
         return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["src", "dst"])
 
