@@ -1,0 +1,112 @@
+"""Raster and geometry kernels in numpy, for use inside Arrow-backed Spark functions: one image or sheet at a time."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+def _triangle(x: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 - np.abs(x))
+
+
+def _weights(n: int, to: int, kernel, support: float) -> np.ndarray:
+    """Rows of weights for each output place: the kernel widened when shrinking, each row adding up to 1."""
+    ratio = max(1.0, n / to)
+    centre = (np.arange(to) + 0.5) * n / to
+    w = kernel((np.arange(n)[None, :] + 0.5 - centre[:, None]) / ratio)
+    w[np.abs(np.arange(n)[None, :] + 0.5 - centre[:, None]) > support * ratio] = 0
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(px: np.ndarray, w: int, h: int, kind: str = "lanczos") -> np.ndarray:
+    """Separable resampling with antialiasing; gray (h, w) or (h, w, c), rounded and clipped to its type's range."""
+    if kind == "area":
+        edges = lambda n, to: np.clip(np.minimum(np.arange(1, n + 1)[None, :], (np.arange(to)[:, None] + 1) * n / to) - np.maximum(np.arange(n)[None, :], np.arange(to)[:, None] * n / to), 0, None)
+        wy, wx = (m / m.sum(1, keepdims=True) for m in (edges(px.shape[0], h), edges(px.shape[1], w)))
+    else:
+        kernel, support = (_lanczos, 3.0) if kind == "lanczos" else (_triangle, 1.0)
+        wy, wx = _weights(px.shape[0], h, kernel, support), _weights(px.shape[1], w, kernel, support)
+    out = np.einsum("yi,xj,ij...->yx...", wy, wx, px.astype(np.float64))
+    top = np.iinfo(px.dtype).max if px.dtype.kind == "u" else None
+    return np.clip(np.floor(out + 0.5), 0, top).astype(px.dtype) if top else out
+
+
+def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The 3 x 3 projective map from src to dst points (at least 4) by the normalised direct linear transform."""
+
+    def normal(p):
+        c = p.mean(0)
+        s = np.sqrt(2) / max(1e-12, np.sqrt(((p - c) ** 2).sum(1)).mean())
+        return np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+
+    ts, td = normal(src), normal(dst)
+    a, b = applied(ts, src), applied(td, dst)
+    zero, one = np.zeros(len(a)), np.ones(len(a))
+    rows = np.concatenate([
+        np.stack([-a[:, 0], -a[:, 1], -one, zero, zero, zero, b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0]], 1),
+        np.stack([zero, zero, zero, -a[:, 0], -a[:, 1], -one, b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1]], 1),
+    ])
+    h = np.linalg.eigh(rows.T @ rows)[1][:, 0].reshape(3, 3)
+    h = np.linalg.inv(td) @ h @ ts
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
+
+
+def applied(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    q = np.concatenate([p, np.ones((len(p), 1))], 1) @ h.T
+    d = np.where(np.abs(q[:, 2:]) < 1e-12, 1e-12, q[:, 2:])
+    return q[:, :2] / d
+
+
+def robust_homography(src: np.ndarray, dst: np.ndarray, limit: float = 3.0, rounds: int = 500, seed: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """Best map by random samples of four with a fixed seed, refitted to its inliers, and which points those are; None below four points."""
+    if len(src) < 4:
+        return None
+    r, best = np.random.default_rng(seed), np.zeros(len(src), bool)
+    for _ in range(rounds):
+        four = r.choice(len(src), 4, replace=False)
+        try:
+            inside = np.sqrt(((applied(homography(src[four], dst[four]), src) - dst) ** 2).sum(1)) <= limit
+        except np.linalg.LinAlgError:
+            continue
+        if inside.sum() > best.sum():
+            best = inside
+        if best.mean() > 0.95:
+            break
+    return (homography(src[best], dst[best]), best) if best.sum() >= 4 else None
+
+
+def warped(px: np.ndarray, h: np.ndarray, w: int, height: int) -> np.ndarray:
+    """Gray raster seen through h (output to source coordinates), bilinear, black outside."""
+    yy, xx = np.mgrid[0:height, 0:w]
+    p = applied(h, np.stack([xx.ravel(), yy.ravel()], 1).astype(np.float64))
+    x0, y0 = np.floor(p[:, 0]).astype(int), np.floor(p[:, 1]).astype(int)
+    fx, fy = p[:, 0] - x0, p[:, 1] - y0
+    at = lambda x, y: np.where((x >= 0) & (y >= 0) & (x < px.shape[1]) & (y < px.shape[0]), px[np.clip(y, 0, px.shape[0] - 1), np.clip(x, 0, px.shape[1] - 1)], 0)
+    v = (1 - fx) * (1 - fy) * at(x0, y0) + fx * (1 - fy) * at(x0 + 1, y0) + (1 - fx) * fy * at(x0, y0 + 1) + fx * fy * at(x0 + 1, y0 + 1)
+    return np.floor(v + 0.5).astype(px.dtype).reshape(height, w)
+
+
+def clahe(px: np.ndarray, tiles: int = 2, clip: float = 2.0) -> np.ndarray:
+    """Local equalisation: clipped histograms of tiles, their tables blended between tile centres."""
+    h, w = px.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    tables = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = px[i * th : (i + 1) * th, j * tw : (j + 1) * tw]
+            counts = np.bincount(part.ravel(), minlength=256).astype(np.float64)
+            most = max(1.0, clip * part.size / 256)
+            over = np.clip(counts - most, 0, None).sum()
+            tables[i, j] = np.cumsum(np.minimum(counts, most) + over / 256) * 255 / max(1, part.size)
+    gy = np.clip((np.arange(h) + 0.5) / th - 0.5, 0, tiles - 1)
+    gx = np.clip((np.arange(w) + 0.5) / tw - 0.5, 0, tiles - 1)
+    i0, j0 = np.minimum(gy.astype(int), tiles - 1), np.minimum(gx.astype(int), tiles - 1)
+    i1, j1 = np.minimum(i0 + 1, tiles - 1), np.minimum(j0 + 1, tiles - 1)
+    fy, fx = (gy - i0)[:, None], (gx - j0)[None, :]
+    look = lambda i, j: tables[i[:, None], j[None, :], px]
+    out = (1 - fy) * ((1 - fx) * look(i0, j0) + fx * look(i0, j1)) + fy * ((1 - fx) * look(i1, j0) + fx * look(i1, j1))
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)

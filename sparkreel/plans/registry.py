@@ -1,6 +1,6 @@
-"""Queries by name, with their SQL counterparts, gathered from the operator modules."""
+"""All queries of the library by name, with their SQL counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from sparkreel.plans import output, picture, pixels, sequence  # noqa: F401  (they register their queries)
+from sparkreel.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

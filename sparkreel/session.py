@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dir: list[str] = []
+
 
 def local_session(cpus: int | str = 8, app: str = "sparkreel") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -25,3 +30,14 @@ def local_session(cpus: int | str = 8, app: str = "sparkreel") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local session without that setting gets a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_dir[0] if _own_dir else tempfile.mkdtemp(prefix="sparkreel-")
+        _own_dir[:] = [root]
+    return f"{root.rstrip('/')}/sparkreel-{uuid.uuid4().hex}"
