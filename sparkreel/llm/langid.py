@@ -20,8 +20,8 @@ from sparkreel.llm.crf import Field, padded
 
 #: Bounds of the labelled sample: texts of each language, characters of each, languages, words of a language in the lexicon.
 TEXTS, CHARACTERS, LANGUAGES, LEXICON = 80, 3_000, 64, 400
-#: Words of a chain (longer texts are several chains), words that a worker keeps, words labelled at once.
-CHAIN, CACHE, AT_ONCE = 128, 200_000, 150_000
+#: Words of a chain (longer texts are several chains), words that a worker keeps, words labelled at once, new words whose features are looked up at once.
+CHAIN, CACHE, AT_ONCE, AT_TIME = 128, 200_000, 150_000, 10_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -31,11 +31,55 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def word_features(word: str, lexicon: frozenset) -> list[str]:
-    w = f"<{word}>"
-    out = {"", *(w[: n + 1] for n in (1, 2, 3)), *("-" + w[-n - 1 :] for n in (1, 2, 3)), *("~" + w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))}
-    if word in lexicon:
-        out.add("=" + word)
-    return sorted(out)
+    """Names of a word's features: a bias, prefixes, affixes at the end, n-grams with its edges, its place in the lexicon."""
+    w, some = f"<{word}>", range(1, min(3, len(word)) + 1)
+    out = ["", *("<" + word[:n] for n in some), *("-" + word[-n:] for n in some), *("~" + w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))]
+    return [*out, "=" + word] if word in lexicon else out
+
+
+def _code(chars: list[np.ndarray]) -> np.ndarray:
+    """Up to three code points as one number."""
+    return sum((c.astype(np.int64) << (21 * i) for i, c in enumerate(chars)), np.int64(0))
+
+
+class Emissions:
+    """The summed weights of word_features, for many words at once: tables of code points instead of names."""
+
+    def __init__(self, field: Field):
+        self.labels = len(field.labels)
+        self.bias = field.weights[field.features[""]] if "" in field.features else np.zeros(self.labels)
+        self.known = {f[1:]: i for f, i in field.features.items() if f[:1] == "="}
+        self.known_weights = np.concatenate([field.weights, np.zeros((1, self.labels))])
+        self.tables = {}
+        for kind in "<-~":
+            for n in (1, 2, 3):
+                own = [(f[1:], i) for f, i in field.features.items() if f[:1] == kind and len(f) == n + 1]
+                codes = _code([np.array([ord(f[j]) for f, _ in own], np.int64) for j in range(n)])
+                order = np.argsort(codes)
+                self.tables[kind, n] = codes[order], np.concatenate([field.weights[[i for _, i in own]][order].reshape(-1, self.labels), np.zeros((1, self.labels))])
+
+    def _weights(self, kind: str, n: int, codes: np.ndarray) -> np.ndarray:
+        own, weights = self.tables[kind, n]
+        at = np.searchsorted(own, codes)
+        at[at < len(own)] = np.where(own[at[at < len(own)]] == codes[at < len(own)], at[at < len(own)], len(own))
+        return weights[at]
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        chars = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
+        none = len(self.known_weights) - 1
+        out = self.bias + self.known_weights[[self.known.get(w, none) for w in words]]
+        for n in (1, 2, 3):
+            long = np.flatnonzero(size >= n)
+            first, last = start[long] + 1, start[long] + 1 + size[long] - n
+            out[long] += self._weights("<", n, _code([chars[first + j] for j in range(n)]))
+            out[long] += self._weights("-", n, _code([chars[last + j] for j in range(n)]))
+            grams = self._weights("~", n, _code([chars[j : len(chars) - n + 1 + j] for j in range(n)]))
+            for j in range(1, n):  # those that reach into the next word
+                grams[(start[1:] - j)] = 0
+            out += np.add.reduceat(grams, np.minimum(start, len(grams) - 1)) if len(grams) > start[-1] else np.concatenate([np.add.reduceat(grams, start[:-1]), np.zeros((1, self.labels))])
+        return out
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, where: Column) -> list:
@@ -72,7 +116,7 @@ class Labeller:
     """Word probabilities in batches; a worker's words keep their emissions until CACHE of them are known."""
 
     def __init__(self, field: Field, lexicon: frozenset):
-        self.field, self.lexicon = field, lexicon
+        self.field, self.emissions = field, Emissions(field)
         self.number: dict[str, int] = {}
         self.table = np.zeros((0, len(field.labels)))
 
@@ -85,7 +129,7 @@ class Labeller:
             new = list(dict.fromkeys(words))
         if new:
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.field.emissions([word_features(w, self.lexicon) for w in new])])
+            self.table = np.concatenate([self.table, *(self.emissions(new[i : i + AT_TIME]) for i in range(0, len(new), AT_TIME))])
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:

@@ -201,3 +201,13 @@ def test_pipeline(spark):
 
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} - {"pipeline"}
+
+
+def test_emissions_are_the_sums_of_the_named_features():
+    words = ["a", "ab", "the", "ärger", "x" * 40, "the", "漢字", "und"]
+    rng = np.random.default_rng(1)
+    names = sorted({f for w in words[:5] for f in langid.word_features(w, frozenset(["the", "und"]))} | {"=und"})
+    f = crf.Field(["p", "q"], features={n: i for i, n in enumerate(names)}, weights=rng.normal(size=(len(names), 2)))
+    want = f.emissions([langid.word_features(w, frozenset(["the", "und"])) for w in words])
+    assert np.allclose(langid.Emissions(f)(words), want)
+    assert np.allclose(langid.Emissions(f)(["a"]), want[:1]) and np.allclose(langid.Emissions(f)(["ab", "a"]), want[[1, 0]])
