@@ -211,3 +211,14 @@ def test_emissions_are_the_sums_of_the_named_features():
     want = f.emissions([langid.word_features(w, frozenset(["the", "und"])) for w in words])
     assert np.allclose(langid.Emissions(f)(words), want)
     assert np.allclose(langid.Emissions(f)(["a"]), want[:1]) and np.allclose(langid.Emissions(f)(["ab", "a"]), want[[1, 0]])
+
+
+def test_personal_data_chains_of_very_different_lengths():
+    sizes = sorted([1] * 9000 + [7] * 500 + [90_000, 200_000])
+    parts = list(pii.blocks(sizes))
+    assert [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[0].start == 0 and parts[-1].stop == len(sizes)
+    assert all(p.stop - p.start == 1 or (p.stop - p.start) * sizes[p.stop - 1] <= pii.AT_ONCE for p in parts)
+    assert list(pii.blocks([])) == []
+    finder = pii.Finder(pii.fit(pii.labelled_table(200)))
+    texts = ["12 " * 30_000 + "call (555) 123-4567 now"] + ["see 12 here"] * 3000
+    assert finder.more(texts, [pii.base_spans(t) for t in texts])[1:] == [[]] * 3000
