@@ -222,3 +222,35 @@ def test_personal_data_chains_of_very_different_lengths():
     finder = pii.Finder(pii.fit(pii.labelled_table(200)))
     texts = ["12 " * 30_000 + "call (555) 123-4567 now"] + ["see 12 here"] * 3000
     assert finder.more(texts, [pii.base_spans(t) for t in texts])[1:] == [[]] * 3000
+
+
+def test_fixed_patterns_against_plain_expressions():
+    plain = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def fits(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        if kind == 1:
+            return all(int(x) <= 255 for x in s.split("."))
+        if kind == 2:
+            return 14 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return kind == 0 or 10 <= len(d) <= 15
+
+    r = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(r.choice("0123456789012345@..-+ ()ab%_\n٣") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(t) == sorted((m.start(), k, m.end()) for k, p in enumerate(plain) for m in p.finditer(t) if fits(k, m[0])), t
+
+
+def test_token_counts_are_the_librarys(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    texts = ["".join(r.choice(" \n\t▁a1é漢 ​　<s></s>AB\x00ﬁ'①\r▁\U0001f600") for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<s>", "<unk>", "<0x0A>", " ", "\n", " \n", "\n ", "the  end", None]
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {x["doc_id"]: (x["n_bytes"], x["n_tokens"], x["over_limit"]) for x in tokens.token_counts(docs, path).collect()}
+    for x in docs.collect():
+        t = x["text"] or ""
+        n = len(model.encode(t))
+        assert got[x["doc_id"]] == (len(t.encode()), n, n > 4096), t[:80]
