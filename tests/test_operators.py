@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkreel.functions import kernels
-from sparkreel.operators import labels, robust, timeline, tone
+from sparkreel.operators import fill, labels, layout, robust, timeline, tone
 from sparkreel.sources import archive, png
 
 
@@ -76,3 +76,34 @@ def test_png_files_and_archives(spark, tmp_path):
     rows = archive.entries(spark, str(tmp_path)).collect()
     assert {r["entry"]: bytes(r["content"]) for r in rows if r["entry"]} == {"x.txt": b"one", "y.txt": b""}
     assert [r["error"] is not None for r in rows if not r["entry"]] == [True]
+
+
+def test_layout_documents_of_both_versions(spark):
+    old = '{"lienzo": {"ancho_px": 2480, "alto_px": 3508, "ppi": 300}, "hojas": [{"archivo_hoja": "h.tif", "frames": {"a": {"bbox": [1, 2, 3, 4]}}, "qrs": {"a": {"bbox": [5, 6, 7, 8]}}}, {}]}'
+    new = '{"version": 2, "proyecto": "p", "lienzo": {"ancho_px": 10, "alto_px": 20, "dpi": 150}, "hojas": [{"numero": 7, "archivo_hoja": "x.tif", "frames": {"b": {"bbox": [1, 2], "celda": 3, "etiqueta": "l"}}}]}'
+    rows = spark.createDataFrame([(1, old), (2, new), (3, "{}"), (4, "no json"), (5, None), (6, "[1]")], "k int, text string")
+    got = {r["k"]: r["doc"] for r in layout.upgraded(rows, "text").collect()}
+    assert got[1]["version"] == 2 and got[1]["marcadores"]["cantidad"] == 4 and got[1]["marcadores"]["bboxes"]["2"] == [2340, 3368, 2440, 3468]
+    assert [(s["numero"], s["archivo_hoja"]) for s in got[1]["hojas"]] == [(1, "h.tif"), (2, "hoja_002.tif")]
+    assert got[1]["hojas"][0]["frames"]["a"]["bbox"] == [1, 2, 3, 4] and got[1]["hojas"][0]["qrs"]["a"]["texto"] == "a" and got[1]["hojas"][1]["frames"] == {}
+    assert got[2]["proyecto"] == "p" and got[2]["hojas"][0]["numero"] == 7 and got[2]["lienzo"]["dpi"] == 150 and got[2]["app"] is None
+    assert got[3]["lienzo"].asDict() == {"ancho_px": 2480, "alto_px": 3508, "dpi": 300, "orientacion": "portrait"} and got[3]["hojas"] == []
+    assert got[4] is got[5] is got[6] is None
+    flat = {(r["k"], r["name"]): (r["etiqueta"], r["x1"], r["y2"]) for r in layout.frames(layout.upgraded(rows, "text"), "k").collect()}
+    assert flat == {(1, "a"): ("a", 1, 4), (2, "b"): ("l", None, None)}
+
+
+def test_fill_of_uncovered_pixels_and_markers(spark):
+    px = spark.range(400).select(F.lit(1).alias("img"), (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), F.lit(200).cast("long").alias("gray"))
+    dark = F.col("x").between(8, 11) & F.col("y").between(8, 11)
+    px = px.withColumn("gray", F.when(dark, 0).otherwise(F.col("gray")).cast("long"))
+    rects = spark.createDataFrame([(1, 1, 8.0, 8.0, 12.0, 12.0), (2, 1, 0.0, 0.0, 5.0, 5.0)], "img int, ord int, x1 double, y1 double, x2 double, y2 double")
+    assert {r["gray"] for r in fill.erased(px, rects, 20, 20).collect()} == {200}
+    assert fill.erased(px, rects.where("img = 2"), 20, 20).where("gray = 0").count() == 16
+    seen = px.where(fill.covers(F.col("x"), F.col("y"), (1, 0, -5, 0, 1, 0, 0, 0, 1), 100, 100))  # the five leftmost columns lie outside the scan
+    assert seen.count() == 300
+    white = px.where(~dark).withColumn("gray", F.when(F.col("x") < 10, 10).otherwise(20).cast("long"))
+    crop = {(r["x"], r["y"]): r["gray"] for r in fill.crop_filled(white, 20, 20, -1, 0, 11, 10, "mirror").collect()}
+    assert len(crop) == 110 and crop[0, 0] == 10 and crop[10, 9] == 20 and fill.paper(white.where("x > 100"), 20, 20).count() == 0
+    with pytest.raises(ValueError):
+        fill.crop_filled(px, 20, 20, 0, 0, 5, 5, "other")
