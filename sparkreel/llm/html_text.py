@@ -4,7 +4,8 @@ Every node of a page's tree gets a density: its characters for each tag, raised
 of them are links. The node whose children's densities have the largest sum holds the main text. What
 hangs beside the way from there to the search root is added where its density reaches the smallest
 one on that way. Elements that say themselves that they are no article (by name, role, class or id) are taken
-out before densities are computed.
+out before densities are computed; a class, an id or a form only does so where it holds no article, no main
+element and, on a page with neither, not most of the text.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ _CLOSES = {
 }
 _SCOPE = _words("table td th caption button object html")
 #: Elements, roles and words of a class or id that mark what is no article.
-_AWAY = _words("head script style noscript template iframe object embed svg canvas audio video nav aside footer form button select textarea datalist dialog menu title xmp noembed noframes")
-_ROLES = _words("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form")
+_AWAY = _words("head script style noscript template iframe object embed svg canvas audio video nav aside footer button select textarea datalist dialog menu title xmp noembed noframes")
+_ROLES = _words("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar")
 _MARKS = _words(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter "
     "subscribe signup login sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer comment comments disqus respond reply "
@@ -54,7 +55,7 @@ class Page:
     """A page's tree as parallel lists in page order; node 0 stands above all elements."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.gone, self.end = [-1], ["#"], [False], [0]
+        self.parent, self.tag, self.gone, self.marked = [-1], ["#"], [False], [False]
         self.text: list[tuple[int, str]] = []  # node and piece of text; a piece None is a block's edge
         stack, at = [0], 0
         for m in iter(lambda: _MARKUP.search(source, at), None):
@@ -78,6 +79,7 @@ class Page:
                     self._add(node, source[m.end() : at])
         if at < len(source):
             self._add(stack[-1], source[at:])
+        self._drop_marked()
 
     def _add(self, node: int, piece: str) -> None:
         if not self.gone[node]:
@@ -103,29 +105,61 @@ class Page:
         node, above = len(self.parent), stack[-1]
         self.parent.append(above)
         self.tag.append(name)
-        self.gone.append(self.gone[above] or self._away(name, rest, above))
+        away, marked = self._away(name, rest, above)
+        self.gone.append(self.gone[above] or away)
+        self.marked.append(marked)
         self._edge(node, name)
         stack.append(node)
         return node
 
-    def _away(self, name: str, rest: str, above: int) -> bool:
+    def _away(self, name: str, rest: str, above: int) -> tuple[bool, bool]:
+        """Whether an element is no article whatever it holds, and whether its name, class or id only hints at it."""
         if name in _AWAY:
-            return True
+            return True, False
         if name in ("html", "body", "main"):
-            return False
+            return False, False
         inside = name == "article"
         while above and not inside:
             inside = self.tag[above] in ("article", "main")
             above = self.parent[above]
         if name == "header" and not inside:
-            return True
+            return True, False
         if not rest or "=" not in rest and "hidden" not in rest:
-            return False
+            return False, name == "form"
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-        if "hidden" in own or own.get("role", "").lower() in _ROLES or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
-            return True
-        marks = {w.lower() for w in _PARTS.findall(f"{own.get('class', '')} {own.get('id', '')}")}
-        return bool(marks & _MARKS) or "header" in marks and not inside and not marks & {"article", "entry", "post"}
+        role = own.get("role", "").lower()
+        if "hidden" in own or role in _ROLES or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
+            return True, False
+        # a class or id counts as a whole: every word of it is a mark
+        names = [{w.lower() for w in _PARTS.findall(x)} for x in f"{own.get('class', '')} {own.get('id', '')}".split()]
+        return False, name == "form" or role == "form" or any(x and x <= _MARKS or not inside and x == {"header"} for x in names)
+
+    def _drop_marked(self) -> None:
+        """Takes marked elements out, but none that holds an article, a main element or, on a page without either, half of the text."""
+        n = len(self.parent)
+        if not any(self.marked):
+            return
+        holds, chars = [False] * n, [0] * n
+        live = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.gone[i]]
+        # articles marked themselves (comments, say) only count where no other article, and no main element elsewhere, is there
+        for i in [i for i in live if not self.marked[i]] or live:
+            holds[i] = True
+        if not any(holds[i] and self.tag[i] == "article" for i in live):
+            in_main = [False] * n
+            for i in range(1, n):
+                in_main[i] = self.tag[i] == "main" or in_main[self.parent[i]]
+            for i in live:
+                holds[i] = holds[i] or in_main[i]
+        some = any(holds)
+        for node, piece in self.text:
+            if piece is not None and not self.gone[node]:
+                chars[node] += len(piece.strip())
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
+        for i in range(1, n):
+            self.gone[i] = self.gone[i] or self.gone[self.parent[i]] or self.marked[i] and not holds[i] and (some or 2 * chars[i] < chars[0])
+        self.text = [(node, piece) for node, piece in self.text if piece is None or not self.gone[node]]
 
     def _close(self, stack: list[int], name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):

@@ -148,6 +148,23 @@ def test_pages():
     assert [html_text.main_text(x) for x in (None, "", "<", "plain  words", "<p", "<script>x", "<!-- a", "<div>" * 5000 + "deep")] == ["", "", "<", "plain words", "", "", "", "deep"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-sidebar-wrap"><main><p>{}</p></main><div class="sidebar">Side</div></div>',
+        '<div class="has-sidebar"><p>{}</p></div>',
+        '<div id="page" class="menu-closed"><article class="post category-social tag-related"><p>{}</p></article></div>',
+        '<div class="social"><article class="share"><p>{}</p></article></div>',
+        '<form id="aspnetForm" action=x><div class="comment"><p>A word</p></div><div><p>{}</p></div></form>',
+        '<div class="sidebar"><p>{}</p></div><div class="cookie-banner">Yes?</div>',
+        '<main><p>{}</p></main><div id="comments"><article class="comment"><p>What a text!</p></article></div>',
+    ],
+)
+def test_pages_keep_what_a_class_word_wraps(page):
+    text = "A text that is long enough to be the page's own, in a sentence or two."
+    assert html_text.main_text(f"<html><body>{page.format(text)}</body></html>") == text
+
+
 def test_pages_and_urls_awkward(spark):
     rows = [(1, None, None, 1), (2, "", "", 1), (3, "no scheme", "<p>a", 1), (None, "http://A.net/x?y", "<p>b", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (6, "http://x.org/fr/é\n2", "<p>d", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
