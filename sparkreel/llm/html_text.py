@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree gets a density: its characters for each tag, raised or lowered by how much
-of them are links. The node whose children's densities have the largest sum holds the main text. What
-hangs beside the way from there to the search root is added where its density reaches the smallest
-one on that way. Elements that say themselves that they are no article (by name, role, class or id) are taken
+of them are links. The node whose blocks' densities have the largest sum holds the main text; at or in the
+only article (or main element) of a page the sum counts twice. What hangs beside the way from there to the
+body is added where its density reaches the smallest one on that way. Elements that say themselves that they are no article (by name, role, class or id) are taken
 out before densities are computed; a class, an id or a form only does so where it holds no article, no main
 element and, on a page with neither, not most of the text.
 """
@@ -48,6 +48,8 @@ _MARKS = _words(
     "subscribe signup login sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer comment comments disqus respond reply "
     "replies discussion share sharing social related recommended skip"
 )
+#: Weight of a sum of densities at or in the only article, or else the only main element, of a page.
+_EVIDENCE = 2.0
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -169,15 +171,20 @@ class Page:
                 return
 
     def root(self) -> int:
-        """Where the search begins: the one article of the page, else its one main element, else the body."""
-        for name in ("article", "main", "body"):
+        """Where the search begins: the body."""
+        found = [i for i, t in enumerate(self.tag) if t == "body" and not self.gone[i]]
+        return found[0] if len(found) == 1 else 0
+
+    def named(self) -> int:
+        """The one article of the page, else its one main element, else -1."""
+        for name in ("article", "main"):
             found = [i for i, t in enumerate(self.tag) if t == name and not self.gone[i]]
             if len(found) == 1:
                 return found[0]
-        return 0
+        return -1
 
     def densities(self, root: int) -> tuple[list[float], list[float]]:
-        """Composite density of every node below the root, and the sum of its children's."""
+        """Composite density of every node below the root, and the sum of its child blocks' ones."""
         n = len(self.parent)
         chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
         for node, piece in self.text:
@@ -199,7 +206,8 @@ class Page:
                 c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
                 base = 1 + math.log(c / max(1, c - linked[i]) * linked[i] + share * c + math.e)
                 density[i] = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
-                below[self.parent[i]] += density[i]
+                if self.tag[i] in _BLOCK:
+                    below[self.parent[i]] += density[i]
         return density, below
 
     def kept(self) -> list[bool]:
@@ -207,24 +215,25 @@ class Page:
         root = self.root()
         density, below = self.densities(root)
         n = len(self.parent)
-        inside = [False] * n
-        inside[root] = True
+        inside, named = [False] * n, [False] * n
+        inside[root], one = True, self.named()
         for i in range(root + 1, n):
             inside[i] = inside[self.parent[i]] and not self.gone[i]
-        best = max((i for i in range(n) if inside[i]), key=lambda i: below[i], default=root)
+            named[i] = i == one or named[self.parent[i]]
+        best = max((i for i in range(n) if inside[i]), key=lambda i: below[i] * (_EVIDENCE if named[i] else 1.0), default=root)
         way = [best]
         while way[-1] != root:
             way.append(self.parent[way[-1]])
-        least = 1e-9 if self.tag[root] == "article" else min(density[i] for i in way)
-        keep, on = [False] * n, set(way)
+        least = min(density[i] for i in way)
+        keep, on, said = [False] * n, set(way), {node for node, piece in self.text if piece and piece.strip()}
         keep[best] = True
         for i in way[1:]:
             keep[i] = True  # the text of the nodes on the way themselves
         for i in range(root + 1, n):
             if inside[i] and not keep[i]:
                 up = self.parent[i]
-                # beside the way, density decides; below a node that was decided, its decision holds
-                keep[i] = keep[up] and (up == best or up not in on or density[i] >= least or self.tag[i] in _HEADINGS or self.tag[i] not in _BLOCK)
+                # beside the way, density decides, but not over a part of a sentence; below a node that was decided, its decision holds
+                keep[i] = keep[up] and (up == best or up not in on or density[i] >= least or self.tag[i] in _HEADINGS or self.tag[i] not in _BLOCK and up in said)
         return keep
 
     def main_text(self) -> str:

@@ -165,6 +165,18 @@ def test_pages_keep_what_a_class_word_wraps(page):
     assert html_text.main_text(f"<html><body>{page.format(text)}</body></html>") == text
 
 
+def test_pages_search_from_the_body():
+    text = [f"Paragraph {i} of a text that is long enough to be the page's own, in a sentence or two." for i in range(4)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another story</a></li>" for i in range(9)) + "</ul>"
+    for page in (
+        f"<article><div>{body}</div><div>{links}</div></article>{links}",  # a list of links inside the article
+        f"<article><p>Buy now</p></article><div>{body}</div>",  # the article is not where the text is
+        f"<a href=/>Home</a><a href=/in>Log in</a><article>{body}</article>",
+    ):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(text)
+
+
 def test_pages_and_urls_awkward(spark):
     rows = [(1, None, None, 1), (2, "", "", 1), (3, "no scheme", "<p>a", 1), (None, "http://A.net/x?y", "<p>b", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (6, "http://x.org/fr/é\n2", "<p>d", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
