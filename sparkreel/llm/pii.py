@@ -1,12 +1,12 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The field is trained from a small labelled table made here by rule, and decoded by Viterbi in numpy
-batches. A token without a digit or @ is never personal data of the kinds known here, so chains are
-cut down to the tokens near one that has such a character; what lies between carries the label O.
+The field is trained from a small labelled table made here by rule, and decodes every token of every
+text by Viterbi in numpy batches. Texts longer than a chain are several ones that overlap.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import numpy as np
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from sparkreel.llm.crf import Field, padded
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens kept on each side of one with a digit or @; places of the padded matrix of chains decoded at once (a longer chain alone).
-NEAR, AT_ONCE = 3, 65_536
+#: Tokens of a chain, and those on each side that only help to decide its own; places of the padded matrix of chains decoded at once.
+CHAIN, BESIDE, AT_ONCE = 512, 32, 65_536
+#: Tokens that a worker keeps; characters of the texts taken at once (a longer text alone).
+CACHE, AT_TIME = 100_000, 1_000_000
 #: Rows of the labelled table.
 EXAMPLES = 900
 
@@ -29,7 +31,6 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
-_RUN = re.compile(r"[0-9@]+")
 _TOKEN = re.compile(r"\S+")
 
 
@@ -79,8 +80,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Letters a or A, digits 9, other characters themselves; runs of one of them once, with their number up to 4 for digits."""
+    if token.islower() and token.isalpha():
+        return "a"
     out: list[str] = []
-    for c in token[:64]:
+    for c in token:
         k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1][0] != k:
             out.append(k)
@@ -159,30 +162,71 @@ def fit(rows: list[tuple[list[str], list[int]]]) -> Field:
     return Field(LABELS).fit([_features(*e) for e in number], sequences, answers, rounds=80)
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of token bounds around the tokens that hold a digit or @."""
-    out: list[list[tuple[int, int]]] = []
-    free = 0
-    for m in _RUN.finditer(text):
-        if m.start() < free:
-            continue
-        # from NEAR tokens before it, as far as the last chain's end, to NEAR tokens after the last one like it
-        start, left = m.start(), NEAR + 1
-        while start > free and (left or not text[start - 1].isspace()):
-            if text[start - 1].isspace() and not text[start : start + 1].isspace():
-                left -= 1
-                if not left:
-                    break
-            start -= 1
-        chain, quiet = [], 0
-        for t in _TOKEN.finditer(text, start):
-            chain.append(t.span())
-            quiet = 0 if _SOME.search(t[0]) else quiet + 1
-            if t.start() >= m.start() and quiet >= NEAR:
-                break
-        free = chain[-1][1]
-        out.append(chain)
-    return out
+class Emissions:
+    """The summed weights of _features for whole texts: each token's share looked up once, those of neighbours' shapes in tables."""
+
+    def __init__(self, field: Field):
+        self.field, k = field, len(field.labels)
+        pairs = {kind: [(*f[3:].split("|", 1), i) for f, i in field.features.items() if f.startswith(kind)] for kind in ("ps=", "qs=")}
+        heads = {y for _, y, _ in pairs["ps="]} | {x for x, _, _ in pairs["qs="]}
+        edges = {x for x, _, _ in pairs["ps="]} | {y for _, y, _ in pairs["qs="]}
+        # place 0 is that of all other shapes
+        self.heads, self.edges = ({x: i for i, x in enumerate(sorted(of), 1)} for of in (heads, edges))
+        self.ahead, self.behind = np.zeros((len(edges) + 1, len(heads) + 1, k)), np.zeros((len(heads) + 1, len(edges) + 1, k))
+        for x, y, i in pairs["ps="]:
+            self.ahead[self.edges[x], self.heads[y]] = field.weights[i]
+        for x, y, i in pairs["qs="]:
+            self.behind[self.heads[x], self.edges[y]] = field.weights[i]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.alike: dict[tuple, int] = {}
+        self.weights, self.shapes = np.zeros((3, 0, len(self.field.labels))), np.zeros((2, 0), np.int64)
+        self._learn([""])
+
+    def _alike(self, token: str) -> tuple:
+        """What the features see of a token: tokens that agree in it weigh the same."""
+        s, cues = shape(token), token.lower().strip(".,:;()!?")
+        n = min(20, sum("0" <= c <= "9" for c in token)) if "9" in s else 0
+        word = "w" if n or len(cues) >= 12 else cues if f"w={cues}" in self.field.features else None
+        return s, n, token.count("@"), min(5, token.count(".")), word, cues if cues in _CUES else None
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Numbers tokens, alike ones the same; adds what new ones weigh themselves, before and after another one, and their shapes' places."""
+        own, before, after, head, edge = [], [], [], [], []
+        for t in tokens:
+            key = self._alike(t)
+            self.number[t] = at = self.alike.setdefault(key, len(self.alike))
+            if at == self.weights.shape[1] + len(own):
+                features = _features(t, t, t)
+                own.append([*features[:5], *features[9:12]])
+                before.append([features[5], features[12]])
+                after.append([features[6]])
+                head.append(self.heads.get(key[0][:6], 0))
+                edge.append(self.edges.get(key[0][:4], 0))
+        if own:
+            self.weights = np.concatenate([self.weights, np.stack([self.field.emissions(x) for x in (own, before, after)])], 1)
+            self.shapes = np.concatenate([self.shapes, np.array([head, edge], np.int64)], 1)
+
+    def numbers(self, texts: list[list[str]]) -> np.ndarray:
+        """The numbers of all tokens, with that of no token before, between and behind the texts."""
+        if len(self.number) > CACHE:
+            self._clear()
+        self._learn(sorted({t for x in texts for t in x if t not in self.number}))
+        out = np.zeros(1 + sum(len(x) + 1 for x in texts), np.int64)
+        at = 1
+        for x in texts:
+            out[at : at + len(x)] = list(map(self.number.__getitem__, x))
+            at += len(x) + 1
+        return out
+
+    def __call__(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Weights of the tokens at these places of numbers()."""
+        last, own, following = ids[at - 1], ids[at], ids[at + 1]
+        out = self.weights[0][own] + self.weights[1][last] + self.weights[2][following]
+        head, edge = self.shapes
+        return out + self.ahead[edge[last], head[own]] + self.behind[head[own], edge[following]]
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -196,38 +240,84 @@ def plausible(kind: int, s: str) -> bool:
     n = len(_digits(s))
     if kind == 0:
         return bool(re.search(r"@|\(at\)|\[at\]", s)) and "." in s
-    return 14 <= n <= 19 and luhn(_digits(s)) if kind == 2 else 10 <= n <= 15 and not s.isdigit() if kind == 3 else False
+    if kind == 1:
+        return is_address(s)
+    return 14 <= n <= 19 and luhn(_digits(s)) if kind == 2 else 10 <= n <= 15 and not s.isdigit()
+
+
+def is_address(s: str) -> bool:
+    """An address of either version, in brackets or not, with or without bracketed dots, a port or a length of its prefix."""
+    s = re.sub(r"\s*[\[(]\.[\])]\s*", ".", s).strip("()[]{}<>\"'").partition("/")[0]
+    s = s.partition(":")[0] if s.count(":") == 1 else s
+    try:
+        ipaddress.ip_address(s)
+    except ValueError:
+        return False
+    return True
 
 
 class Finder:
     def __init__(self, field: Field):
-        self.field = field
+        self.field, self.emissions = field, Emissions(field)
 
     def more(self, texts: list[str], base: list[list]) -> list[list]:
         """Base spans, and those of the field that no base span touches."""
         out = [list(b) for b in base]
-        jobs = [(i, c) for i, t in enumerate(texts) if t and _SOME.search(t) for c in chains(t)]
-        jobs.sort(key=lambda j: len(j[1]))
-        for part in blocks([len(c) for _, c in jobs]):
-            part = jobs[part]
-            number: dict[tuple, int] = {}
-            x, lengths = padded([np.array([number.setdefault(e, len(number)) for e in _events([texts[i][s:e] for s, e in c])], np.int64) for i, c in part])
-            labels = self.field.best(self.field.emissions([_features(*e) for e in number])[x], lengths)
-            for (i, c), row in zip(part, labels.tolist(), strict=True):
-                at = 0
-                while at < len(c):
-                    if row[at]:
-                        kind, end = (row[at] - 1) // 2, at + 1
-                        while end < len(c) and row[end] == 2 + 2 * kind:
-                            end += 1
-                        s, e = _trim(texts[i], c[at][0], c[end - 1][1])
-                        if plausible(kind, texts[i][s:e]) and not any(s < z and y < e for y, _, z in base[i]):
-                            out[i].append((s, kind, e))
-                        at = end
-                    else:
-                        at += 1
+        for part in taken([len(t or "") for t in texts]):
+            own = range(part.start, part.stop)
+            words = [(texts[i] or "").split() for i in own]
+            labels, at = self.labels(words), 1
+            for i, n in zip(own, map(len, words), strict=True):
+                row = labels[at : at + n]
+                if row.any():
+                    self._spans(texts[i], row.tolist(), base[i], out[i])
+                at += n + 1
         return [sorted(set(x)) for x in out]
 
+    def labels(self, words: list[list[str]]) -> np.ndarray:
+        """The label of every token, at its place in numbers()."""
+        ids = self.emissions.numbers(words)
+        out, at, chains = np.zeros(len(ids), np.int64), 1, []
+        for x in words:
+            end = at + len(x)
+            chains += [(max(at, a - BESIDE), min(end, a + CHAIN + BESIDE), a, min(end, a + CHAIN)) for a in range(at, end, CHAIN)]
+            at = end + 1
+        chains.sort(key=lambda c: c[1] - c[0])
+        for part in blocks([c[1] - c[0] for c in chains]):
+            x, lengths = padded([np.arange(c[0], c[1]) for c in chains[part]])
+            x[np.arange(x.shape[1])[None, :] >= lengths[:, None]] = 1
+            best = self.field.best(self.emissions(ids, x), lengths)
+            for (start, _, a, b), row in zip(chains[part], best, strict=True):
+                out[a:b] = row[a - start : b - start]
+        return out
+
+    @staticmethod
+    def _spans(text: str, row: list[int], base: list, out: list) -> None:
+        c, at = [m.span() for m in _TOKEN.finditer(text)], 0
+        while at < len(c):
+            if row[at]:
+                kind, end = (row[at] - 1) // 2, at + 1
+                while end < len(c) and row[end] == 2 + 2 * kind:
+                    end += 1
+                s, e = _trim(text, c[at][0], c[end - 1][1])
+                if plausible(kind, text[s:e]) and not any(s < z and y < e for y, _, z in base):
+                    out.append((s, kind, e))
+                at = end
+            else:
+                at += 1
+
+
+def taken(sizes: list[int]):
+    """Slices of texts of at most AT_TIME characters, or one text."""
+    a, n = 0, 0
+    for b, size in enumerate(sizes):
+        if b > a and n + size > AT_TIME:
+            yield slice(a, b)
+            a, n = b, 0
+        n += size
+    if a < len(sizes):
+        yield slice(a, len(sizes))
+
 
 def blocks(lengths: list[int]):
     """Slices of ascending lengths whose padded matrices have at most AT_ONCE places, or one row."""

@@ -253,6 +253,30 @@ def test_personal_data_chains_of_very_different_lengths():
     assert finder.more(texts, [pii.base_spans(t) for t in texts])[1:] == [[]] * 3000
 
 
+def test_personal_data_field_reads_every_token(spark):
+    far = "plain words without any figure in them, over and over again, " * 3
+    texts = [far + "write to joe (at) mail.com please", "my mail joe [at] mail.org, now 12", "the host 10[.]20[.]30[.]40 and the host 10[.]20[.]30[.]400", far * 40 + "contact anna [at] mail.com"]
+    rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i]["spans"] for i in (0, 1, 2)] == [f"email:{len(far) + 9}:{len(far) + 26}", "email:8:25", "ip:9:26"]
+    assert rows[0]["masked"] == far + "write to [EMAIL] please" and rows[3]["masked"] == far * 40 + "contact [EMAIL]"
+    assert pii.shape("a" * 80 + "1") == "a9"
+    assert [pii.is_address(x) for x in ("10[.]0[.]0[.]1", "10.0.0.1:80", "2001:db8::17", "10.0.0.256", "12.13", "10:30")] == [True, True, True, False, False, False]
+
+
+def test_personal_data_chains_label_as_whole_texts():
+    field, r = pii.fit(pii.labelled_table(200)), random.Random(3)
+    rows = [t for t, _ in pii.labelled_table(600, 8)]
+    words = [[w for t in r.choices(rows, k=n) for w in t] for n in (1, 90, 300)] + [[], ["@|x", "ǅ", "(AT)", "a" * 80 + "1", "٣4.", "漢字"]]
+    finder = pii.Finder(field)
+    ids, labels, at = finder.emissions.numbers(words), finder.labels(words), 1
+    for w in words:
+        if w:
+            scores = field.emissions([pii._features(*e) for e in pii._events(w)])
+            assert np.allclose(finder.emissions(ids, np.arange(at, at + len(w))), scores)
+            assert (field.best(scores[None], np.array([len(w)]))[0] == labels[at : at + len(w)]).all()
+        at += len(w) + 1
+
+
 def test_fixed_patterns_against_plain_expressions():
     plain = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
