@@ -17,8 +17,8 @@ from sparkreel.llm.common import forget, lower_ascii, stored
 
 #: (verdict, rule) of the contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Longest context; occurrences that keep a context; weight of the shorter context; most kept contexts of an order.
-ORDER, KEEP, WEIGHT, MOST = 4, 8, 2.0, 4096
+#: Longest context; occurrences that keep a context; weight of the shorter context; grams that are broadcast, more are shuffled.
+ORDER, KEEP, WEIGHT, SMALL = 4, 8, 2.0, 100_000
 #: The characters modelled: printable ASCII, and one mark for all others. EDGE stands before a URL's first one.
 ALPHABET = [chr(c) for c in range(0x21, 0x7F)] + ["�"]
 EDGE = "\u0002"
@@ -58,47 +58,44 @@ def _tail(n: int) -> Column:
     return F.expr(f"substring(before, {ORDER - n + 1}, {n})") if n else F.lit("")
 
 
-def fit(labelled: DataFrame) -> list[DataFrame]:
-    """Log-likelihood differences (gram, value) of orders 0 to ORDER, from (url, good) rows.
+def fit(rows: DataFrame) -> DataFrame:
+    """(before, char, value) of every gram in the rows (url, good), good being null where a row has no label.
 
-    The table of an order holds every kept context followed by every character of the alphabet, so at
-    most MOST * 95 rows; the MOST most frequent contexts stay (ties by text). Counts cover all rows:
-    they are summed before the shuffle, and only sums move.
+    The value is the log-likelihood difference in the longest kept context. Every context with KEEP
+    labelled occurrences is kept. Counts cover all rows: they are summed before the shuffle, and only
+    sums move; later joins are by gram.
     """
-    counts = stored(_characters(labelled, "url", ["good"]).where("char is not null").groupBy("before", "char").agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")))
-    alphabet = F.array(*[F.lit(c) for c in ALPHABET])
-    tables: list[DataFrame] = []
+    counts = stored(_characters(rows, "url", ["good"]).where("char is not null").groupBy("before", "char").agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")))
+    labelled = counts.where("yes + no > 0")
+    out = counts.select("before", "char", F.lit(1 / len(ALPHABET)).alias("p_yes"), F.lit(1 / len(ALPHABET)).alias("p_no"))
     for n in range(ORDER + 1):
-        grams = counts.groupBy(_tail(n).alias("ctx"), "char").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        grams = labelled.groupBy(_tail(n).alias("ctx"), "char").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
         kept = grams.groupBy("ctx").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
         if n:
-            kept = kept.where(F.col("all_yes") + F.col("all_no") >= KEEP).orderBy(F.desc(F.col("all_yes") + F.col("all_no")), "ctx").limit(MOST)
-        full = kept.select("*", F.explode(alphabet).alias("char")).join(grams, ["ctx", "char"], "left").na.fill(0, ["yes", "no"])
-        if n:
-            lower = tables[-1].withColumnsRenamed({"p_yes": "q_yes", "p_no": "q_no", "gram": "_gram"}).drop("value")
-            full = full.withColumn("_gram", F.concat(F.expr("substring(ctx, 2)"), "char"))
-            # a context's suffix is at least as frequent as it is, but may have lost its place in the order below
-            full = full.join(lower, "_gram", "left").na.fill(1 / len(ALPHABET), ["q_yes", "q_no"])
-        else:
-            full = full.withColumn("q_yes", F.lit(1 / len(ALPHABET))).withColumn("q_no", F.lit(1 / len(ALPHABET)))
-        share = lambda of: ((F.col(of) + WEIGHT * F.col(f"q_{of}")) / (F.col(f"all_{of}") + WEIGHT)).alias(f"p_{of}")
-        table = full.select(F.concat("ctx", "char").alias("gram"), share("yes"), share("no"))
-        tables.append(stored(table.withColumn("value", F.log("p_yes") - F.log("p_no"))))
+            kept = kept.where(F.col("all_yes") + F.col("all_no") >= KEEP)
+        # the few contexts of low orders would each be one task's; the alphabet bounds their number
+        out = out.withColumn("ctx", _tail(n)).join(F.broadcast(kept) if n <= 2 else kept, "ctx", "left").join(F.broadcast(grams) if n <= 1 else grams, ["ctx", "char"], "left")
+        share = lambda of: F.when(F.col(f"all_{of}").isNull(), F.col(f"p_{of}")).otherwise((F.coalesce(of, F.lit(0)) + WEIGHT * F.col(f"p_{of}")) / (F.col(f"all_{of}") + WEIGHT)).alias(f"p_{of}")
+        out = out.select("before", "char", share("yes"), share("no"))
+    out = stored(out.select("before", "char", (F.log("p_yes") - F.log("p_no")).alias("value")))
     forget(counts)
-    return tables
+    return out
 
 
-def score(rows: DataFrame, tables: list[DataFrame], keep: list[str]) -> DataFrame:
-    """Each row's `keep` columns with score, its characters' mean value in the longest kept context.
+def score(rows: DataFrame, values: DataFrame, keep: list[str], small: int = SMALL) -> DataFrame:
+    """Each row's `keep` columns with score, its characters' mean value.
 
-    A row's characters are summed in the task that made them, so the shuffle carries one row for each
-    URL. The tables are of bounded size and broadcast.
+    Up to `small` values are broadcast: a row's characters are then summed in the task that made them, so
+    the shuffle carries one row for each URL. More are joined by a shuffle of each URL's different grams.
     """
-    rows = _characters(rows.withColumn("_row", F.monotonically_increasing_id()), "url", ["_row", *keep])
-    for n, table in enumerate(tables):
-        rows = rows.join(F.broadcast(table.select(F.col("gram").alias(f"_g{n}"), F.col("value").alias(f"_v{n}"))), F.concat(_tail(n), F.col("char")) == F.col(f"_g{n}"), "left")
-    value = F.coalesce(*[F.col(f"_v{n}") for n in range(ORDER, -1, -1)], F.lit(0.0))
-    return rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.avg(value).alias("score")).drop("_row")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    if values.limit(small + 1).count() <= small:
+        found = _characters(rows, "url", ["_row", *keep]).join(F.broadcast(values), ["before", "char"], "left")
+        return found.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.avg(F.coalesce("value", F.lit(0.0))).alias("score")).drop("_row")
+    rows = stored(rows)
+    grams = _characters(rows, "url", ["_row"]).groupBy("_row", "before", "char").count().join(values.hint("merge"), ["before", "char"])
+    sums = grams.groupBy("_row").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("score"))
+    return rows.join(sums, "_row", "left").select(*keep, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -110,7 +107,7 @@ def calibrate(scored: DataFrame) -> float:
     return (best["bin"] + 0.5) * BIN if best else 0.0
 
 
-def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
+def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, small: int = SMALL) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row.
 
     Rules decide where one fits; their URLs are the models' labelled rows, an allowed one accepted and a
@@ -122,8 +119,8 @@ def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", r
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), said.alias("said"))
-    labelled = rows.where("rule is not null").select("url", (F.col("said") == "allow").alias("good"))
-    scored = stored(score(rows, fit(labelled), ["page_id", "host", "path", "rule", "said"]))
+    values = fit(rows.select("url", (F.col("said") == "allow").alias("good")))
+    scored = stored(score(rows, values, ["page_id", "host", "path", "rule", "said"], small))
     cut = calibrate(scored.where("rule is not null").select((F.col("said") == "allow").alias("good"), "score"))
     verdict = F.coalesce("said", F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -187,6 +187,42 @@ def test_pages_and_urls_awkward(spark):
     assert urls.url_verdicts(pages.where("page_id = -1")).count() == 0
 
 
+def test_url_models_keep_every_context(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz-_"
+    words = ["".join(r.choices(letters, k=6)) for _ in range(3000)]
+    rows = [(i, f"http://{'x.net' if i % 2 else 'example.net/en'}/{w}") for i, w in enumerate(w for w in words for _ in range(8))] + [(-1, "http://a.org/" + words[7]), (-2, "")]
+    said = lambda u: None if "example.net/en/" not in u and "x.net/" not in u else "example.net/en/" in u
+    counts, alls = collections.Counter(), collections.Counter()
+
+    def grams(u):
+        u = urls.EDGE * urls.ORDER + re.sub("[0-9]", "0", u.lower())
+        return [(u[i - urls.ORDER : i], u[i]) for i in range(urls.ORDER, len(u))]
+
+    for _, u in rows:
+        if said(u) is not None:
+            for b, c in grams(u):
+                for n in range(urls.ORDER + 1):
+                    counts[b[urls.ORDER - n :], c, said(u)] += 1
+                    alls[b[urls.ORDER - n :], said(u)] += 1
+
+    def value(b, c):
+        p = {True: 1 / 95, False: 1 / 95}
+        for n in range(urls.ORDER + 1):
+            ctx = b[urls.ORDER - n :]
+            if not n or alls[ctx, True] + alls[ctx, False] >= urls.KEEP:
+                p = {g: (counts[ctx, c, g] + urls.WEIGHT * p[g]) / (alls[ctx, g] + urls.WEIGHT) for g in p}
+        return math.log(p[True]) - math.log(p[False])
+
+    assert sum(len(c) == urls.ORDER for c in {c for c, _ in alls}) > 8192
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = [{x["page_id"]: (x["verdict"], x["score"]) for x in urls.url_verdicts(pages, small=small).collect()} for small in (urls.SMALL, 0)]
+    for i, u in rows[::97] + rows[-2:]:
+        want = sum(value(*g) for g in grams(u)) / max(1, len(u))
+        assert all(math.isclose(x[i][1], want, rel_tol=1e-9, abs_tol=1e-12) for x in got), u
+    assert {i: v for i, (v, _) in got[0].items()} == {i: v for i, (v, _) in got[1].items()}
+
+
 def test_forward_backward_and_viterbi():
     rng = np.random.default_rng(0)
     f = crf.Field(["a", "b", "c"], moves=rng.normal(size=(3, 3)), first=rng.normal(size=3))
