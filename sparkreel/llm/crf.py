@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+#: Places times labels of the sequences that fit() goes through at once.
+CELLS = 4_000_000
+
+
 def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A matrix of event numbers, 0 past the end, and the lengths."""
     lengths = np.array([len(s) for s in sequences], np.int64)
@@ -55,8 +59,8 @@ class Field:
         y, _ = padded(answers)
         valid = np.arange(x.shape[1])[None, :] < lengths[:, None]
         total = max(1, int(lengths.sum()))
-        at, one = x[valid], np.eye(k)
-        truth = np.stack([np.bincount(at, one[y[valid]][:, c], minlength=len(events)) for c in range(k)], 1)
+        truth = np.bincount(x[valid] * k + y[valid], minlength=len(events) * k).reshape(-1, k)
+        some = max(1, CELLS // (x.shape[1] * k))
         both = valid[:, 1:]
         true_moves = np.zeros((k, k))
         np.add.at(true_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
@@ -66,10 +70,15 @@ class Field:
         for step in range(1, rounds + 1):
             self.weights, self.moves, self.first = params
             scores = ragged_sums(self.weights, rows)
-            marginals, moved = self.marginals(scores[x], lengths, with_moves=True)
-            guess = np.stack([np.bincount(at, marginals[valid][:, c], minlength=len(events)) for c in range(k)], 1)
+            guess, moved, first = np.zeros((len(events), k)), np.zeros((k, k)), np.zeros(k)
+            for a in range(0, len(x), some):
+                part, ok = x[a : a + some], valid[a : a + some]
+                marginals, moves = self.marginals(scores[part], lengths[a : a + some], with_moves=True)
+                guess += np.stack([np.bincount(part[ok], marginals[ok][:, c], minlength=len(events)) for c in range(k)], 1)
+                moved += moves
+                first += marginals[lengths[a : a + some] > 0, 0].sum(0)
             gap = np.repeat(truth - guess, sizes, 0)
-            slope = [np.stack([np.bincount(flat, gap[:, c], minlength=n) for c in range(k)], 1), true_moves - moved, true_first - marginals[lengths > 0, 0].sum(0)]
+            slope = [np.stack([np.bincount(flat, gap[:, c], minlength=n) for c in range(k)], 1), true_moves - moved, true_first - first]
             for i, (p, g) in enumerate(zip(params, slope, strict=True)):
                 g = g / total * 100 - decay * p
                 m[i] = 0.9 * m[i] + 0.1 * g

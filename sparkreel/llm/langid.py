@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm.crf import Field, padded
 
-#: Bounds of the labelled sample: texts of each language, characters of each, languages, words of a language in the lexicon.
-TEXTS, CHARACTERS, LANGUAGES, LEXICON = 80, 3_000, 64, 400
+#: Bounds of the labelled sample: texts of each language, of each where there are many, of all of those, characters of each, words of a language in the lexicon.
+TEXTS, FEWEST, ALL_TEXTS, CHARACTERS, LEXICON = 80, 10, 2_560, 3_000, 400
 #: Words of a chain (longer texts are several chains), words that a worker keeps, words labelled at once, new words whose features are looked up at once.
 CHAIN, CACHE, AT_ONCE, AT_TIME = 128, 200_000, 150_000, 10_000
+#: Chains labelled at once; with more languages than these, fewer chains, and fewer words kept.
+CHAINS, USUAL = 2048, 16
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,12 +85,12 @@ class Emissions:
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, where: Column) -> list:
-    """TEXTS rows of each of the LANGUAGES most frequent languages, by a hash of text and id; rows over CHARACTERS come last, and give their first ones."""
+    """TEXTS rows of every language (fewer of each, but FEWEST, where that is more than ALL_TEXTS), by a hash of text and id; rows over CHARACTERS come last, and give their first ones."""
     rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.col(doc_id)).alias("h"))
     rows = rows.select("lang", "h", F.substring("text", 1, CHARACTERS).alias("text"), (F.length("text") > CHARACTERS).alias("long"))
-    top = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("n") <= TEXTS)
-    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    return top.join(F.broadcast(many.select("lang")), "lang").select("lang", "text", "h").orderBy("lang", "h", "text").collect()
+    each = max(FEWEST, min(TEXTS, ALL_TEXTS // max(1, rows.select("lang").distinct().count())))
+    top = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("n") <= each)
+    return top.select("lang", "text", "h").orderBy("lang", "h", "text").collect()
 
 
 def fit(sample: list) -> tuple[Field, frozenset] | None:
@@ -123,7 +125,7 @@ class Labeller:
     def numbers(self, words: list[str]) -> np.ndarray:
         number = self.number
         new = [w for w in dict.fromkeys(words) if w not in number]
-        if len(number) + len(new) > CACHE:
+        if len(number) + len(new) > CACHE * USUAL // max(USUAL, len(self.field.labels)):
             number.clear()
             self.table = self.table[:0]
             new = list(dict.fromkeys(words))
@@ -144,8 +146,9 @@ class Labeller:
             at += len(t)
         order = np.argsort([len(c) for c in chains], kind="stable")
         owner = np.array(owner, np.int64)
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
+        some = max(1, CHAINS * USUAL // max(USUAL, len(self.field.labels)))
+        for a in range(0, len(order), some):
+            part = order[a : a + some]
             x, lengths = padded([chains[i] for i in part])
             p = self.field.marginals(self.table[x], lengths)
             p[np.arange(x.shape[1])[None, :] >= lengths[:, None]] = 0

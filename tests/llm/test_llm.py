@@ -241,6 +241,16 @@ def test_language_id_held_out(spark):
     assert n and right >= 0.95 * n
 
 
+def test_language_id_learns_every_language(spark):
+    r = random.Random(8)
+    own = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(r.choices(own[i % 70], k=12)), f"l{i % 70:02}") for i in range(70 * 12)] + [(1000 + i, " ".join(own[i % 69]), f"l{i % 69:02}") for i in range(69)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = langid.predict(docs, keep=("lang",)).where("not held_out").collect()
+    right = {x["lang"] for x in said if x["lang"] == x["lang_pred"]}
+    assert len(right) == 70 and sum(x["lang"] == x["lang_pred"] for x in said) >= 0.95 * len(said)
+
+
 def test_personal_data_field_adds_and_keeps(spark):
     texts = ["write to joe.doe@mail.example.com now", "card 4111 1111 1111 1111, or 4111.1111.1111.1111 please", "host 10.0.0.1 and 999.1.1.1", "call +1 (555) 123-4567 today", "a@b no", ""]
     rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
