@@ -54,6 +54,22 @@ def crossfades(intervals: DataFrame, grp: str, rate: int, fps: float, seconds: f
     return rows.select(grp, "from", F.floor(F.col("k") * F.col("m") / steps).cast("long").alias("i"), "m").withColumn("weight", (F.col("i") + 0.5) / F.col("m")).drop("m")
 
 
+def crossfade_samples(intervals: DataFrame, grp: str, rate: int, fps: float, seconds: float, have: str = "have") -> DataFrame:
+    """(grp, from, i, weight): every sample of those fades, (i + 1/2) / m for i below m.
+
+    m is the least of the fade's samples, those that the source, `have` samples long, has for the interval, and
+    those that it has behind the interval before.
+    """
+    w = W.partitionBy(grp).orderBy("from")
+    at = lambda x: js_round(x * rate / fps)
+    before = F.coalesce(F.sum(F.col("to") - F.col("from")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = intervals.withColumn("_src", at(F.col("from"))).withColumn("_len", at(before + F.col("to") - F.col("from")) - at(before))
+    rows = rows.withColumn("_gap", F.col("from") - F.lag("to").over(w)).withColumn("_end", F.lag(F.col("_src") + F.col("_len")).over(w)).where("_gap > 0")
+    m = F.least(F.greatest(F.lit(1).cast("long"), js_round(F.lit(rate * seconds))), F.greatest(F.lit(0), F.least("_len", F.col(have) - F.col("_src"))), F.greatest(F.lit(0), F.col(have) - F.col("_end")))
+    rows = rows.select(grp, "from", m.alias("_m")).where("_m > 0").select(grp, "from", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("i"))
+    return rows.withColumn("weight", (F.col("i") + 0.5) / F.col("_m")).drop("_m")
+
+
 def as_of(asks: DataFrame, rows: DataFrame, grp: str, at: str, value: str) -> DataFrame:
     """Adds to each ask the value of the last row at or before it in its group: one sort of both sides, no join."""
     both = asks.select(grp, at, F.lit(1).alias("_ask"), F.lit(None).cast(rows.schema[value].dataType).alias(value)).unionByName(rows.select(grp, at, F.lit(0).alias("_ask"), value))

@@ -39,6 +39,19 @@ def crossfade_weights(spark, d):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""with {KEEP}, h as (select grp, cast(floor(count(*) * 44100 / 24.0::double + 0.5) as bigint) have from slots group by grp),
+o as (select *, coalesce(sum("to" - "from") over (partition by grp order by "from" rows between unbounded preceding and 1 preceding), 0) before from keep),
+b as (select *, cast(floor("from" * 44100 / 24.0::double + 0.5) as bigint) src, cast(floor((before + "to" - "from") * 44100 / 24.0::double + 0.5) - floor(before * 44100 / 24.0::double + 0.5) as bigint) len from o),
+g as (select *, "from" - lag("to") over (partition by grp order by "from") gap, lag(src + len) over (partition by grp order by "from") last from b),
+m as (select grp, "from", least(221, greatest(0, least(len, have - src)), greatest(0, have - last)) m from g join h using (grp) where gap > 0)
+select grp, "from", i, round((i + 0.5::double) / m, 6) weight from (select grp, "from", m, unnest(range(0, m)) i from m)""")
+def crossfade_samples(spark, d):
+    s = slots(spark, d)
+    have = s.groupBy("grp").agg(timeline.js_round(F.count("*") * RATE / FPS).alias("have"))
+    out = timeline.crossfade_samples(timeline.keep_intervals(s, "grp", "content").join(have, "grp"), "grp", RATE, FPS, 0.005)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 @query("""with e as (select user_id grp, ts, value from events), r as (select grp, min(ts) lo, max(ts) hi from e group by grp),
 a as (select grp, unnest(generate_series(date_trunc('hour', lo), hi, interval 6 hour)) ts from r)
 select a.grp, a.ts, arg_max(e.value, e.ts) value from a left join e on e.grp = a.grp and e.ts <= a.ts group by a.grp, a.ts""")

@@ -54,6 +54,15 @@ def test_png_round_trip(h, w, c, deep, seed):
     assert (png.decoded(png.encoded(px)) == px).all()
 
 
+def test_crossfades_weigh_every_sample(spark):
+    keep = spark.createDataFrame([(1, 0, 2, 18375), (1, 5, 9, 18375), (1, 9, 10, 18375), (2, 0, 9, 18475), (2, 10, 20, 18475)], 'grp long, "from" long, "to" long, have long'.replace('"', "`"))
+    got = {}
+    for r in timeline.crossfade_samples(keep, "grp", 44_100, 24.0, 0.005).collect():
+        got.setdefault((r["grp"], r["from"]), []).append((r["i"], r["weight"]))
+    assert {k: len(v) for k, v in got.items()} == {(1, 5): 221, (2, 10): 100}  # 18,475 - 18,375 samples are left
+    assert sorted(got[2, 10]) == [(i, (i + 0.5) / 100) for i in range(100)]
+
+
 def test_homography_survives_outliers():
     rng = np.random.default_rng(3)
     src = rng.uniform(0, 500, (24, 2))
