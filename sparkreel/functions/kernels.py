@@ -61,7 +61,7 @@ def applied(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / d
 
 
-def robust_homography(src: np.ndarray, dst: np.ndarray, limit: float = 3.0, rounds: int = 500, seed: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+def robust_homography(src: np.ndarray, dst: np.ndarray, limit: float = 3.0, rounds: int = 2000, seed: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
     """Best map by random samples of four with a fixed seed, refitted to its inliers, and which points those are; None below four points."""
     if len(src) < 4:
         return None
@@ -90,6 +90,23 @@ def warped(px: np.ndarray, h: np.ndarray, w: int, height: int) -> np.ndarray:
     return np.floor(v + 0.5).astype(px.dtype).reshape(height, w)
 
 
+def warped_bicubic(px: np.ndarray, h: np.ndarray, w: int, height: int) -> np.ndarray:
+    """Gray raster seen through h (output to source coordinates), by Catmull-Rom weights over edge pixels repeated, black beyond -1.5 and size + 0.5."""
+    yy, xx = np.mgrid[0:height, 0:w]
+    p = applied(h, np.stack([xx.ravel(), yy.ravel()], 1).astype(np.float64))
+    size = np.array([px.shape[1], px.shape[0]])
+    inside = ((p >= -1.5) & (p <= size + 0.5)).all(1)
+    p = np.where(inside[:, None], p, 0.0)
+    corner = np.floor(p).astype(int)
+    t = (p - corner)[:, :, None]
+    t2, t3 = t * t, t * t * t
+    weights = np.concatenate([-0.5 * t3 + t2 - 0.5 * t, 1.5 * t3 - 2.5 * t2 + 1, -1.5 * t3 + 2 * t2 + 0.5 * t, 0.5 * t3 - 0.5 * t2], 2)
+    at = np.clip(corner[:, :, None] + np.arange(-1, 3), 0, size[None, :, None] - 1)
+    v = np.einsum("ni,nj,nji->n", weights[:, 0], weights[:, 1], px[at[:, 1, :, None], at[:, 0, None, :]].astype(np.float64))
+    top = np.iinfo(px.dtype).max if px.dtype.kind == "u" else 255
+    return np.where(inside, np.floor(np.clip(v, 0, top) + 0.5), 0).astype(px.dtype).reshape(height, w)
+
+
 def clahe(px: np.ndarray, tiles: int = 2, clip: float = 2.0) -> np.ndarray:
     """Local equalisation: clipped histograms of tiles, their tables blended between tile centres."""
     h, w = px.shape

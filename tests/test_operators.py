@@ -74,6 +74,25 @@ def test_homography_survives_outliers():
     assert kernels.robust_homography(src[:3], dst[:3]) is None
 
 
+def test_homography_of_a_sheet_with_few_inliers():
+    h, r = np.array([[1.3, 0.1, 40], [-0.05, 1.2, 30], [4e-6, 2e-6, 1]]), np.random.default_rng(0)
+    src = r.uniform(0, 500, (50, 2))
+    dst, off = kernels.applied(h, src), r.permutation(50)[10:]
+    dst[off] = r.uniform(0, 700, (40, 2))
+    on = np.setdiff1d(np.arange(50), off)
+    found, inside = kernels.robust_homography(src, dst)
+    assert inside[on].all() and np.abs(kernels.applied(found, src[on]) - dst[on]).max() < 3
+
+
+def test_bicubic_warp():
+    px = np.random.default_rng(1).integers(0, 256, (6, 7)).astype(np.uint8)
+    assert (kernels.warped_bicubic(px, np.eye(3), 7, 6) == px).all()
+    half = kernels.warped_bicubic(px, np.array([[1, 0, 0.5], [0, 1, 0], [0, 0, 1.0]]), 10, 6)
+    row = np.pad(px[2].astype(float), 2, mode="edge")
+    assert half[2, 3] == np.floor(np.clip(row[4:8] @ [-0.0625, 0.5625, 0.5625, -0.0625], 0, 255) + 0.5)
+    assert (half[:, 8:] == 0).all() and (half[:, 7] == px[:, 6]).all()  # 7.5 is the last place seen
+
+
 def test_png_files_and_archives(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png.encoded(np.zeros((3, 5), np.uint8)))
     (tmp_path / "b.png").write_bytes(b"no image at all, but long enough")
