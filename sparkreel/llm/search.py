@@ -1,124 +1,254 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-The index is cut into blocks of vectors. In a block every dimension has posting lists by impact level:
-the positions and values of the vectors whose component has that size, levels halving downwards. A
-query block walks the levels from the largest impact down and adds up scores. After a level, what a
-vector can still gain is at most |query| * |its components below the level|; once that leaves few
-vectors above the k-th proven score, those few are rescored from their whole vectors. If the bound
-never proves it, the last level is reached and all scores are exact anyway.
+Every task turns the vectors it reads into blocks, longest vectors first. In a block a component's
+impact is its size on a scale of LEVELS steps; its segments are walked from the largest impacts down,
+for all queries of a slab at once, and each adds its impact times the query's weight. After a walk, a
+score can still be off by |query| * |what of the vector its walked impacts do not tell|. A query leaves
+a block before the first segment if the block's bounds prove that nothing in it can be among its k
+best, and after a segment once few vectors may still be; those are rescored from their whole vectors.
+
+The proofs start from scores that are known already: before the search every query meets a small block
+of long vectors, and its k-th best score there travels with it; inside a task it rises from block to
+block. Vectors are read where they lie and never shuffled, queries are broadcast in slabs of bounded
+size, and a task gives back k rows a query at most.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of an index block, queries of a query block, share of a block that may be left to rescoring.
-BLOCK, QUERIES, REST = 4096, 128, 0.02
-LEVELS = 4
-#: Components beyond this size are cut to it, so that 64-bit sums of 64 products can't overflow.
-CLIP = 2.0**28
+from sparkreel.llm.common import stored
+
+#: Vectors of a block, of the blocks sorted together, queries walked at once, share of pairs that is left to rescoring, pairs rescored at once.
+BLOCK, CHUNK, QUERIES, REST, PAIRS = 4096, 65_536, 256, 0.01, 65_536
+#: Steps of the scale of impacts, and the least impact of each walk.
+LEVELS, WALKS = 7, (3, 1)
+#: Bytes of the queries that are broadcast together, and of the vectors that every query meets first.
+SLAB_BYTES, SEED_BYTES = 32 << 20, 2 << 20
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as double, null for a null vector or a null or non-finite component."""
+    """floor(scale * x) of each component as a whole double, null for a null vector or a null or non-finite component."""
     ok = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    return F.when(ok, F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), x.cast("double") * scale))).cast("long")))
+    # from 2**53 on every double is whole
+    whole = lambda y: F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+    return F.when(ok, F.transform(vector, lambda x: whole(x.cast("double") * scale)))
+
+
+def as_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column's rows, filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    sizes = np.diff(at)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = values
+    return out
+
+
+def _length(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(1))
 
 
 class Block:
-    """Posting lists of one block: for each level and dimension the rows and their components."""
+    """The impacts of up to BLOCK vectors, walk by walk, and what each walk leaves untold of every vector."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.whole = ids, vectors.astype(np.int64)
+        self.high, self.low, self.length = vectors.max(0), vectors.min(0), _length(vectors)
         size = np.abs(vectors)
-        top = max(1, int(size.max(initial=0)))
-        cuts = [top / 2 ** (i + 1) for i in range(LEVELS - 1)]
-        level = np.searchsorted(-np.array(cuts), -size, "left")  # 0: the largest impacts
-        self.postings, self.rest = [], []
-        for n in range(LEVELS):
-            at = (level == n) & (size > 0)
-            self.postings.append([(rows := np.flatnonzero(at[:, d]), vectors[rows, d]) for d in range(vectors.shape[1])])
-            self.rest.append(np.sqrt((np.where(level > n, vectors, 0).astype(np.float64) ** 2).sum(1)))
-
-    def top(self, queries: np.ndarray, allowed: np.ndarray, k: int):
-        """For each query the positions of its k best rows and maybe others that tie or could not be told apart."""
-        score = np.zeros((len(queries), len(self.vectors)), np.int64)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        live = np.arange(len(queries))
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        for n in range(LEVELS):
-            for d, (rows, values) in enumerate(self.postings[n]):
-                if len(rows):
-                    score[np.ix_(live, rows)] += queries[live, d][:, None] * values[None, :]
-            still = []
-            for q in live:
-                slack = length[q] * self.rest[n] * (1 + 1e-9) + 1e-6
-                low, high = score[q] - slack, score[q] + slack
-                low[~allowed[q]] = high[~allowed[q]] = -np.inf
-                at = min(k, len(low))
-                members = np.flatnonzero(high >= np.partition(low, len(low) - at)[len(low) - at]) if at else np.zeros(0, np.int64)
-                members = members[allowed[q][members]]
-                if n == LEVELS - 1 or len(members) <= max(8 * k, REST * len(low)):
-                    out[q] = members
-                else:
-                    still.append(q)
-            live = np.array(still, np.int64)
-            if not len(live):
+        step = size.max(initial=0) / (LEVELS + 0.5) or 1.0
+        impact, told = np.rint(size / step), np.zeros_like(vectors)
+        self.walks = []
+        for least, below in zip(WALKS, (np.inf, *WALKS), strict=False):
+            walk = np.where((impact >= least) & (impact < below), np.copysign(impact * step, vectors), 0)
+            told += walk
+            self.walks.append((walk.astype(np.float32).T, (_length(vectors - told) * (1 + 1e-6)).astype(np.float32)))
+        # the sums are single precision: so much of |query| * |vector| may be lost
+        self.lost = ((vectors.shape[1] + 8) * 2.0**-23 * self.length).astype(np.float32)
+
+    def members(self, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all pairs that may be among the query's k best; least: scores that its k-th best is known to reach."""
+        length = _length(queries)
+        most = np.minimum(np.maximum(queries * self.high, queries * self.low).sum(1), length * self.length.max())
+        live = np.flatnonzero(most + 1e-9 * np.abs(most) + 1 >= least)
+        if not len(live):
+            return live, live
+        weights, length, least = queries[live].astype(np.float32), length[live].astype(np.float32)[:, None] * np.float32(1 + 1e-6), least[live]
+        other = own[live][:, None] != self.ids[None, :]
+        score = np.zeros(other.shape, np.float32)
+        unproven = np.flatnonzero(np.isneginf(least))
+        for walk, untold in self.walks:
+            score += weights @ walk
+            slack = length * (untold + self.lost)[None, :]
+            if len(unproven) and len(self.ids) >= k:
+                low = np.where(other[unproven], score[unproven] - slack[unproven], -np.inf)
+                least = least.copy()
+                least[unproven] = np.partition(low, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+            floor = np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
+            possible = (score + slack >= floor) & other
+            if possible.sum() <= REST * possible.size:
                 break
-        return out
-
-
-def _search(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, holds = pdf[pdf["ask"]], pdf[~pdf["ask"]]
-        out = []
-        if len(asks) and len(holds):
-            width = max(map(len, pdf["v"]))
-            pad = lambda vs: np.array([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in vs])
-            holds = holds.sort_values("id", kind="stable")
-            ids, block = holds["id"].to_numpy(), Block(pad(holds["v"]))
-            for i in range(0, len(asks), QUERIES):
-                part = asks.iloc[i : i + QUERIES]
-                queries, own = pad(part["v"]), part["id"].to_numpy()
-                for q, rows in enumerate(block.top(queries, own[:, None] != ids[None, :], k)):
-                    exact = block.vectors[rows] @ queries[q]
-                    best = np.lexsort((ids[rows], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[rows][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        q, row = np.nonzero(possible)
+        return live[q], row
+
+
+class Best:
+    """The k best (id, score) of every query so far, ties to the smaller id."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.least, self.k = least.copy(), k
+        self.query, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        query, ids, scores = (np.concatenate(x) for x in ((self.query, query), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        known = scores[last].astype(np.float64)
+        self.least[query[last]] = np.maximum(self.least[query[last]], np.where(np.abs(known) < 2.0**53, known, np.nextafter(known, -np.inf)))
+        keep = rank < self.k
+        self.query, self.ids, self.scores = query[keep], ids[keep], scores[keep]
+
+
+def walk_block(block: Block, queries: np.ndarray, own: np.ndarray, best: Best) -> None:
+    """Lets every query meet a block."""
+    whole = queries.astype(np.int64)
+    for a in range(0, len(queries), QUERIES):
+        some = slice(a, a + QUERIES)
+        query, row = block.members(queries[some], own[some], best.least[some], best.k)
+        for i in range(0, len(query), PAIRS):
+            q, r = query[i : i + PAIRS] + a, row[i : i + PAIRS]
+            best.add(q, block.ids[r], np.einsum("ij,ij->i", block.whole[r], whole[q]))
+
+
+def rarely_equal(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The rows without those that k + 1 equal vectors of smaller ids come before: they are in nobody's k best."""
+    odd = np.random.default_rng(5).integers(0, 2**63, vectors.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    key = (vectors.astype(np.int64).view(np.uint64) * odd).sum(1)
+    order = np.lexsort((ids, key))
+    first = np.searchsorted(key[order], key[order])
+    place = np.arange(len(order)) - first
+    if (place <= k).all():
+        return np.arange(len(ids))
+    unlike = first[(vectors[order] != vectors[order[first]]).any(1)]  # equal keys of different vectors: all stay
+    return np.setdiff1d(np.arange(len(ids)), order[(place > k) & ~np.isin(first, unlike)])
+
+
+def exact_pairs(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """(query_id, vec_id, score) of k best rows a query in whole numbers of any size, for components that 64 bits can't add up."""
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    rows = whole(vectors)
+    for q, weights in zip(own.tolist(), whole(queries), strict=True):
+        scores = (rows * weights).sum(1).tolist() if vectors.shape[1] else [0] * len(ids)
+        found = sorted((-s, i) for i, s in zip(ids.tolist(), scores, strict=True) if i != q)[:k]
+        if any(not -(2**63) <= -s < 2**63 for s, _ in found):
+            raise ArithmeticError(f"a score of query {q} exceeds 64 bits")
+        yield from ((q, i, -s) for s, i in found)
+
+
+def _chunks(batches, width: int):
+    """(ids, vectors) of about CHUNK rows of (id, v)."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), as_matrix(batch.column(1), width)))
+        n += len(held[-1][0])
+        if n >= CHUNK:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _search(slab, width: int, large: float, k: int):
+    """slab: broadcast (ids, vectors, least) of the queries."""
+
+    def run(batches):
+        own, queries, least = slab.value
+        big = np.abs(queries).max(1, initial=0) >= large
+        usual = np.flatnonzero(~big)
+        best, found = Best(least[usual], k), []
+        for ids, vectors in _chunks(batches, width):
+            huge = np.abs(vectors).max(1, initial=0) >= large
+            found += exact_pairs(own, queries, ids[huge], vectors[huge], k) if huge.any() else []
+            found += exact_pairs(own[big], queries[big], ids[~huge], vectors[~huge], k) if big.any() else []
+            ids, vectors = ids[~huge], vectors[~huge]
+            keep = rarely_equal(ids, vectors, k)
+            keep = keep[np.argsort(-_length(vectors[keep]), kind="stable")]
+            for a in range(0, len(keep), BLOCK):
+                walk_block(Block(ids[keep[a : a + BLOCK]], vectors[keep[a : a + BLOCK]]), queries[usual], own[usual], best)
+        more = np.array(found, np.int64).reshape(-1, 3)
+        out = (own[usual][best.query], more[:, 0]), (best.ids, more[:, 1]), (best.scores, more[:, 2])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _proven(seeds, width: int, large: float, k: int):
+    """Adds to queries (id, v) the k-th best score that they reach among the seeds, -inf where that is not known."""
+
+    def run(batches):
+        ids, vectors = seeds.value
+        small = np.abs(vectors).max(1, initial=0) < large
+        ids, vectors = ids[small], vectors[small]
+        blocks = [Block(ids[a : a + BLOCK], vectors[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
+        for batch in batches:
+            own, queries = batch.column(0).to_numpy(zero_copy_only=False), as_matrix(batch.column(1), width)
+            usual = np.flatnonzero(np.abs(queries).max(1, initial=0) < large)
+            best, least = Best(np.full(len(usual), -np.inf), k), np.full(len(own), -np.inf)
+            for block in blocks:
+                walk_block(block, queries[usual], own[usual], best)
+            least[usual] = best.least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], ["id", "v", "least"])
 
     return run
 
 
-def top_k(vectors: DataFrame, every: int, k: int, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, every: int, k: int, vec_id: str = "vec_id", embedding: str = "embedding", slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best other rows.
 
-    Ties go to the smaller id. Vectors that are null, empty or hold a null or non-finite component, and
-    rows without id, take no part; a shorter vector counts as padded with zeros. Rows that repeat an id
-    are candidates each, never for their own id; a repeated query id is asked once, by its smallest
-    vector. Index blocks are hashed by id and content, so no key can fill one; queries go to every
-    index block in blocks of their own, and each pair of blocks returns k rows a query at most.
-    Components are cut to CLIP in size.
+    Ties go to the smaller id. Vectors that are null or hold a null or non-finite component, and rows
+    without id, take no part; a shorter vector counts as filled up with zeros, an empty one as all zeros.
+    Rows that repeat an id are candidates each, never for their own id; a repeated query id is asked once,
+    by its smallest vector. Columns besides the two named are not read; an empty table has no rows.
+    Components may have any size: where sums could pass 64 bits they are added in whole numbers without
+    bound, and a score of a result that does is an error.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(embedding)).alias("v")).where("id is not null and size(v) > 0")
-    total, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    blocks, parts = max(1, -(-total // block)), max(1, -(-asked // (16 * QUERIES)))
-    parts_, blocks_ = (F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>") for n in (parts, blocks))
-    held = rows.select(F.lit(False).alias("ask"), "id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("b"), F.explode(parts_).alias("p"))
-    asks = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asks = asks.select(F.lit(True).alias("ask"), "id", "v", F.explode(blocks_).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p"))
-    near = held.unionByName(asks.select("ask", "id", "v", "b", "p")).groupBy("b", "p").applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    ranked = near.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "x"))
-    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(embedding)).alias("v")).where("id is not null and v is not null")
+    width, asked = (int(x or 0) for x in rows.agg(F.max(F.size("v")), F.count_if(F.col("id") % every == 0)).first())
+    large = 2.0 ** ((62 - max(1, width).bit_length()) // 2)
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    held = max(1, width) * 8
+    seeds = rows.orderBy(length.desc(), F.xxhash64("id", "v")).limit(max(k + 1, SEED_BYTES // held)).toArrow()
+    seeds = spark.sparkContext.broadcast((seeds.column(0).to_numpy(), as_matrix(seeds.column(1), width)))
+    slabs = max(1, math.ceil(asked / max(1, slab_bytes // held)))
+    asks = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_proven(seeds, width, large, k), "id long, v array<double>, least double")
+    asks = asks.withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int"))
+    asks = stored(asks) if slabs > 1 else asks
+    found = None
+    for s in range(slabs):
+        part = asks.where(F.col("slab") == s).toArrow()  # about slab_bytes
+        slab = spark.sparkContext.broadcast((part.column(0).to_numpy(), as_matrix(part.column(1), width), part.column(2).to_numpy()))
+        of = rows.mapInArrow(_search(slab, width, large, k), _FOUND)
+        of = stored(of) if slabs > 1 else of
+        found = of if found is None else found.unionByName(of)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) score from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select vec_id, min(v) v from v where vec_id % 50 = 0 group by vec_id),
+s as (select q.vec_id query_id, c.vec_id vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0) as bigint) score from a q, v c where q.vec_id <> c.vec_id),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score from s)
 select * from r where rank <= 5
 """

@@ -81,18 +81,60 @@ def test_jaccard_against_all_pairs(spark, most):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def best_of_all_pairs(rows, every, k):
+    """top_k by plain whole numbers over rows (id, vector)."""
+    fits = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    asks = {}
+    for i, v in fits:
+        if i % every == 0:
+            asks[i] = min(asks.get(i, v), v)
+    out = []
+    for q, w in asks.items():
+        scores = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for i, v in fits if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def vectors_of(spark, rows):
+    """With columns whose names the operator uses itself."""
+    return spark.createDataFrame([(i, v, 1, [2.0], 3.0, 4, 5) for i, v in rows], "vec_id long, embedding array<double>, id int, v array<double>, least double, slab int, rank int")
+
+
 def test_search_against_all_pairs(spark):
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(300, 16)).astype(np.float32)
-    v[7], v[9] = v[8], v[8]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (450, [])]
-    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5, block=64).collect()
-    q = np.floor(256 * v.astype(np.float64)).astype(np.int64)
-    want = [(i, k + 1, int(j), int(q[i] @ q[j])) for i in range(0, 300, 50) for k, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-int(q[i] @ q[j]), j))[:5])]
-    assert sorted(tuple(r) for r in got) == want
+    v = rng.normal(size=(600, 16))
+    v[7], v[9], v[200:500:3] = v[8], v[8], v[100]
+    rows = [(i, v[i].tolist()) for i in range(600)] + [(700, None), (701, [None] * 16), (702, [float("nan")] * 16), (750, []), (751, []), (800, v[3, :5].tolist()), (None, v[0].tolist()), (50, v[9].tolist()), (50, v[9].tolist()), (33, v[8].tolist())]
+    want = best_of_all_pairs(rows, 50, 5)
+    for slab_bytes in (search.SLAB_BYTES, 500):
+        got = search.top_k(vectors_of(spark, rows), 50, 5, slab_bytes=slab_bytes)
+        assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(tuple(r) for r in got.collect()) == want
+    assert search.top_k(vectors_of(spark, rows[:3]), 50, 5).count() == 2
     assert search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), 50, 5).count() == 0
 
 
+def test_search_of_very_large_components(spark):
+    rows = [(0, [2.0**22, 0.0]), (1, [2.0**22, 0.0]), (2, [2.0**23, 0.0]), (3, [1.0, 2.0]), (50, [-1.5, 2.0**40]), (4, [0.25, -(2.0**-9)]), (100, [3.0, 1.0])]
+    got = sorted(tuple(r) for r in search.top_k(vectors_of(spark, rows), 50, 5).collect())
+    assert got == best_of_all_pairs(rows, 50, 5) and got[0][2] == 2
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        search.top_k(vectors_of(spark, [(0, [2.0**40]), (1, [2.0**40])]), 50, 5).collect()
+
+
+def test_search_leaves_nothing_out_after_many_blocks():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(rng.normal(size=(5000, 8)) * 60) * rng.choice([1, 1, 20], 5000)[:, None]
+    queries, ids = vectors[::100], np.arange(5000)
+    best = search.Best(np.full(len(queries), -np.inf), 5)
+    for a in range(0, 5000, 700):
+        search.walk_block(search.Block(ids[a : a + 700], vectors[a : a + 700]), queries, ids[::100], best)
+    whole = vectors.astype(np.int64)
+    for q in range(len(queries)):
+        scores = whole @ whole[100 * q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != 100 * q)[:5]
+        assert [(-int(s), int(i)) for s, i in zip(best.scores[best.query == q], best.ids[best.query == q], strict=True)] == want
+
+
 def test_language_model_against_plain_counts(spark):
     r = random.Random(1)
     texts = [" ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(60))) for _ in range(120)] + [None, ""]
