@@ -1,73 +1,5 @@
-"""The corpus pipeline: language, near copies, benchmark passages, personal data, packing.
+"""The corpus pipeline; its stages are in sparkreel.llm.pipeline."""
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the
-last return the columns of `documents`. run() writes each stage's rows to the shared folder and
-reads them again as the next one's documents.
-"""
+from sparkreel.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from sparkreel.llm import decontam, jaccard, langid, packing, pii
-from sparkreel.llm.common import stored
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose words carry their commonest language with less mean probability is rejected.
-LEAST_SCORE = 0.4
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text carries a language: `und` and scores below LEAST_SCORE go."""
-    said = langid.predict(docs, keep=COLUMNS[1:])
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies (5-word shingles, Jaccard 0.8 or more) the smallest doc_id.
-
-    Of rows that repeat a doc_id the first by text stays; rows without a doc_id stay all.
-    """
-    first = jaccard.jaccard_components(docs, 5, 80, 100).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(first, "doc_id")
-    one = named.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))).where("_n = 1")
-    return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of whose words a twentieth or more lie in benchmark windows."""
-    found = decontam.report(decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return docs.select(*COLUMNS).join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in brackets in place of every span of personal data; n_chars follows."""
-    hidden = pii.personal_data(docs, keep=("lang", "source"))
-    return hidden.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts that are left, by words and an end token, into sequences of the permitted lengths."""
-    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("n_words")), "n_words")
-
-
-STAGES = [
-    ("language ID", language_id),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("PII", personal_data),
-    ("best-fit packing", best_fit_packing),
-]
-
-#: The stages hold trained models: SQL can't express them.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
