@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreel.llm.common import lower_ascii
+from sparkreel.llm.common import lower_ascii, stored
 
 #: Fixed by the contract: a word, once A-Z is lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,34 +72,46 @@ def benchmark_prints(benchmark: DataFrame, item_id: str = "item_id", text: str =
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", inline: int = INLINE) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids) of every document; item_ids is an ascending array of the items found in it.
+    """(doc_id, text_hash, n_words, n_hit, item_ids) of every row; item_ids is an ascending array of the items found in it.
 
-    Null or empty texts have no words. A null item id or text takes no part. Rows that repeat a doc_id
-    are one document: the most words of any row, the hits of all. Columns besides the named ones are
-    not read. Documents' fingerprints never leave their row unless the benchmark has them too, and then
-    only the words around a meeting travel; the one shuffle by document carries counts and windows.
+    Null or empty texts have no words. A null item id or text takes no part; rows that repeat an item id
+    are windows of that one item. Rows that repeat a doc_id, null ids too, have a result each;
+    text_hash (64 bits) tells their texts apart. Columns besides the named ones are not read.
+
+    Few benchmark fingerprints are known inside every row, so only words around a meeting leave it. Many are
+    joined by a shuffle: then (row, fingerprint, place) alone travels, and the meetings go back to the texts
+    of the rows that have one.
     """
     prints = benchmark_prints(benchmark)
     known = prints.select("unit", "print").distinct()
     sizes = benchmark.select(F.size(words_of(F.col("text"))).alias("n")).where("n > 0").agg(F.max("n"), F.array_sort(F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))))).first()
     longest, lengths = int(sizes[0] or 0), list(sizes[1] or [])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     if not longest:
-        return rows.groupBy("doc_id").agg(F.max(F.size("words")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("item_ids"))
-    rows = with_fingerprints(rows, "words", "_p13")
-    for n in lengths:
-        rows = rows.withColumn(f"_p{n}", _short_grams("words", n))
+        return rows.select("doc_id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<bigint>").alias("item_ids"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     units = [WINDOW, *lengths]
+
+    def printed(df: DataFrame) -> DataFrame:
+        df = with_fingerprints(df.withColumn("words", words_of(F.col("text"))).drop("text"), "words", "_p13")
+        for n in lengths:
+            df = df.withColumn(f"_p{n}", _short_grams("words", n))
+        return df
+
+    met = lambda u, xs: F.transform(xs, lambda x: F.struct(F.lit(u).alias("unit"), _print(x).alias("print"), _place(x).alias("at")))
     taken = known.limit(inline + 1).collect()
     if len(taken) <= inline:
         held = {u: [r["print"] for r in taken if r["unit"] == u] for u in units}
-        chosen = lambda u: F.filter(f"_p{u}", lambda x: _print(x).isin(held[u]))
+        rows = printed(rows).withColumn("meets", F.concat(*[met(u, F.filter(f"_p{u}", lambda x: _print(x).isin(held[u]))) for u in units]))
     else:
-        chosen = lambda u: F.col(f"_p{u}")
-    near = lambda x: F.slice("words", F.greatest(F.lit(1), _place(x) + 1 - longest), F.lit(2 * longest))
-    meet = lambda u: F.transform(chosen(u), lambda x: F.struct(F.lit(u).alias("unit"), _print(x).alias("print"), _place(x).alias("at"), near(x).alias("near")))
+        rows = stored(rows)  # the number of a row must be the same in both uses
+        all_prints = printed(rows).select("_row", F.explode(F.concat(*[met(u, F.col(f"_p{u}")) for u in units])).alias("m")).select("_row", "m.*")
+        some = all_prints.join(known, ["unit", "print"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("unit", "print", "at")).alias("meets"))
+        rows = rows.join(some, "_row", "left").withColumn("words", words_of(F.col("text")))
+        rows = rows.withColumn("meets", F.coalesce("meets", F.array().cast("array<struct<unit:int,print:int,at:int>>")))
+    near = lambda m: F.struct(m["unit"].alias("unit"), m["print"].alias("print"), m["at"].alias("at"), F.slice("words", F.greatest(F.lit(1), m["at"] + 1 - longest), F.lit(2 * longest)).alias("near"))
     count = F.struct(F.lit(None).cast("int").alias("unit"), F.lit(None).cast("int").alias("print"), F.size("words").alias("at"), F.array().cast("array<string>").alias("near"))
-    met = rows.select("doc_id", F.explode(F.concat(F.array(count), *[meet(u) for u in units])).alias("m")).select("doc_id", "m.*")
+    met = rows.select("_row", "doc_id", "text_hash", F.explode(F.concat(F.array(count), F.transform("meets", near))).alias("m")).select("_row", "doc_id", "text_hash", "m.*")
     met = met.join(prints, ["unit", "print"], "left").where("unit is null or item_id is not null")
     # along one offset: word j of the item lies at word at - place + j of the document, at - place - base + j of `near`
     met = met.withColumn("off", F.col("at") - F.col("place")).withColumn("base", F.greatest(F.lit(0), F.col("at") - longest))
@@ -109,38 +121,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     )
     spans = F.transform(begins, lambda j: F.struct((F.col("off") + j).alias("b"), (F.col("off") + j + F.col("unit")).alias("e")))
     found = met.withColumn("spans", F.when(F.col("unit").isNotNull(), spans)).where("unit is null or size(spans) > 0")
-    # a meeting repeats for each fingerprint of one offset: one row is enough
-    found = found.withColumn("item", F.col("item_id")).groupBy("doc_id", "item", "off", "unit").agg(F.max(F.when(F.col("unit").isNull(), F.col("at"))).alias("n_words"), F.max_by("spans", "at").alias("spans"))
+    # a meeting repeats for each fingerprint of one offset, with the same spans: one row is enough
+    found = found.select("_row", "doc_id", "text_hash", F.col("item_id").alias("item"), F.when(F.col("unit").isNull(), F.col("at")).alias("n_words"), "spans").distinct()
     joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
-    by_doc = found.groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"), joined.alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+    by_row = found.groupBy("_row", "doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), joined.alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(s["b"], a["to"]))).alias("n"), F.greatest(a["to"], s["e"]).alias("to")),
         lambda a: a["n"],
     )
-    return by_doc.select("doc_id", "n_words", F.when(F.size("spans") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_hit"), "item_ids")
+    return by_row.select("doc_id", "text_hash", "n_words", F.when(F.size("spans") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_hit"), "item_ids")
 
 
-def report(found: DataFrame) -> DataFrame:
-    """The contract's columns from contamination()."""
+def report(found: DataFrame, *also: str) -> DataFrame:
+    """The contract's columns from contamination(), and those of its own that are asked for."""
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *also,
     )
 
 
 ORACLE = r"""
-with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
 bw as (select item_id, least(13, len(w)) u, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') g from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0)),
 units as (select distinct u from bw),
-dw as (select doc_id, u, i, array_to_string(w[i:i + u - 1], ' ') g from (select doc_id, w, u, unnest(range(1, len(w) - u + 2)) i from d, units where len(w) >= u)),
-hit as (select distinct doc_id, i, dw.u u, item_id from dw join bw on dw.g = bw.g and dw.u = bw.u),
-pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + u)) p from hit) group by doc_id),
-items as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct doc_id, cast(item_id as varchar) s from hit) group by doc_id)
+dw as (select r, u, i, array_to_string(w[i:i + u - 1], ' ') g from (select r, w, u, unnest(range(1, len(w) - u + 2)) i from d, units where len(w) >= u)),
+hit as (select distinct r, i, dw.u u, item_id from dw join bw on dw.g = bw.g and dw.u = bw.u),
+pos as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + u)) p from hit) group by r),
+items as (select r, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct r, cast(item_id as varchar) s from hit) group by r)
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join pos using (doc_id) left join items using (doc_id)
+from d left join pos using (r) left join items using (r)
 """
