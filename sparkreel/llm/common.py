@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.session import scratch_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _rng = np.random.default_rng(20240229)
@@ -22,7 +21,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = []
-_own_dir: list[str] = []
 
 
 def lower_ascii(text: Column) -> Column:
@@ -30,20 +28,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares for checkpoints (spark.checkpoint.dir).
-
-    Only a local session may do without that setting; a temporary folder then takes its place.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _own_dir[0] if _own_dir else tempfile.mkdtemp(prefix="sparkreel-")
-        _own_dir[:] = [root]
-    return f"{root.rstrip('/')}/sparkreel-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read back: lineage ends, lost executors cost nothing."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
@@ -125,7 +109,7 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (src, dst), component being the smallest id reachable.
 
     Alternating large-star and small-star steps; every step is two shuffles of the edges, which
@@ -133,7 +117,7 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """
     pairs = edges.where("src <> dst").selectExpr("greatest(src, dst) u", "least(src, dst) v").distinct()
     pairs, last = stored(pairs), None
-    for _ in range(rounds):
+    while True:
         both = pairs.unionByName(pairs.selectExpr("v u", "u v"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").selectExpr("v u", "m v").distinct()

@@ -6,8 +6,9 @@ the threshold demands) share one; sets that share such a hash meet in a cell. In
 the count vectors finds the pairs whose bound reaches the threshold. Cells give a spanning forest of
 those pairs only, whose components ("neighbourhoods") hold every link; inside a neighbourhood the
 whole sets are built once more from the texts, searched by the R-tree again, and each surviving pair
-is decided exactly. Equal sets are one point throughout. Cells and neighbourhoods of more than `most`
-points are split into blocks, every two blocks a task of their own: exact, and bounded in memory.
+is decided by the shingles themselves, as 64-bit hashes of their words. Equal sets are one point
+throughout. Cells and neighbourhoods of more than `most` points or of many bytes are split into blocks,
+every two blocks a group of their own: exact, and bounded in memory.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.llm.common import chained, connected_components, forget, mix, slices, stored, utf8_buffers, word_hashes
 
-#: Least groups of a count vector (doubled until a group holds four shingles at most on average), points of a leaf,
-#: points of a block, bytes hashed at once, shingles of two leaves that are compared as one matrix.
-GROUPS, LEAF, MOST, SLICE, MATRIX = 64, 32, 4096, 1 << 20, 200_000
-_SKETCH = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, counts binary"
+#: Least groups of a count vector (doubled until a group holds four shingles at most on average), points of a leaf, nodes
+#: of a node, points of a block, bytes hashed at once, shingles of two leaves that are compared as one matrix.
+GROUPS, LEAF, FAN, MOST, SLICE, MATRIX = 64, 32, 8, 1024, 1 << 20, 200_000
+#: Bytes of a block, coordinates of node pairs compared at once, rows of whole cells and of whole neighbourhoods that go together.
+BLOCK_BYTES, COORDINATES, CELL_ROWS, TEXT_ROWS = 8 << 20, 4_000_000, 10_000, 500
+_SKETCH = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, counts binary, bytes long"
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -72,6 +76,7 @@ def _sketcher(size: int, num: int, den: int):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             for doc, u in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 n = len(u)
                 keep = n - -(-num * n // den) + 1 if n else 0
@@ -81,7 +86,7 @@ def _sketcher(size: int, num: int, den: int):
                     to.append(x)
             at = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out[4]])))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), prefix, pa.array(out[5], pa.binary())], ["doc_id", "n", "fp1", "fp2", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), prefix, pa.array(out[5], pa.binary()), sizes], ["doc_id", "n", "fp1", "fp2", "prefix", "counts", "bytes"])
 
     return run
 
@@ -122,31 +127,73 @@ def rtree_leaves(points: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class Tree:
+    """An R-tree over count vectors: FAN nodes to a node above them, down to leaves. A node's box keeps the largest count of each group and the smallest set size."""
+
+    def __init__(self, tops: np.ndarray, sizes: np.ndarray):
+        self.leaves = rtree_leaves(tops, sizes)
+        self.levels = [(np.array([tops[x].max(0) for x in self.leaves]), np.array([sizes[x].min() for x in self.leaves]))]
+        while len(self.levels[-1][0]) > 1:
+            top, low = self.levels[-1]
+            at = np.arange(0, len(top), FAN)
+            self.levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at)))
+
+
+def _below(nodes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `nodes`, child) of all children, a level of n nodes lying below."""
+    child = nodes[:, None] * FAN + np.arange(FAN)
+    place, at = np.nonzero(child < n)
+    return place, child[place, at]
+
+
+def meeting_leaves(a: Tree, b: Tree, num: int, den: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves of two trees (same: of one with itself, each pair once) whose boxes leave room for a link, going down both trees together."""
+    up, to = len(a.levels) - 1, len(b.levels) - 1
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while True:
+        (top_a, low_a), (top_b, low_b) = a.levels[up], b.levels[to]
+        step, keep = max(1, COORDINATES // top_a.shape[1]), []
+        for x in range(0, len(i), step):
+            p, q = i[x : x + step], j[x : x + step]
+            keep.append((num + den) * np.minimum(top_a[p], top_b[q]).sum(1) >= num * (low_a[p] + low_b[q]))
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        i, j = i[keep], j[keep]
+        if not up and not to:
+            return i, j
+        down_a, down_b = up >= to, to >= up
+        if down_a:
+            up -= 1
+            place, i = _below(i, len(a.levels[up][0]))
+            j = j[place]
+        if down_b:
+            to -= 1
+            place, j = _below(j, len(b.levels[to][0]))
+            i = i[place]
+        if same:
+            i, j = i[i <= j], j[i <= j]
+
+
 def _tree_against_tree(points: Points, left: np.ndarray, right: np.ndarray | None, level: int, num: int, den: int, forest: Forest):
     """(rows, cols, which pairs) of leaves of left and right (None: of left with itself) at one level."""
     if not len(left) or right is not None and not len(right):
         return
     tops_left = points.at(left, level)
     tops_right, cols_all = (tops_left, left) if right is None else (points.at(right, level), right)
-    ours = rtree_leaves(tops_left, points.sizes[left])
-    theirs = ours if right is None else rtree_leaves(tops_right, points.sizes[right])
-    top_b, low_b = np.array([tops_right[x].max(0) for x in theirs]), np.array([points.sizes[cols_all[x]].min() for x in theirs])
-    for a, x in enumerate(ours):
-        rows, first = left[x], a if right is None else 0
-        fits = (num + den) * np.minimum(tops_left[x].max(0), top_b[first:]).sum(1) >= num * (points.sizes[rows].min() + low_b[first:])
-        for b in (np.flatnonzero(fits) + first).tolist():
-            y = theirs[b]
-            cols = cols_all[y]
-            apart = forest.roots(rows)[:, None] != forest.roots(cols)[None, :]
-            if right is None and a == b:
-                apart &= np.triu(np.ones_like(apart), 1)
-            apart &= den * np.minimum(points.sizes[rows][:, None], points.sizes[cols]) >= num * np.maximum(points.sizes[rows][:, None], points.sizes[cols])
-            some = np.flatnonzero(apart.any(1))
-            if len(some):
-                shared = np.minimum(tops_left[x[some]][:, None, :], tops_right[y][None, :, :]).sum(2)
-                apart[some] &= (num + den) * shared >= num * (points.sizes[rows[some]][:, None] + points.sizes[cols][None, :])
-                if apart.any():
-                    yield rows, cols, apart
+    ours = Tree(tops_left, points.sizes[left])
+    theirs = ours if right is None else Tree(tops_right, points.sizes[right])
+    for a, b in zip(*(x.tolist() for x in meeting_leaves(ours, theirs, num, den, right is None)), strict=True):
+        x, y = ours.leaves[a], theirs.leaves[b]
+        rows, cols = left[x], cols_all[y]
+        apart = forest.roots(rows)[:, None] != forest.roots(cols)[None, :]
+        if right is None and a == b:
+            apart &= np.triu(np.ones_like(apart), 1)
+        apart &= den * np.minimum(points.sizes[rows][:, None], points.sizes[cols]) >= num * np.maximum(points.sizes[rows][:, None], points.sizes[cols])
+        some = np.flatnonzero(apart.any(1))
+        if len(some):
+            shared = np.minimum(tops_left[x[some]][:, None, :], tops_right[y][None, :, :]).sum(2)
+            apart[some] &= (num + den) * shared >= num * (points.sizes[rows[some]][:, None] + points.sizes[cols][None, :])
+            if apart.any():
+                yield rows, cols, apart
 
 
 def rtree_pairs(points: Points, left: np.ndarray, right: np.ndarray | None, num: int, den: int, forest: Forest):
@@ -183,9 +230,10 @@ def shared_shingles(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray,
         yield int(rows[i]), int(cols[j]), int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _cells(cell: DataFrame, sizes: DataFrame, most: int, key: str) -> DataFrame:
-    """Rows of cells with (lo, hi, side): cells over `most` rows are cut into blocks, a task for every two."""
-    cell = cell.join(sizes.select(key, F.ceil(F.col("members") / most).cast("int").alias("blocks")), key)
+def _cells(cell: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows of cells with (lo, hi, side): cells (sizes: key, members, bytes) over `most` rows or BLOCK_BYTES are cut into blocks, a group for every two."""
+    blocks = F.ceil(F.greatest(F.col("members") / most, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    cell = cell.join(sizes.select("key", blocks.alias("blocks")), "key")
     cell = cell.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return cell.select("*", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).drop("other")
@@ -242,9 +290,11 @@ def _links(size: int, num: int, den: int):
     return run
 
 
-def _packed(cells: DataFrame, rows: int, a_task: int) -> Column:
-    """A grouping column that puts about so many rows of whole cells together."""
-    return F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(12, -(-rows // a_task))))
+def _packed(sizes: DataFrame, most: int, a_task: int) -> Column:
+    """A grouping column that puts about `a_task` rows, or BLOCK_BYTES, of whole cells together."""
+    blocks = F.greatest(F.col("members") / most, F.col("bytes") / BLOCK_BYTES, F.lit(1.0))
+    rows, size = sizes.agg(F.sum(F.col("members") * F.ceil(blocks)), F.sum(F.col("bytes") * F.ceil(blocks))).first()
+    return F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(12, -(-int(rows or 0) // a_task), -(-int(size or 0) // BLOCK_BYTES))))
 
 
 def jaccard_components(docs: DataFrame, size: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
@@ -254,33 +304,34 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, doc_id: s
     shorter text is one shingle, a text without words or null has none and links with nothing, nor
     does a row without doc_id (component null). component_id is the smallest doc_id reachable by links.
     Rows that repeat a doc_id are one node, linked as any of them is. Columns besides the two named
-    are not read, so clashing names do no harm; an empty table gives no rows.
+    are not read, so clashing names do no harm; an empty table gives no rows. Shingles are compared by
+    hashes of 64 bits.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketch = stored(texts.mapInArrow(_sketcher(size, num, den), _SKETCH))
     same = sketch.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
     same = stored(same)
-    reps = sketch.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "id").select("id", "n", "prefix", "counts")
+    reps = sketch.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "id").select("id", "n", "prefix", "counts", "bytes")
     reps = stored(reps)
     met = reps.select("id", F.explode("prefix").alias("key")).repartition("key")
     shared = met.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least")).where("members > 1")
     # keys held by the same sets tell the same: one of them is enough
     shared = shared.groupBy("members", "x", "least").agg(F.min("key").alias("key"))
-    cells = stored(met.join(shared, "key").select("key", "members", "id"))
-    members = cells.select("key", "members").distinct()
-    split = stored(_cells(cells.drop("members"), members, most, "key").join(reps.select("id", "n", "counts"), "id"))
-    pack = _packed(split, split.count(), 20_000)
+    cells = stored(met.join(shared, "key").select("key", "id"))
+    weights = cells.join(reps.select("id", F.octet_length("counts").alias("w")), "id")
+    sizes = stored(weights.groupBy("key").agg(F.count("*").alias("members"), F.sum("w").alias("bytes")))
+    split = _cells(cells, sizes, most).join(reps.select("id", "n", "counts"), "id")
+    pack = _packed(sizes, most, CELL_ROWS)
     near = connected_components(split.groupBy(pack).applyInPandas(_forest_of_cells(num, den), "src long, dst long"))
     near = stored(near.withColumnRenamed("component", "key"))
-    crowd = near.groupBy("key").agg(F.count("*").alias("members"))
-    around = stored(_cells(near, crowd, most, "key"))
-    members_text = around.join(texts.withColumnRenamed("doc_id", "id"), "id")
-    pack = _packed(around, around.count(), 2_000)
+    crowd = stored(near.join(reps.select("id", "bytes"), "id").groupBy("key").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")))
+    members_text = _cells(near, crowd, most).join(texts.withColumnRenamed("doc_id", "id"), "id")
+    pack = _packed(crowd, most, TEXT_ROWS)
     links = members_text.groupBy(pack).applyInPandas(_links(size, num, den), "src long, dst long")
     linked = connected_components(links)
     named = same.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named)
-    for x in (reps, cells, split, near, around):
+    for x in (reps, cells, sizes, near, crowd):
         forget(x)
     out = sketch.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
