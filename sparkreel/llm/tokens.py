@@ -2,9 +2,9 @@
 
 No piece of the model holds a space mark after another character, nor a line feed: merges never
 cross the start of a run of spaces or a line feed, so a text's tokens are those of its pre-tokens.
-First tier: a table of the most frequent pre-tokens' lengths, broadcast; second: each worker's cache
-of what it had to encode. Pre-tokens are never shuffled; only each task's short list of its most
-frequent ones is, to make the table.
+First tier: a table of frequent pre-tokens' lengths, broadcast; second: each worker's cache of what it
+had to encode. Which pre-tokens the table holds decides how fast the first texts of a task are, never a
+count, so it is taken from a bounded number of texts. Pre-tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the broadcast table, pre-tokens that a task proposes for it, and counters a task holds meanwhile.
-TABLE, PROPOSED, HELD = 16_384, 8_192, 65_536
+#: Rows of the broadcast table, texts that it is taken from, and counters held meanwhile.
+TABLE, TEXTS, HELD = 16_384, 4_096, 65_536
 #: Pre-tokens in a worker's cache before it starts anew; longer ones than LONG are encoded but not kept.
 CACHE, LONG = 200_000, 64
 SPACE = "▁"
@@ -68,22 +68,22 @@ class Lengths(dict):
 
 
 def _frequent(batches):
-    """Each task's most frequent pre-tokens, counted over all its texts; rare ones are dropped when too many are held."""
+    """The most frequent pre-tokens of a task's texts; rare ones are dropped when too many are held."""
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column(0):
             seen.update(pre_tokens(text.as_py() or ""))
             if len(seen) > 4 * HELD:
                 seen = Counter(dict(seen.most_common(HELD)))
-    top = [(t, n) for t, n in seen.most_common(PROPOSED) if len(t) <= LONG and n > 1]
+    top = [(t, n) for t, n in seen.most_common(TABLE) if len(t) <= LONG and n > 1]
     yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> dict[str, int]:
-    """The broadcast table: at most TABLE pre-tokens of at most LONG characters, with their lengths."""
-    top = docs.select(F.col(text).alias("text")).mapInArrow(_frequent, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(TABLE)
+    """The broadcast table: at most TABLE pre-tokens of at most LONG characters from TEXTS texts, with their lengths."""
+    some = docs.select(F.col(text).alias("text")).limit(TEXTS).mapInArrow(_frequent, "token string, n long")
     encoder = Encoder(path)
-    return {r["token"]: encoder(r["token"]) for r in top.collect()} if encoder.splits else {}
+    return {r["token"]: encoder(r["token"]) for r in some.collect()[:TABLE]} if encoder.splits else {}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
