@@ -87,13 +87,21 @@ class Field:
         self.weights, self.moves, self.first = params
         return self
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray, with_moves: bool = False):
-        """Forward-backward: label probabilities (sequence, position, label), and the expected moves if asked for."""
+    def _potentials(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.exp(scores - scores.max(2, keepdims=True)), np.exp(self.moves - self.moves.max()), np.exp(self.first - self.first.max())
+
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, with_moves: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Forward-backward: label probabilities (sequence, position, label), and the expected moves if asked for.
+
+        before, after: for sequences that are parts of longer ones, the messages (sequence, label) that
+        enter at the first position and at the last one.
+        """
         n, most, k = scores.shape
-        p = np.exp(scores - scores.max(2, keepdims=True))
-        t, start = np.exp(self.moves - self.moves.max()), np.exp(self.first - self.first.max())
+        p, t, start = self._potentials(scores)
         ahead, back, scale = np.zeros_like(p), np.ones_like(p), np.ones((n, most))
-        a = p[:, 0] * start
+        if after is not None:
+            back[:] = after[:, None]
+        a = p[:, 0] * (start if before is None else before)
         for i in range(most):
             if i:
                 a = (a @ t) * p[:, i]
@@ -102,7 +110,7 @@ class Field:
             ahead[:, i] = a
         for i in range(most - 2, -1, -1):
             b = ((p[:, i + 1] * back[:, i + 1]) @ t.T) / scale[:, i + 1][:, None]
-            back[:, i] = np.where((i + 1 < lengths)[:, None], b, 1.0)
+            back[:, i] = np.where((i + 1 < lengths)[:, None], b, back[:, i])
         out = ahead * back
         out /= out.sum(2, keepdims=True)
         if not with_moves:
@@ -113,6 +121,28 @@ class Field:
             moved += t * (ahead[on, i].T @ (p[on, i + 1] * back[on, i + 1] / scale[on, i + 1][:, None]))
         return out, moved
 
+    def transfers(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(sequence, label, label): what each sequence does to a message that enters it, up to a factor."""
+        p, t, _ = self._potentials(scores)
+        out = p[:, 0, :, None] * np.eye(p.shape[2])
+        for i in range(1, p.shape[1]):
+            new = (out @ t) * p[:, i, None, :]
+            out = np.where((i < lengths)[:, None, None], new / new.max((1, 2), keepdims=True), out)
+        return out
+
+    def messages(self, transfers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the parts of one sequence the messages that enter each at its first and at its last position."""
+        t, m = np.exp(self.moves - self.moves.max()), len(transfers)
+        before, after = np.ones((2, m, transfers.shape[1]))
+        before[0] = np.exp(self.first - self.first.max())
+        for i in range(1, m):
+            a = (before[i - 1] @ transfers[i - 1]) @ t
+            before[i] = a / a.sum()
+        for i in range(m - 2, -1, -1):
+            b = t @ (transfers[i + 1] @ after[i + 1])
+            after[i] = b / b.sum()
+        return before, after
+
     def best(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Viterbi: the likeliest labels (sequence, position); past a sequence's end they mean nothing. Ties go to the earlier label."""
         n, most, k = scores.shape

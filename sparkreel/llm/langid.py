@@ -1,8 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words get affix, n-gram and lexicon features; learned moves between languages let a text change
-language; forward-backward labels every word, and a text's language is the one most of its words
-carry, its score that language's mean probability.
+Words get affix, n-gram and lexicon features; moves between languages are learned from rows that change
+language, made of stretches of the labelled texts; forward-backward labels every word, and a text's
+language is the one most of its words carry, its score that language's mean probability.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from sparkreel.llm.crf import Field, padded
 
 #: Bounds of the labelled sample: texts of each language, of each where there are many, of all of those, characters of each, words of a language in the lexicon.
 TEXTS, FEWEST, ALL_TEXTS, CHARACTERS, LEXICON = 80, 10, 2_560, 3_000, 400
-#: Words of a chain (longer texts are several chains), words that a worker keeps, words labelled at once, new words whose features are looked up at once.
-CHAIN, CACHE, AT_ONCE, AT_TIME = 128, 200_000, 150_000, 10_000
-#: Chains labelled at once; with more languages than these, fewer chains, and fewer words kept.
-CHAINS, USUAL = 2048, 16
+#: Words of a training chain; words of a text from which on it is labelled in parts of PART words that hand messages on.
+CHAIN, WHOLE, PART = 128, 1024, 256
+#: Words of a stretch of one language in a training row that changes language, and such rows for each labelled text.
+STRETCH, SWITCHED = (3, 24), 0.5
+#: Words that a worker keeps, words labelled at once, new words whose features are looked up at once.
+CACHE, AT_ONCE, AT_TIME = 200_000, 300_000, 10_000
+#: Places of the padded matrices; with more languages than USUAL, fewer of them, and fewer words kept.
+PLACES, USUAL = 262_144, 16
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,8 +97,27 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, where: C
     return top.select("lang", "text", "h").orderBy("lang", "h", "text").collect()
 
 
+def switched(texts: list[tuple[int, list[str]]], rows: int, seed: int = 11):
+    """(labels, words) of rows that change language: stretches of two texts of different languages by turns."""
+    r = np.random.default_rng(seed)
+    labels = np.array([i for i, _ in texts])
+    if len(set(labels.tolist())) < 2:
+        return
+    for _ in range(rows):
+        one = int(r.integers(len(texts)))
+        two = int(r.choice(np.flatnonzero(labels != labels[one])))
+        out: tuple[list, list] = ([], [])
+        for turn in range(int(r.integers(2, 5))):
+            label, words = texts[(one, two)[turn % 2]]
+            n = int(r.integers(*STRETCH))
+            at = int(r.integers(max(1, len(words) - n + 1)))
+            out[0].extend([label] * len(words[at : at + n]))
+            out[1].extend(words[at : at + n])
+        yield out
+
+
 def fit(sample: list) -> tuple[Field, frozenset] | None:
-    """The field and its lexicon from rows of (lang, text), every word of a row carrying its language."""
+    """The field and its lexicon from rows of (lang, text): every word of a row carries its language, and rows that change language are made of them."""
     labels = sorted({r["lang"] for r in sample})
     if not labels:
         return None
@@ -105,11 +128,12 @@ def fit(sample: list) -> tuple[Field, frozenset] | None:
     lexicon = frozenset(w for c in counts.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
     number: dict[str, int] = {}
     sequences, answers = [], []
-    for i, words in texts:
+    rows = [([i] * len(words), words) for i, words in texts]
+    for said, words in [*rows, *switched(texts, int(SWITCHED * len(texts)))]:
         ids = [number.setdefault(w, len(number)) for w in words]
         for a in range(0, len(ids), CHAIN):
             sequences.append(np.array(ids[a : a + CHAIN], np.int64))
-            answers.append(np.full(len(sequences[-1]), i, np.int64))
+            answers.append(np.array(said[a : a + CHAIN], np.int64))
     events = [word_features(w, lexicon) for w in number]
     return Field(labels).fit(events, sequences, answers, rounds=40, least=3), lexicon
 
@@ -134,25 +158,61 @@ class Labeller:
             self.table = np.concatenate([self.table, *(self.emissions(new[i : i + AT_TIME]) for i in range(0, len(new), AT_TIME))])
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
+    def _blocks(self, chains: list[np.ndarray]):
+        """(which, padded numbers, lengths) of chains of like length, so many that the matrix has about PLACES places."""
+        sizes = np.array([len(c) for c in chains], np.int64)
+        order, a = np.argsort(sizes, kind="stable"), 0
+        most = PLACES * USUAL // max(USUAL, len(self.field.labels))
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * sizes[order[b]] <= most:
+                b += 1
+            yield order[a:b], *padded([chains[i] for i in order[a:b]])
+            a = b
+
+    def _parts(self, long: list[np.ndarray]):
+        """Long texts in parts: (owner of each part, parts, messages that enter them at either end)."""
+        parts = [t[a : a + PART] for t in long for a in range(0, len(t), PART)]
+        owner = np.repeat(np.arange(len(long)), [-(-len(t) // PART) for t in long])
+        k = len(self.field.labels)
+        transfers, before, after = np.zeros((len(parts), k, k)), *np.zeros((2, len(parts), k))
+        for which, x, lengths in self._blocks(parts):
+            transfers[which] = self.field.transfers(self.table[x], lengths)
+        for i in range(len(long)):
+            own = owner == i
+            before[own], after[own] = self.field.messages(transfers[own])
+        return owner, parts, before, after
+
+    def probabilities(self, texts: list[list[str]]):
+        """(text, place of its first word, lengths, label probabilities) of blocks of texts or parts of texts."""
+        ids = self.numbers([w for t in texts for w in t])
+        own = np.split(ids, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
+        # transfers cost a square of labels a word: with many of them a long text is one chain
+        whole = WHOLE if len(self.field.labels) <= USUAL else len(ids) + 1
+        short = [i for i, t in enumerate(own) if len(t) <= whole]
+        for which, x, lengths in self._blocks([own[i] for i in short]):
+            yield np.array(short)[which], np.zeros(len(which), np.int64), lengths, self.field.marginals(self.table[x], lengths)
+        long = [i for i, t in enumerate(own) if len(t) > whole]
+        if long:
+            owner, parts, before, after = self._parts([own[i] for i in long])
+            place = np.concatenate([np.arange(0, len(own[i]), PART) for i in long])
+            for which, x, lengths in self._blocks(parts):
+                yield np.array(long)[owner[which]], place[which], lengths, self.field.marginals(self.table[x], lengths, before=before[which], after=after[which])
+
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """For each text the sum of its words' label probabilities."""
         out = np.zeros((len(texts), len(self.field.labels)))
-        ids = self.numbers([w for t in texts for w in t])
-        chains, owner, at = [], [], 0
-        for i, t in enumerate(texts):
-            for a in range(at, at + len(t), CHAIN):
-                chains.append(ids[a : min(a + CHAIN, at + len(t))])
-                owner.append(i)
-            at += len(t)
-        order = np.argsort([len(c) for c in chains], kind="stable")
-        owner = np.array(owner, np.int64)
-        some = max(1, CHAINS * USUAL // max(USUAL, len(self.field.labels)))
-        for a in range(0, len(order), some):
-            part = order[a : a + some]
-            x, lengths = padded([chains[i] for i in part])
-            p = self.field.marginals(self.table[x], lengths)
-            p[np.arange(x.shape[1])[None, :] >= lengths[:, None]] = 0
-            np.add.at(out, owner[part], p.sum(1))
+        for which, _, lengths, p in self.probabilities(texts):
+            p[np.arange(p.shape[1])[None, :] >= lengths[:, None]] = 0
+            np.add.at(out, which, p.sum(1))
+        return out
+
+    def words(self, texts: list[list[str]]) -> list[list[str]]:
+        """The likeliest language of every word."""
+        out = [[""] * len(t) for t in texts]
+        for which, place, lengths, p in self.probabilities(texts):
+            for i, a, n, best in zip(which, place, lengths, p.argmax(2), strict=True):
+                out[i][a : a + n] = [self.field.labels[x] for x in best[:n]]
         return out
 
 
@@ -161,8 +221,9 @@ def predict(docs: DataFrame, parts: int = 5, held: int = 0, doc_id: str = "doc_i
 
     Learns from rows whose fold is not `held` and whose lang is not null, within the bounds above;
     predictions see the text alone. A null text, one without a letter, and every text if nothing could
-    be learned, is `und` with score 0. Ties go to the language first by name. Texts are whole; rows
-    repeat as in the input.
+    be learned, is `und` with score 0. Ties go to the language first by name. Texts are whole, however
+    long: the messages of forward-backward pass through all of a text. Rows repeat as in the input, null
+    ids too; an empty table gives no rows; columns not named are not read, so their names may clash.
     """
     held_out = fold(F.col(doc_id), parts) == held
     model = fit(labelled_sample(docs, doc_id, text, lang, ~held_out))
