@@ -57,7 +57,8 @@ class Page:
     """A page's tree as parallel lists in page order; node 0 stands above all elements."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.gone, self.marked = [-1], ["#"], [False], [False]
+        self.parent, self.tag, self.gone, self.marked, self.inside = [-1], ["#"], [False], [False], [False]
+        self.open: dict[str, list[int]] = {}  # of each name the places of its open elements in the stack
         self.text: list[tuple[int, str]] = []  # node and piece of text; a piece None is a block's edge
         stack, at = [0], 0
         for m in iter(lambda: _MARKUP.search(source, at), None):
@@ -73,7 +74,7 @@ class Page:
             rest = m[3] if m[2] else m[6]
             node = self._open(stack, name, rest)
             if name in _VOID or rest.endswith("/") and name in ("svg", "path"):
-                stack.pop()
+                self._cut(stack, len(stack) - 1)
             elif name in _RAW:
                 end = _RAW[name].search(source, at)
                 at = end.start() if end else len(source)
@@ -93,24 +94,32 @@ class Page:
         elif name == "br":
             self.text.append((node, " "))
 
+    def _cut(self, stack: list[int], at: int) -> None:
+        """Closes the open elements from a place of the stack on."""
+        for node in stack[at:]:
+            self.open[self.tag[node]].pop()
+        del stack[at:]
+
+    def _last(self, names) -> int:
+        """The place in the stack of the innermost open element of these names, 0 if there is none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
     def _open(self, stack: list[int], name: str, rest: str) -> int:
         closes, bounds = _CLOSES.get(name, ((), ()))
         if name in _BLOCK:
             closes, bounds = closes or {"p"}, bounds or _SCOPE
-        for i in range(len(stack) - 1, 0, -1) if closes else ():
-            tag = self.tag[stack[i]]
-            if tag in closes:
-                del stack[i:]
-                break
-            if tag in bounds:
-                break
+        at = self._last(closes)
+        if at and at > self._last(bounds):
+            self._cut(stack, at)
         node, above = len(self.parent), stack[-1]
         self.parent.append(above)
         self.tag.append(name)
+        self.inside.append(self.inside[above] or name in ("article", "main"))
         away, marked = self._away(name, rest, above)
         self.gone.append(self.gone[above] or away)
         self.marked.append(marked)
         self._edge(node, name)
+        self.open.setdefault(name, []).append(len(stack))
         stack.append(node)
         return node
 
@@ -120,10 +129,7 @@ class Page:
             return True, False
         if name in ("html", "body", "main"):
             return False, False
-        inside = name == "article"
-        while above and not inside:
-            inside = self.tag[above] in ("article", "main")
-            above = self.parent[above]
+        inside = name == "article" or self.inside[above]
         if name == "header" and not inside:
             return True, False
         if not rest or "=" not in rest and "hidden" not in rest:
@@ -164,11 +170,9 @@ class Page:
         self.text = [(node, piece) for node, piece in self.text if piece is None or not self.gone[node]]
 
     def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == name:
-                self._edge(stack[i], name)
-                del stack[i:]
-                return
+        if at := self._last((name,)):
+            self._edge(stack[at], name)
+            self._cut(stack, at)
 
     def root(self) -> int:
         """Where the search begins: the body."""
