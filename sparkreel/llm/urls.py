@@ -4,7 +4,9 @@ Both models are variable-order Markov models over the characters of a URL, one c
 one on rejected URLs. A context is kept while it was seen often enough, up to `ORDER` characters;
 the probability of a character after a context mixes its frequency there with its probability after the
 context one character shorter. A URL's score is the mean, over its characters, of the log-likelihood
-difference; the cut between allow and block is where the labelled URLs' balanced accuracy is highest.
+difference; the cut between allow and block is where the balanced accuracy on labelled URLs that the
+models have not seen is highest. Labels come from the rules alone: on hosts that no rule names the verdict
+carries over what their URLs have in common with those of the rules' hosts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ ALPHABET = [chr(c) for c in range(0x21, 0x7F)] + ["�"]
 EDGE = "\u0002"
 #: Width of a score's bin in the calibration, and the score at which bins end.
 BIN, END = 0.002, 8.0
+#: One in so many labelled URLs, by crc32, is kept from the models and calibrates the cut.
+HELD = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -99,28 +103,30 @@ def score(rows: DataFrame, values: DataFrame, keep: list[str], small: int = SMAL
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The cut with the highest balanced accuracy over (good, score); scores are counted in at most 8,001 bins."""
+    """The cut with the highest balanced accuracy over (good, score), half-way to the next score; scores are counted in at most 8,001 bins."""
     bins = scored.groupBy(F.round(F.greatest(F.lit(-END), F.least(F.lit(END), "score")) / BIN).cast("int").alias("bin")).agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no"))
     up, alls = W.orderBy("bin"), W.partitionBy()
     gain = F.coalesce(F.try_divide(F.sum("no").over(up), F.sum("no").over(alls)), F.lit(0.0)) - F.coalesce(F.try_divide(F.sum("yes").over(up), F.sum("yes").over(alls)), F.lit(0.0))
-    best = bins.select("bin", gain.alias("gain")).orderBy(F.desc("gain"), "bin").first()
-    return (best["bin"] + 0.5) * BIN if best else 0.0
+    best = bins.select("bin", gain.alias("gain"), F.lead("bin").over(up).alias("next")).orderBy(F.desc("gain"), "bin").first()
+    return (best["bin"] + (best["next"] if best["next"] is not None else best["bin"] + 1)) / 2 * BIN if best else 0.0
 
 
 def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, small: int = SMALL) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row.
 
-    Rules decide where one fits; their URLs are the models' labelled rows, an allowed one accepted and a
-    blocked one rejected. Elsewhere the score decides: allow above the cut. Without labelled rows of
-    either kind the models are alike, every score is 0 and the cut too: allow. A null or empty URL has score 0. Rows that
+    Rules decide where one fits; their URLs are the labelled rows, an allowed one accepted and a blocked one
+    rejected: one in HELD calibrates the cut, the models learn from the others. Elsewhere the score
+    decides: allow from the cut on; the lowest of equally good cuts holds. Without labelled rows of either
+    kind the models are alike, every score is 0 and the cut too: allow. A null or empty URL has score 0. Rows that
     repeat an id keep a verdict each; columns besides the two named are not read.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), said.alias("said"))
-    values = fit(rows.select("url", (F.col("said") == "allow").alias("good")))
-    scored = stored(score(rows, values, ["page_id", "host", "path", "rule", "said"], small))
-    cut = calibrate(scored.where("rule is not null").select((F.col("said") == "allow").alias("good"), "score"))
+    held = F.crc32(F.col("url").cast("binary")) % HELD == 0
+    values = fit(rows.select("url", F.when(~held, F.col("said") == "allow").alias("good")))
+    scored = stored(score(rows.withColumn("held", held), values, ["page_id", "host", "path", "rule", "said", "held"], small))
+    cut = calibrate(scored.where("rule is not null and held").select((F.col("said") == "allow").alias("good"), "score"))
     verdict = F.coalesce("said", F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
