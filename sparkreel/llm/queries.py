@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from sparkreel.llm import decontam, html_text, jaccard, langid, lm, packing, pii, search, tokens, urls
+from sparkreel.llm import pipeline as corpus
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,7 @@ def op5_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their sizes in bytes and tokens."""
-    import public_tokenizers
-
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), corpus.TOKENIZER())
 
 
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +53,8 @@ def op2_text_density_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_variable_capacity_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' pieces with their bins, lengths in words and an end token."""
-    docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.word_count(docs.text).alias("n_words")), "n_words")
+    """Documents' pieces with their bins, lengths in tokens and an end token."""
+    return packing.pack_texts(_table(spark, sf_dir, "documents"), corpus.TOKENIZER())
 
 
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +63,8 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages of corpus_pipeline.py over the whole corpus."""
-    return corpus_pipeline.run(spark, sf_dir)
+    """The stages of the corpus pipeline over the whole corpus."""
+    return corpus.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op2_text_density_pages, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op8_variable_capacity_packing, op9_deleted_interpolation, op10_crf_language_id, pipeline)}
