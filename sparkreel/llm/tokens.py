@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the broadcast table, texts that it is taken from, and counters held meanwhile.
+#: Rows of the broadcast table, texts of a task that it is taken from, and counters held meanwhile.
 TABLE, TEXTS, HELD = 16_384, 4_096, 65_536
 #: Pre-tokens in a worker's cache before it starts anew; longer ones than LONG are encoded but not kept.
 CACHE, LONG = 200_000, 64
@@ -68,22 +68,27 @@ class Lengths(dict):
 
 
 def _frequent(batches):
-    """The most frequent pre-tokens of a task's texts; rare ones are dropped when too many are held."""
+    """The most frequent pre-tokens of a task's first TEXTS texts; rare ones are dropped when too many are held."""
     seen: Counter = Counter()
+    texts = 0
     for batch in batches:
-        for text in batch.column(0):
+        for text in batch.column(0)[: max(0, TEXTS - texts)]:
             seen.update(pre_tokens(text.as_py() or ""))
             if len(seen) > 4 * HELD:
                 seen = Counter(dict(seen.most_common(HELD)))
-    top = [(t, n) for t, n in seen.most_common(TABLE) if len(t) <= LONG and n > 1]
-    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
+        texts += batch.num_rows
+    top = [t for t, n in seen.most_common(TABLE) if len(t) <= LONG and n > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], ["token"])
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> dict[str, int]:
-    """The broadcast table: at most TABLE pre-tokens of at most LONG characters from TEXTS texts, with their lengths."""
-    some = docs.select(F.col(text).alias("text")).limit(TEXTS).mapInArrow(_frequent, "token string, n long")
+    """The broadcast table: at most TABLE pre-tokens of at most LONG characters, with their lengths.
+
+    They are asked of one task, and of more only if those before had too few; nothing is shuffled.
+    """
     encoder = Encoder(path)
-    return {r["token"]: encoder(r["token"]) for r in some.collect()[:TABLE]} if encoder.splits else {}
+    some = docs.select(F.col(text).alias("text")).mapInArrow(_frequent, "token string").limit(TABLE) if encoder.splits else None
+    return {r["token"]: encoder(r["token"]) for r in some.collect()} if some else {}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
