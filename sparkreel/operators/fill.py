@@ -13,6 +13,9 @@ from sparkreel.operators.robust import upper_median
 
 MODES = ("paper", "mirror", "tile")
 
+#: Fixed by the method: the border band that tells the paper's colour begins and ends at these shares of the short side.
+SKIP, BAND = 0.005, 0.03
+
 
 def covers(x: Column, y: Column, inverse: tuple[float, ...], w: int, h: int) -> Column:
     """Whether the inverse homography (nine numbers by rows) takes a point into a scan of w x h."""
@@ -25,8 +28,8 @@ def covers(x: Column, y: Column, inverse: tuple[float, ...], w: int, h: int) ->
 def paper(px: DataFrame, w: int, h: int, white: int = 255) -> DataFrame:
     """(img, paper): the upper median of a band along the edges, from 0.5 to 3 % of the short side; white where no pixel is in it."""
     short = max(1, min(w, h))
-    skip, step = int(short * 0.005), max(1, short // 400)
-    band = max(int(short * 0.03), skip + 4)
+    skip, step = int(short * SKIP), max(1, short // 400)
+    band = max(int(short * BAND), skip + 4)
     edge = F.least("x", "y", w - 1 - F.col("x"), h - 1 - F.col("y"))
     picked = (edge >= skip) & (edge < band) & (F.col("x") % step == 0) & (F.col("y") % step == 0)
     seen = px.select("img", F.when(picked, F.col("gray")).alias("_edge"))

@@ -43,9 +43,14 @@ def pages(df: DataFrame, grp: str, per_page: int, *order: str) -> DataFrame:
 def uniquified(df: DataFrame, grp: str, name: str, *order: str) -> DataFrame:
     """Adds label: the first of equal names keeps it, later ones get _2, _3 and so on, past labels already given.
 
-    What is free depends on all labels before, so a group is gone through in order; groups run apart.
+    Names can only meet inside a family, the names that are alike without their trailing _digits. A family of
+    one name is numbered by a window; where a family has several, what is free depends on all its labels
+    before, and it is gone through in order.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    rows = df.withColumn("_family", F.regexp_replace(name, r"(_[0-9]+)+$", ""))
+    several = rows.groupBy(grp, "_family").agg((F.min(name) < F.max(name)).alias("_several"))
+    rows = rows.join(several, [grp, "_family"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
@@ -58,6 +63,9 @@ def uniquified(df: DataFrame, grp: str, name: str, *order: str) -> DataFrame:
             last[base] = n
             given.add(label)
             out.append(label)
-        return pdf.assign(label=out)
+        return pdf.drop(columns=["_family"]).assign(label=out)
 
-    return df.groupBy(grp).applyInPandas(run, f"{schema}, label string")
+    place = F.row_number().over(W.partitionBy(grp, name).orderBy(*order))
+    alone = rows.where("not _several").withColumn("label", F.when(place > 1, F.concat_ws("_", F.col(name), place)).otherwise(F.col(name)))
+    mixed = rows.where("_several").drop("_several").groupBy(grp, "_family").applyInPandas(run, f"{schema}, label string")
+    return alone.select(*df.columns, "label").unionByName(mixed)

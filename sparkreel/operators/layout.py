@@ -39,9 +39,11 @@ def _sheet(sheet: Column, i: Column) -> Column:
 
 
 def upgraded(docs: DataFrame, text: str, app: str | None = None) -> DataFrame:
-    """Adds doc: the document as a struct of the second version, whichever it was written in.
+    """Adds doc: the fields known here as a struct of the second version, whichever version the document was written in, and document: its text.
 
-    A document without version is of the first; app is what an upgraded one names as its writer. Text that is null or no JSON object gives a doc of null.
+    A document without version is of the first; app is what an upgraded one names as its writer. The text of one of
+    the second version comes back unchanged, with fields not known here; an upgraded one is written anew. Text that
+    is null or no JSON object gives nulls.
     """
     d, old = F.col("_d"), F.coalesce(F.col("_d.version"), F.lit(1)) < 2
     w, h = (F.coalesce(d["lienzo"][k], F.lit(n)) for k, n in (("ancho_px", WIDTH), ("alto_px", HEIGHT)))
@@ -62,7 +64,7 @@ def upgraded(docs: DataFrame, text: str, app: str | None = None) -> DataFrame:
         either(F.lit(None).cast("string"), "originales_dir"),
     )
     usable = F.startswith(F.ltrim(F.col(text)), F.lit("{")) & F.try_parse_json(F.col(text)).isNotNull()
-    return docs.withColumn("_d", F.from_json(F.col(text), _SCHEMA)).withColumn("doc", F.when(usable, whole)).drop("_d")
+    return docs.withColumn("_d", F.from_json(F.col(text), _SCHEMA)).withColumn("doc", F.when(usable, whole)).withColumn("document", F.when(usable, F.when(old, F.to_json("doc")).otherwise(F.col(text)))).drop("_d")
 
 
 def frames(docs: DataFrame, *keys: str, doc: str = "doc") -> DataFrame:

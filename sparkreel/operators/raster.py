@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 
 
 def pixels(df: DataFrame, img: str, values: str, width: int) -> DataFrame:
-    """A row for each value of an array, min-max scaled to whole grays 0..255; flat images are 0."""
-    rows = df.select(F.col(img).alias("img"), F.posexplode(values).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    w = W.partitionBy("img")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    gray = F.when(high > low, F.floor((F.col("v") - low) * 255 / (high - low) + 0.5)).otherwise(F.lit(0)).cast("long")
+    """A row for each value of an array, min-max scaled to whole grays 0..255; flat images are 0. The range is found inside the row."""
+    rows = df.select(F.col(img).alias("img"), values, F.array_min(values).cast("double").alias("low"), F.array_max(values).cast("double").alias("high"))
+    rows = rows.select("img", "low", "high", F.posexplode(values).alias("i", "v"))
+    gray = F.when(F.col("high") > F.col("low"), F.floor((F.col("v").cast("double") - F.col("low")) * 255 / (F.col("high") - F.col("low")) + 0.5)).otherwise(F.lit(0)).cast("long")
     return rows.select("img", (F.col("i") % width).cast("long").alias("x"), F.floor(F.col("i") / width).alias("y"), gray.alias("gray"))
 
 
+def stretched(px: DataFrame, img: str = "img", gray: str = "gray") -> DataFrame:
+    """Grays min-max scaled to 0..255 for each image; a flat image stays as it is. The range travels, not the pixels."""
+    span = px.groupBy(img).agg(F.min(gray).alias("_low"), F.max(gray).alias("_high"))
+    scaled = F.floor((F.col(gray) - F.col("_low")) * 255 / (F.col("_high") - F.col("_low")))
+    return px.join(span, img).withColumn(gray, F.when(F.col("_high") > F.col("_low"), scaled).otherwise(F.col(gray)).cast("long")).drop("_low", "_high")
+
+
 def histogram(px: DataFrame, *by: str) -> DataFrame:
     """(by, gray, n) of all 256 grays."""
     counts = px.groupBy(*by, "gray").agg(F.count("*").alias("n"))

@@ -79,11 +79,11 @@ def as_of(asks: DataFrame, rows: DataFrame, grp: str, at: str, value: str) -> Da
 
 def prioritised(slots: DataFrame, frames: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Left outer join by the first of several keys that finds a frame; frames' names must be unique. Adds frame and via (1-based key)."""
-    long = slots.select("*", F.posexplode(F.array(*[F.col(k) for k in keys])).alias("_k", name))
-    hit = long.join(frames.select(name, "frame"), name, "left")
-    rest = [c for c in slots.columns]
-    best = F.min_by(F.struct("frame", (F.col("_k") + 1).alias("via")), F.when(F.col("frame").isNotNull(), F.col("_k")))
-    return hit.groupBy(*rest).agg(best.alias("b")).select(*rest, "b.frame", F.col("b.via").cast("long").alias("via"))
+    out, rest = slots, slots.columns
+    for k in keys:
+        out = out.join(frames.select(F.col(name).alias(k), F.col("frame").alias(f"_{k}")), k, "left")
+    via = F.coalesce(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(i).cast("long")) for i, k in enumerate(keys, 1)])
+    return out.select(*rest, F.coalesce(*[F.col(f"_{k}") for k in keys]).alias("frame"), via.alias("via"))
 
 
 def next_use(df: DataFrame, grp: str, item: str) -> DataFrame:

@@ -6,32 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkreel.operators import curves
 
-def isotonic(df: DataFrame, grp: str, x: str, y: str) -> DataFrame:
-    """Adds fit, the non-decreasing least-squares fit: the largest over j of the smallest over k of mean(y[j..k]).
 
-    Curves are at most a few hundred points each, so a curve's prefix sums meet themselves twice in its own group.
-    """
-    w = W.partitionBy(grp).orderBy(x)
-    sums = df.select(grp, x, y, F.row_number().over(w).alias("i"), F.sum(y).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"))
-    lower = sums.select(grp, F.col("i").alias("j"), (F.col("s") - F.col(y)).alias("sj"))
-    upper = sums.select(grp, F.col("i").alias("k"), F.col("s").alias("sk"))
-    spans = lower.join(upper, grp).where("k >= j").withColumn("m", (F.col("sk") - F.col("sj")) / (F.col("k") - F.col("j") + 1))
-    least = spans.withColumn("m", F.min("m").over(W.partitionBy(grp, "j").orderBy(F.desc("k"))))  # min over k' >= k
-    best = least.groupBy(grp, F.col("k").alias("i")).agg(F.max("m").alias("fit"))
-    return sums.join(best, [grp, "i"]).select(grp, x, y, "fit")
+def isotonic(df: DataFrame, grp: str, x: str, y: str) -> DataFrame:
+    """Adds fit, the non-decreasing least-squares fit of each group's curve: pooled in one pass over its points."""
+    curve = df.groupBy(grp).agg(F.array_sort(F.collect_list(F.struct(x, y))).alias("_p"))
+    fit = curves.isotonic(F.transform("_p", lambda p: p[y].cast("double")))
+    rows = curve.select(grp, F.explode(F.arrays_zip(F.col("_p").alias("p"), fit.alias("fit"))).alias("z"))
+    return rows.select(grp, f"z.p.{x}", f"z.p.{y}", "z.fit")
 
 
 def moving_mean(df: DataFrame, grp: str, x: str, y: str, radius: int) -> DataFrame:
     """Adds smooth, the mean of as many points on each side as both sides have, `radius` at most; end points stay."""
     w = W.partitionBy(grp).orderBy(x)
+    near = w.rowsBetween(-radius, radius)
     rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy(grp)))
-    rows = rows.withColumn("_s", F.sum(y).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    h = F.least(F.lit(radius), F.col("_i") - 1, F.col("_n") - F.col("_i"))
-    sums = F.collect_list("_s").over(W.partitionBy(grp).orderBy(x).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.withColumn("_h", h).withColumn("_all", sums)
-    low = F.when(F.col("_i") - F.col("_h") > 1, F.get("_all", F.col("_i") - F.col("_h") - 2)).otherwise(F.lit(0.0))
-    return rows.withColumn("smooth", (F.get("_all", F.col("_i") + F.col("_h") - 1) - low) / (2 * F.col("_h") + 1)).drop("_i", "_n", "_s", "_h", "_all")
+    rows = rows.withColumn("_h", F.least(F.lit(radius), F.col("_i") - 1, F.col("_n") - F.col("_i"))).withColumn("_near", F.collect_list(y).over(near))
+    inside = F.slice("_near", F.least(F.col("_i") - 1, F.lit(radius)) - F.col("_h") + 1, 2 * F.col("_h") + 1)
+    return rows.withColumn("smooth", F.aggregate(inside, F.lit(0.0), lambda a, v: a + v) / (2 * F.col("_h") + 1)).drop("_i", "_n", "_h", "_near")
 
 
 def slopes(df: DataFrame, grp: str, x: str, y: str) -> DataFrame:

@@ -142,7 +142,7 @@ def print_average_spread(spark, d):
     return prints.groupBy("patch").agg(F.round(ordered, 1).alias("mean"), (F.max("v") - F.min("v") > 3).alias("uneven"))
 
 
-@query(f"with {MARKERS}, p as (select a.sheet, sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) / sqrt((a.lx - b.lx) * (a.lx - b.lx) + (a.ly - b.ly) * (a.ly - b.ly)) r, sqrt((a.lx - b.lx) * (a.lx - b.lx) + (a.ly - b.ly) * (a.ly - b.ly)) n from mk a join mk b on a.sheet = b.sheet and a.id < b.id) select sheet, round(list_sort(list(r))[count(*) // 2 + 1], 6) scale, count(*) pairs from p where n > 1 group by sheet")
+@query(f"with {MARKERS}, p as (select a.sheet, sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) / sqrt((a.lx - b.lx) * (a.lx - b.lx) + (a.ly - b.ly) * (a.ly - b.ly)) r, sqrt((a.lx - b.lx) * (a.lx - b.lx) + (a.ly - b.ly) * (a.ly - b.ly)) n from mk a join mk b on a.sheet = b.sheet and a.id < b.id), q as (select sheet, round(list_sort(list(r))[count(*) // 2 + 1], 6) scale, count(*) pairs from p where n > 1 group by sheet) select sheet, scale, coalesce(pairs, 0) pairs from (select distinct sheet from mk) left join q using (sheet)")
 def scale_theta_median(spark, d):
     return align.scale(markers(spark, d), "sheet").withColumn("scale", F.round("scale", 6))
 
@@ -162,7 +162,7 @@ def local_shift_idw(spark, d):
     return align.local_shift(boxes, points, "sheet", 25.0).withColumns({"dx": F.round("dx", 6), "dy": F.round("dy", 6)})
 
 
-@query(f"with {MARKERS}, p as (select a.sheet, case when abs(a.lx - b.lx) >= 40 then (a.sx - b.sx) / (a.lx - b.lx) end rx, case when abs(a.ly - b.ly) >= 40 then (a.sy - b.sy) / (a.ly - b.ly) end ry from mk a join mk b on a.sheet = b.sheet and a.id < b.id) select sheet, round(list_sort(list(rx) filter (where rx is not null))[count(rx) // 2 + 1], 6) scale_x, round(list_sort(list(ry) filter (where ry is not null))[count(ry) // 2 + 1], 6) scale_y from p group by sheet")
+@query(f"with {MARKERS}, p as (select a.sheet, case when abs(a.lx - b.lx) > 40 then (a.sx - b.sx) / (a.lx - b.lx) end rx, case when abs(a.ly - b.ly) > 40 then (a.sy - b.sy) / (a.ly - b.ly) end ry from mk a join mk b on a.sheet = b.sheet and a.id < b.id) select sheet, round(list_sort(list(rx) filter (where rx is not null))[count(rx) // 2 + 1], 6) scale_x, round(list_sort(list(ry) filter (where ry is not null))[count(ry) // 2 + 1], 6) scale_y from p group by sheet")
 def printer_scale_axes(spark, d):
     return align.axis_scale(markers(spark, d), "sheet", 40).withColumns({"scale_x": F.round("scale_x", 6), "scale_y": F.round("scale_y", 6)})
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from sparkreel.plans import charts, layouts, output, picture, pixels, sequence  # noqa: F401  (they register their queries)
+from sparkreel.plans import charts, layouts, mediawork, output, picture, pixels, sequence, sheetwork  # noqa: F401  (they register their queries)
 from sparkreel.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkreel.operators import labels, robust, timeline
+from sparkreel.operators import labels, media, planning, robust, timeline
 from sparkreel.plans.base import KEEP, SLOTS, query, slots
 from sparkreel.session import table
 
@@ -133,8 +133,7 @@ def page_assign(spark, d):
 select p_brand, k // 12 page, (min(number) - 1) // 12 + 1 original_page from s group by p_brand, k // 12""")
 def original_page_numbers(spark, d):
     rows = labels.pages(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", 12, "p_partkey").where("p_size % 3 <> 0").drop("page", "cell").withColumnRenamed("number", "was")
-    again = labels.pages(rows, "p_brand", 12, "was")
-    return again.groupBy("p_brand", "page").agg((F.floor((F.min("was") - 1) / 12) + 1).alias("original_page"))
+    return planning.original_pages(labels.pages(rows, "p_brand", 12, "was"), "p_brand", "page", "was", 12)
 
 
 @query("select l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[count(*) // 2 + 1] as m from lineitem group by all")
@@ -181,4 +180,4 @@ def missing_labels(spark, d):
 @query("select l_returnflag, round(sum(l_quantity * case l_linestatus when 'O' then 0.26 else 0.41 end), 4) size, bool_or(l_discount > 0.09) as any_deep, cast(count(*) filter (where l_tax = 0) as bigint) passthrough from lineitem group by l_returnflag")
 def size_estimate(spark, d):
     ratio = F.when(F.col("l_linestatus") == "O", 0.26).otherwise(0.41)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_quantity") * ratio), 4).alias("size"), F.bool_or(F.col("l_discount") > 0.09).alias("any_deep"), F.count_if(F.col("l_tax") == 0).alias("passthrough"))
+    return media.size_estimate(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", ratio, F.col("l_discount") > 0.09, F.col("l_tax") == 0).withColumn("size", F.round("size", 4))

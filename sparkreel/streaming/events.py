@@ -45,6 +45,20 @@ def closed_sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFra
     return sessions.select(key, F.col("s.start").alias("from"), F.col("s.end").alias("to"), "n")
 
 
+def all_sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
+    """closed_sessions() of a stream that ends, and the sessions that are still open then.
+
+    The watermark stands still once the input is used up, so what lies behind the last closed sessions is
+    read from the source again and put together there.
+    """
+    closed = drained(closed_sessions(stream, key, gap, late))
+    rows = drained(stream.select(key, "ts"))
+    ends = closed.groupBy(key).agg(F.max("to").alias("_to"))
+    rest = rows.join(ends, key, "left").where(F.col("_to").isNull() | (F.col("ts") >= F.col("_to")))
+    open_ = rest.groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("from"), F.col("s.end").alias("to"), "n")
+    return closed.unionByName(open_)
+
+
 def once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     """The first row of each key within the watermark's reach."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

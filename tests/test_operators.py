@@ -1,5 +1,7 @@
 """Operators beyond their queries: edge cases, invariants and round trips."""
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkreel.functions import kernels
-from sparkreel.operators import fill, labels, layout, robust, timeline, tone
+from sparkreel.operators import curves, fill, labels, layout, media, planning, points, robust, sheets, timeline, tone
 from sparkreel.sources import archive, png
 
 
@@ -63,25 +65,25 @@ def test_crossfades_weigh_every_sample(spark):
     assert sorted(got[2, 10]) == [(i, (i + 0.5) / 100) for i in range(100)]
 
 
-def test_homography_survives_outliers():
-    rng = np.random.default_rng(3)
-    src = rng.uniform(0, 500, (24, 2))
-    h = np.array([[1.3, 0.1, 40], [-0.05, 1.2, 30], [4e-6, 2e-6, 1]])
-    dst = kernels.applied(h, src)
-    dst[:5] += 90
-    found, inside = kernels.robust_homography(src, dst)
-    assert inside.sum() == 19 and np.abs(kernels.applied(found, src[5:]) - dst[5:]).max() < 1e-6
-    assert kernels.robust_homography(src[:3], dst[:3]) is None
+def drawn_map(seed: int) -> np.ndarray:
+    """A map of a page onto its scan: any turn up to 20 degrees, any scale, shift and slant."""
+    r = np.random.default_rng(seed)
+    turn, size = r.uniform(-0.35, 0.35), r.uniform(0.5, 2)
+    out = np.array([[np.cos(turn), -np.sin(turn), 0], [np.sin(turn), np.cos(turn), 0], [0, 0, 1]]) * [[size], [size], [1]]
+    out[:2, 2], out[2, :2] = r.uniform(-80, 80, 2), r.uniform(-2e-5, 2e-5, 2)
+    return out
 
 
-def test_homography_of_a_sheet_with_few_inliers():
-    h, r = np.array([[1.3, 0.1, 40], [-0.05, 1.2, 30], [4e-6, 2e-6, 1]]), np.random.default_rng(0)
-    src = r.uniform(0, 500, (50, 2))
-    dst, off = kernels.applied(h, src), r.permutation(50)[10:]
-    dst[off] = r.uniform(0, 700, (40, 2))
-    on = np.setdiff1d(np.arange(50), off)
+@pytest.mark.parametrize("seed, count, wrong", [(1, 12, 2), (2, 30, 9), (3, 50, 38), (4, 200, 60)])
+def test_homography_of_points_some_of_them_wrong(seed, count, wrong):
+    h, r = drawn_map(seed), np.random.default_rng(seed + 100)
+    src = r.uniform(0, 900, (count, 2))
+    dst, off = kernels.applied(h, src), r.permutation(count)[:wrong]
+    dst[off] = r.uniform(dst.min(0), dst.max(0) + 1, (wrong, 2)) + 40
+    on = np.setdiff1d(np.arange(count), off)
     found, inside = kernels.robust_homography(src, dst)
     assert inside[on].all() and np.abs(kernels.applied(found, src[on]) - dst[on]).max() < 3
+    assert kernels.robust_homography(src[:3], dst[:3]) is None
 
 
 def test_bicubic_warp():
@@ -106,19 +108,31 @@ def test_png_files_and_archives(spark, tmp_path):
     assert [r["error"] is not None for r in rows if not r["entry"]] == [True]
 
 
-def test_layout_documents_of_both_versions(spark):
-    old = '{"lienzo": {"ancho_px": 2480, "alto_px": 3508, "ppi": 300}, "hojas": [{"archivo_hoja": "h.tif", "frames": {"a": {"bbox": [1, 2, 3, 4]}}, "qrs": {"a": {"bbox": [5, 6, 7, 8]}}}, {}]}'
-    new = '{"version": 2, "proyecto": "p", "lienzo": {"ancho_px": 10, "alto_px": 20, "dpi": 150}, "hojas": [{"numero": 7, "archivo_hoja": "x.tif", "frames": {"b": {"bbox": [1, 2], "celda": 3, "etiqueta": "l"}}}]}'
-    rows = spark.createDataFrame([(1, old), (2, new), (3, "{}"), (4, "no json"), (5, None), (6, "[1]")], "k int, text string")
-    got = {r["k"]: r["doc"] for r in layout.upgraded(rows, "text").collect()}
-    assert got[1]["version"] == 2 and got[1]["marcadores"]["cantidad"] == 4 and got[1]["marcadores"]["bboxes"]["2"] == [2340, 3368, 2440, 3468]
-    assert [(s["numero"], s["archivo_hoja"]) for s in got[1]["hojas"]] == [(1, "h.tif"), (2, "hoja_002.tif")]
-    assert got[1]["hojas"][0]["frames"]["a"]["bbox"] == [1, 2, 3, 4] and got[1]["hojas"][0]["qrs"]["a"]["texto"] == "a" and got[1]["hojas"][1]["frames"] == {}
-    assert got[2]["proyecto"] == "p" and got[2]["hojas"][0]["numero"] == 7 and got[2]["lienzo"]["dpi"] == 150 and got[2]["app"] is None
-    assert got[3]["lienzo"].asDict() == {"ancho_px": 2480, "alto_px": 3508, "dpi": 300, "orientacion": "portrait"} and got[3]["hojas"] == []
-    assert got[4] is got[5] is got[6] is None
-    flat = {(r["k"], r["name"]): (r["etiqueta"], r["x1"], r["y2"]) for r in layout.frames(layout.upgraded(rows, "text"), "k").collect()}
-    assert flat == {(1, "a"): ("a", 1, 4), (2, "b"): ("l", None, None)}
+def test_layout_documents_of_the_first_version(spark):
+    box = lambda k: [10 * k, 20 * k, 10 * k + 7, 20 * k + 9]
+    page = lambda k, n: {"archivo_hoja": f"page{k}.png", "frames": {f"f{k}{i}": {"bbox": box(k + i), "archivo_original": f"in{i}.jpg"} for i in range(n)}, "qrs": {f"f{k}0": {"bbox": box(50)}}}
+    text = json.dumps({"lienzo": {"ancho_px": 900, "alto_px": 1700, "ppi": 96}, "hojas": [page(1, 3), {"frames": {"lone": {"bbox": [1, 2, 3]}}}, page(3, 1)]})
+    row = layout.upgraded(spark.createDataFrame([(text,)], "text string"), "text", "me").first()
+    doc = row["doc"]
+    assert (doc["version"], doc["app"], doc["lienzo"]["dpi"], doc["lienzo"]["orientacion"]) == (2, "me", 96, "portrait")
+    assert [s["numero"] for s in doc["hojas"]] == [1, 2, 3] and [s["archivo_hoja"] for s in doc["hojas"]] == ["page1.png", "hoja_002.tif", "page3.png"]
+    assert doc["hojas"][0]["frames"]["f12"].asDict()["archivo_original"] == "in2.jpg" and doc["hojas"][1]["frames"]["lone"]["archivo_original"] == "lone"
+    assert doc["hojas"][2]["qrs"]["f30"]["texto"] == "f30" and doc["hojas"][1]["qrs"] == {}
+    # markers lie MARGIN from the edges of this page
+    corner = doc["marcadores"]["bboxes"]["2"]
+    assert corner == [900 - layout.MARGIN - layout.SIDE, 1700 - layout.MARGIN - layout.SIDE, 900 - layout.MARGIN, 1700 - layout.MARGIN]
+    assert json.loads(row["document"])["hojas"][0]["numero"] == 1
+    flat = layout.frames(layout.upgraded(spark.createDataFrame([(text,)], "text string"), "text")).collect()
+    assert {(r["numero"], r["name"], r["x1"], r["y2"]) for r in flat} == {(1, "f10", 10, 29), (1, "f11", 20, 49), (1, "f12", 30, 69), (2, "lone", None, None), (3, "f30", 30, 69)}
+
+
+def test_layout_documents_of_the_second_version_come_back_unchanged(spark):
+    text = json.dumps({"version": 2, "proyecto": "q", "lienzo": {"ancho_px": 77, "alto_px": 33, "dpi": 50}, "marcadores": {"ids_por_hoja": {"4": [1, 9]}}, "parche_grises": {"niveles": [0, 255]}, "hojas": [{"numero": 4, "frames": {}}], "video": {"fps": 12}})
+    rows = spark.createDataFrame([(1, text), (2, "[]"), (3, None), (4, "{oops"), (5, " {}")], "k int, text string")
+    got = {r["k"]: r for r in layout.upgraded(rows, "text").collect()}
+    assert got[1]["document"] == text and got[1]["doc"]["hojas"][0]["numero"] == 4 and got[1]["doc"]["lienzo"]["dpi"] == 50
+    assert [got[k]["doc"] for k in (2, 3, 4)] == [None] * 3 == [got[k]["document"] for k in (2, 3, 4)]
+    assert got[5]["doc"]["hojas"] == [] and json.loads(got[5]["document"])["version"] == 2
 
 
 def test_fill_of_uncovered_pixels_and_markers(spark):
@@ -135,3 +149,63 @@ def test_fill_of_uncovered_pixels_and_markers(spark):
     assert len(crop) == 110 and crop[0, 0] == 10 and crop[10, 9] == 20 and fill.paper(white.where("x > 100"), 20, 20).count() == 0
     with pytest.raises(ValueError):
         fill.crop_filled(px, 20, 20, 0, 0, 5, 5, "other")
+
+
+def column(spark, c):
+    return spark.range(1).select(c.alias("c")).first()[0]
+
+
+def test_isotonic_pools_as_the_plain_rule(spark):
+    def plain(ys):
+        return [max(min(sum(ys[j : k + 1]) / (k - j + 1) for k in range(i, len(ys))) for j in range(i + 1)) for i in range(len(ys))]
+
+    r = np.random.default_rng(8)
+    for ys in ([3.0], [2.0, 1.0], [1.0, 1.0, 0.5, 0.5, 4.0], r.normal(size=60).tolist(), np.sort(r.normal(size=20))[::-1].tolist()):
+        assert np.allclose(column(spark, curves.isotonic(F.array(*map(F.lit, ys)))), plain(ys))
+
+
+def test_curves_at_their_edges(spark):
+    one = F.array(F.lit(5.0))
+    assert column(spark, curves.smooth_adaptive(one)) == [5.0] and column(spark, curves.pchip(one, one, F.array(F.lit(9.0)))) == [5.0]
+    assert column(spark, curves.rising(F.array(*map(F.lit, (1.0, 1.0, 1.0, 0.5))), F.lit(0.25))) == [1.0, 1.25, 1.5, 1.75]
+    straight = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: i.cast("double"))
+    assert column(spark, curves.effective_lut(straight, 100, 0, F.lit(None).cast("array<double>"))) is None
+    assert column(spark, curves.prior_curve(straight))[7] == 7 and column(spark, curves.prior_curve(F.reverse(straight))) is None and column(spark, curves.prior_curve(one)) is None
+    assert [column(spark, curves.lerp256(straight, F.lit(x))) for x in (-3.0, 0.25, 254.5, 300.0)] == [0, 0.25, 254.5, 255]
+    levels = F.array(*map(F.lit, (128, 0, 255)))
+    points_ = column(spark, curves.level_curve(F.array(*map(F.lit, (99.0, 20.0, 220.0))), levels))
+    assert [tuple(p) for p in points_] == [(20.0, 0.0), (220.0, 255.0)]
+    assert column(spark, curves.level_curve(F.array(*map(F.lit, (99.0, 20.0, 21.0))), levels)) is None
+    chart = spark.createDataFrame([("g", [float(i) for i in range(0, 256, 5)], [float(i) for i in range(0, 256, 5)])], "g string, x array<double>, y array<double>")
+    lut = curves.chart_lut(chart).first()["lut"]
+    assert len(lut) == 256 and max(abs(v - i) for i, v in enumerate(lut)) < 0.6 and lut == sorted(lut)
+    assert [r["error"] for r in curves.check_response(chart, 53).collect()] == ["too few patches"]
+
+
+def test_sheets_at_their_edges(spark):
+    assert [column(spark, sheets.marker_count(F.lit(n))) for n in (0, 6, 7, 10, 99)] == [4, 4, 8, 8, 12]
+    assert [column(spark, sheets.hex_to_rgb(F.lit(c))) for c in ("#abc", " FF0000", "#12345", "", "#gg0000")] == [[170, 187, 204], [255, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]
+    assert column(spark, sheets.page_px(F.lit("Carta (Letter)"), 100, F.lit(True), F.lit(0), F.lit(0))) == (1100, 850)
+    assert column(spark, sheets.paper_mm(F.lit("none"))) is None and column(spark, sheets.recommended_mm(F.lit(None).cast("double"), 1.25, 5.0)) == 12
+
+
+def test_media_and_points_at_their_edges(spark):
+    assert [column(spark, media.bytes_text(F.lit(n))) for n in (0, 1_499, 2_500_000, 3_210_000_000)] == ["0 KB", "1 KB", "2.5 MB", "3.2 GB"]
+    assert column(spark, media.fits_budget(F.lit(2**62), F.lit(2**62), 10**9)) is False and column(spark, media.upscale_factor(F.lit(0), F.lit(9), 100)) == 1
+    square = points.corners(F.lit(0), F.lit(0), F.lit(3), F.lit(2))
+    assert column(spark, points.polygon_area(square)) == 6 and column(spark, points.is_convex(square))
+    assert column(spark, points.inverse(F.array(*[F.lit(float(x)) for x in (1, 2, 3, 2, 4, 6, 0, 0, 1)]))) is None
+    h = F.array(*[F.lit(float(x)) for x in (2, 0, 1, 0, 4, 0, 0, 0, 1)])
+    assert np.allclose(column(spark, points.product(h, points.inverse(h))), np.eye(3).ravel())
+    spans = spark.createDataFrame([(1, 2.0, 2.0), (2, 0.0, 1.0), (3, 5.0, 1.0)], "s int, a double, b double")
+    assert sorted((r["s"], r["t"]) for r in media.sample_times(spans, "a", "b", 2.0).collect()) == [(1, 2.0), (2, 0.0), (2, 0.5), (3, 5.0)]
+
+
+def test_planning_at_its_edges(spark):
+    rows = spark.createDataFrame([("g", i) for i in range(1, 6)], "grp string, pos long")
+    arr = lambda *x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    got = lambda inc, exc: sorted(r["pos"] for r in planning.select_numbers(rows, "pos", inc, exc).collect())
+    assert got(arr(), arr(2)) == [1, 3, 4, 5] and got(arr(2, 3), arr(3)) == [2] and got(F.lit(None).cast("array<bigint>"), arr()) == [1, 2, 3, 4, 5]
+    names = spark.createDataFrame([("g", i, n) for i, n in enumerate(["a.png", "a.jpg", "a_2.gif", "b"], 1)], "grp string, pos long, name string")
+    plan = planning.compute_plan(names, "grp", "name", "pos", arr(), arr(), 3, naming="original").orderBy("k").collect()
+    assert [r["label"] for r in plan] == ["a", "a_2", "a_2_2", "b"] and [(r["page"], r["cell"]) for r in plan] == [(0, 0), (0, 1), (0, 2), (1, 0)]
