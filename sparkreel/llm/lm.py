@@ -1,9 +1,10 @@
 """Scores of whole texts under an n-gram model smoothed by deleted interpolation.
 
-The probability of a token mixes three estimates: its frequency after the token before it, its
-frequency anywhere, and one over the number of types. The mixture's weights depend on how often the
-context was seen, and are learned by expectation-maximisation on the counts of a deleted part of the
-training documents, with frequencies taken from the rest; the final frequencies take in both.
+The probability of a token mixes four estimates: its frequency after the two tokens before it, after the
+one before it, anywhere, and one over the number of types. The first is mixed with the mixture of the
+others, each mixture with weights that depend on how often its context was seen. They are learned by
+expectation-maximisation on the counts of a deleted part of the training documents, with frequencies
+taken from the rest; the final frequencies take in both.
 
 Spark moves n-grams in bulk. Tokens become 64-bit hashes in blocks of documents, stored once. A block
 sends each of its distinct n-grams with its count to the shard that owns that range of hashes; shards add up
@@ -25,8 +26,8 @@ from sparkreel.llm.common import mix, slices, stored, utf8_buffers, word_hashes
 
 #: The hash of the token that ends a text and is the context of its first word.
 END = np.uint64(0x5D1E7A9C3B804F26)
-#: Tokens of a block, hashes of a shard (rough), bytes hashed at once, bits of a bigram's hash.
-BLOCK, SHARD, SLICE, BITS = 1 << 21, 3_000_000, 1 << 20, 56
+#: Tokens of a block, hashes of a shard (rough), bytes hashed at once, bits of the hash of a token, a bigram, a trigram.
+BLOCK, SHARD, SLICE, BITS = 1 << 21, 3_000_000, 1 << 20, (64, 56, 52)
 #: Steps of an octave in which held-out events are told apart, context-frequency buckets, rounds of expectation-maximisation.
 STEPS, BUCKETS, ROUNDS = 4, 40, 60
 _BLOCKS = "block long, deleted boolean, tokens long, types long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, keys binary, seq binary"
@@ -111,33 +112,58 @@ def _to_blocks(batches):
 
 
 class Contents:
-    """A block opened: its keys, each token's place among them, its sorted distinct bigrams and each token's place among those."""
+    """A block opened: its sorted distinct tokens, bigrams and trigrams (keys), and each token's place among them (at).
 
-    def __init__(self, row: dict):
+    A text begins after two END tokens that are no tokens of it.
+    """
+
+    def __init__(self, row: dict, orders: int = 3):
         self.lengths = np.asarray(row["lengths"], np.int64)
         self.held = np.repeat(np.asarray(row["held"], bool), self.lengths)
-        self.keys = _from_ascending(row["keys"], row["types"])
-        self.seq = np.frombuffer(pa.decompress(row["seq"], 4 * row["tokens"], codec="zstd", asbytes=True), "<i4")
-        end = np.searchsorted(self.keys, END)
-        self.before = np.concatenate([[end], self.seq[:-1]])  # a text's last token is END, the next one's context
-        pairs = mix(self.keys[self.before] * np.uint64(0xD1342543DE82EF95) + self.keys[self.seq]) >> np.uint64(64 - BITS)
-        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
-
-
-def _pieces(shards: tuple[int, int]):
-    """What each block sends: for every shard of token hashes and of bigram hashes its keys there and their training counts."""
+        tokens = _from_ascending(row["keys"], row["types"])
+        seq = np.frombuffer(pa.decompress(row["seq"], 4 * row["tokens"], codec="zstd", asbytes=True), "<i4")
+        self.end = int(np.searchsorted(tokens, END))
+        self.before = np.concatenate([[self.end], seq[:-1]])  # a text's last token is END, the next one's context
+        self.first = np.zeros(len(seq), bool)
+        self.first[np.cumsum(self.lengths)[:-1]] = True
+        self.first[:1] = True
+        self.keys, self.at = [tokens], [seq]
+        own, last = tokens[seq], tokens[self.before]
+        for order in range(1, orders):
+            last = mix(last * np.uint64(0xD1342543DE82EF95) + own)
+            keys, at = np.unique(last >> np.uint64(64 - BITS[order]), return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at.astype(np.int32))
+            last = np.concatenate([last[:1], last[:-1]])
+            last[self.first] = END
+
+    def estimates(self, counts: list[np.ndarray], tokens: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For every token and order (trigram first): how often its context was seen, and its frequency there."""
+        one, two = counts[0], counts[1]
+        seen, shares = [one[self.before]], [_ratio(two[self.at[1]], one[self.before]), one[self.at[0]] / max(1, tokens)]
+        if len(counts) > 2:
+            pair = two[self.at[1]]
+            last = np.concatenate([pair[:1], pair[:-1]])
+            last[self.first] = one[self.end]  # every text begins in the same context
+            seen, shares = [last, *seen], [_ratio(counts[2][self.at[2]], last), *shares]
+        return seen, shares
+
+
+def _pieces(shards: tuple[int, ...]):
+    """What each block sends: for every shard of the hashes of each order its keys there and their training counts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b, out = Contents(row), []
-                for kind, (keys, at, bits) in enumerate(((b.keys, b.seq, 64), (b.pairs, b.pair_at, BITS))):
+                for kind, (keys, at, bits) in enumerate(zip(b.keys, b.at, BITS, strict=True)):
                     counts = np.bincount(at[~b.held], minlength=len(keys)).astype(np.uint64)
                     step = -(-(1 << bits) // shards[kind])
                     cuts = [0, *np.searchsorted(keys, np.array([step * i for i in range(1, shards[kind])], np.uint64)).tolist(), len(keys)]
                     for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if i < j:
                             out.append((kind, s, row["block"], row["deleted"], j - i, _ascending(keys[i:j]), packed(counts[i:j])))
+                    b.keys[kind] = b.at[kind] = None
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _PIECES.split(", ")])
 
@@ -161,10 +187,15 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame([sums])])[[c.split()[0] for c in _ANSWERS.split(", ")]]
 
 
-def _answered(block: pd.DataFrame, answers: pd.DataFrame) -> tuple[Contents, list[np.ndarray], list[np.ndarray]]:
+def _answered(block: pd.DataFrame, answers: pd.DataFrame, orders: int = 3, kept: bool = False) -> tuple[Contents, list[np.ndarray]]:
+    """A block opened, and the counts of its keys by order; kept: without those in deleted documents."""
     answers = answers.sort_values(["kind", "shard"])
-    read = lambda k, c: np.concatenate([unpacked(b, n) for b, n in zip(answers.loc[answers["kind"] == k, c], answers.loc[answers["kind"] == k, "n"], strict=True)]).astype(np.float64)
-    return Contents(block.iloc[0].to_dict()), [read(0, "total"), read(1, "total")], [read(0, "apart"), read(1, "apart")]
+
+    def read(k: int, c: str) -> np.ndarray:
+        own = answers["kind"] == k
+        return np.concatenate([unpacked(b, n) for b, n in zip(answers.loc[own, c], answers.loc[own, "n"], strict=True)]).astype(np.float64)
+
+    return Contents(block.iloc[0].to_dict(), orders), [read(k, "total") - read(k, "apart") if kept else read(k, "total") for k in range(orders)]
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -181,16 +212,25 @@ def _steps(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(-STEPS * np.log2(np.where(p > 0, p, 1))), -1).astype(np.int64)
 
 
-def _events(kept_tokens: int):
-    """What a deleted block tells of the mixture: events by context bucket and the two frequencies in the kept documents."""
+def _lower(seen: np.ndarray, shares: list[np.ndarray], weights: np.ndarray, types: int) -> np.ndarray:
+    """The mixture of bigram, unigram and uniform estimates."""
+    w = weights[bucket(seen)]
+    return w[:, 0] * shares[0] + w[:, 1] * shares[1] + w[:, 2] / (types + 1)
+
+
+def _events(kept_tokens: int, weights: np.ndarray | None = None, types: int = 0):
+    """What a deleted block tells of a mixture: events by context bucket and two probabilities in the kept documents.
+
+    Those are the bigram's and the unigram's; with the weights of their mixture the trigram's and that mixture's.
+    """
 
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(answers):
             return pd.DataFrame({"b": [], "p2": [], "p1": [], "n": []}).astype("int64")
-        c, total, apart = _answered(block, answers)
-        one, two = total[0] - apart[0], total[1] - apart[1]
-        seen = one[c.before]
-        frame = pd.DataFrame({"b": bucket(seen), "p2": _steps(_ratio(two[c.pair_at], seen)), "p1": _steps(one[c.seq] / max(1, kept_tokens))})
+        c, counts = _answered(block, answers, 2 if weights is None else 3, kept=True)
+        seen, shares = c.estimates(counts, kept_tokens)
+        two = shares if weights is None else [shares[0], _lower(seen[1], shares[1:], weights, types)]
+        frame = pd.DataFrame({"b": bucket(seen[0]), "p2": _steps(two[0]), "p1": _steps(two[1])})
         return frame[~c.held].groupby(["b", "p2", "p1"]).size().rename("n").reset_index()
 
     return run
@@ -217,14 +257,33 @@ def mixture(events: list, types: int, rounds: int = ROUNDS) -> np.ndarray:
     return out
 
 
-def _scored(weights: np.ndarray, tokens: int, types: int):
+def upper_mixture(events: list, rounds: int = ROUNDS) -> np.ndarray:
+    """The trigram's weight against the mixture below it by context bucket, by expectation-maximisation over rows (b, p2, p1, n); 0 in contexts never seen."""
+    out = np.full(BUCKETS, 0.5)
+    rows = np.array([(e["b"], e["p2"], e["p1"], e["n"]) for e in events], np.float64).reshape(-1, 4)
+    level = lambda x: np.where(x >= 0, 2.0 ** (-x / STEPS), 0.0)
+    for b in range(BUCKETS):
+        own = rows[rows[:, 0] == b]
+        if not len(own):
+            out[b] = out[b - 1] if b > 1 else out[b]
+            continue
+        w, p, q, n = out[b], level(own[:, 1]), level(own[:, 2]), own[:, 3]
+        for _ in range(rounds):
+            share = w * p / (w * p + (1 - w) * q)
+            w = ((share * n).sum() + 1e-3) / (n.sum() + 2e-3)
+        out[b] = w
+    out[0] = 0
+    return out
+
+
+def _scored(weights: np.ndarray, upper: np.ndarray, tokens: int, types: int):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in _SCORES.split(", ")})
-        c, (one, two), _ = _answered(block, answers)
-        seen, own = one[c.before], one[c.seq]
-        w = weights[bucket(seen)]
-        p = w[:, 0] * _ratio(two[c.pair_at], seen) + w[:, 1] * own / max(1, tokens) + w[:, 2] / (types + 1)
+        c, counts = _answered(block, answers)
+        seen, shares = c.estimates(counts, tokens)
+        own, w = counts[0][c.at[0]], upper[bucket(seen[0])]
+        p = w * shares[0] + (1 - w) * _lower(seen[1], shares[1:], weights, types)
         start = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
         add = lambda x: np.add.reduceat(x, start)
         row = block.iloc[0]
@@ -244,19 +303,25 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, deleted: int = 3
     which the mixture's weights are learned. Scores are log10 probabilities of the whole text, its end
     included; a null or empty text is that end alone. Rows repeat as in the input, each counted; a null
     id belongs to the fold of the empty text. An empty table gives no rows. Columns besides the two
-    named are not read. Token hashes have 64 bits, bigram hashes BITS.
+    named are not read. Hashes have BITS.
     """
     which = fold(F.col(doc_id), parts)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (which == held).alias("held_out"), (which == deleted).alias("deleted"))
     blocks = stored(rows.mapInArrow(_to_blocks, _BLOCKS))
     tokens, types = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("types")).first())
-    shards = (max(8, -(-types // SHARD)), max(16, -(-tokens // SHARD)))
+    shards = (max(8, -(-types // SHARD)), max(16, -(-tokens // SHARD)), max(16, -(-tokens // SHARD)))
     pieces = blocks.mapInArrow(_pieces(shards), _PIECES)
     answers = stored(pieces.groupBy("kind", "shard").applyInPandas(_add_up, _ANSWERS))
     types, tokens, apart = (int(x or 0) for x in answers.where("block = -1 and kind = 0").agg(F.sum("types"), F.sum("tokens"), F.sum("tokens_apart")).first())
     answers = answers.where("block <> -1").drop("types", "tokens", "tokens_apart")
-    some = blocks.where("deleted").groupBy("block").cogroup(answers.where("deleted").groupBy("block"))
-    events = some.applyInPandas(_events(tokens - apart), "b long, p2 long, p1 long, n long").groupBy("b", "p2", "p1").agg(F.sum("n").alias("n"))
-    # at most BUCKETS times the squared number of steps between 1 and 1 / tokens: a bounded table
-    weights = mixture(events.orderBy("b", "p2", "p1").collect(), types)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(weights, tokens, types), _SCORES)
+    some = blocks.where("deleted").groupBy("block")
+
+    def events(told: DataFrame, *also) -> list:
+        # at most BUCKETS times the squared number of steps between 1 and 1 / tokens: a bounded table
+        found = some.cogroup(told.where("deleted").groupBy("block")).applyInPandas(_events(tokens - apart, *also), "b long, p2 long, p1 long, n long")
+        return found.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).orderBy("b", "p2", "p1").collect()
+
+    weights = mixture(events(answers.where("kind < 2")), types)
+    upper = upper_mixture(events(answers, weights, types))
+    told = answers.drop("apart", "deleted")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_scored(weights, upper, tokens, types), _SCORES)

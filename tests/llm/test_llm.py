@@ -177,34 +177,63 @@ def test_language_model_against_plain_counts(spark):
     fold = [zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))]
 
     def counts(keep):
-        one, two = collections.Counter(), collections.Counter()
+        one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
         for w, f in zip(words, fold, strict=True):
             if keep(f):
                 one.update(w)
                 two.update(zip(["\n", *w[:-1]], w, strict=True))
-        return one, two
+                three.update(zip(["\n\n", "\n", *w[:-2]][: len(w)], ["\n", *w[:-1]], w, strict=True))
+        return one, two, three
 
-    one, two = counts(lambda f: f != 2)
-    kept, pairs = counts(lambda f: f not in (2, 3))
+    one, two, three = counts(lambda f: f != 2)
+    kept, pairs, triples = counts(lambda f: f not in (2, 3))
     n, v = sum(one.values()), len(one)
-    events = collections.Counter()
     step = lambda p: int(lm._steps(np.array([p]))[0])
+    bucket = lambda x: int(lm.bucket(np.array([x]))[0])
+    rows = lambda events: [{"b": b, "p2": p, "p1": q, "n": k} for (b, p, q), k in sorted(events.items())]
+    context = lambda a, b, one, two: one["\n"] if a == "\n\n" else two[a, b]
+    each = lambda w: zip(["\n\n", "\n", *w[:-2]][: len(w)], ["\n", *w[:-1]], w, strict=True)
+    events = collections.Counter()
     for w, f in zip(words, fold, strict=True):
         if f == 3:
-            for a, b in zip(["\n", *w[:-1]], w, strict=True):
-                events[int(lm.bucket(np.array([kept[a]]))[0]), step(pairs[a, b] / kept[a] if kept[a] else 0), step(kept[b] / sum(kept.values()))] += 1
-    weights = lm.mixture([{"b": b, "p2": p, "p1": q, "n": k} for (b, p, q), k in sorted(events.items())], v)
+            for _, a, b in each(w):
+                events[bucket(kept[a]), step(pairs[a, b] / kept[a] if kept[a] else 0), step(kept[b] / sum(kept.values()))] += 1
+    weights = lm.mixture(rows(events), v)
+
+    def lower(a, b, one, two, n):
+        l2, l1, l0 = weights[bucket(one[a])]
+        return l2 * (two[a, b] / one[a] if one[a] else 0) + l1 * one[b] / n + l0 / (v + 1)
+
+    events = collections.Counter()
+    for w, f in zip(words, fold, strict=True):
+        if f == 3:
+            for a, b, c in each(w):
+                seen = context(a, b, kept, pairs)
+                events[bucket(seen), step(triples[a, b, c] / seen if seen else 0), step(lower(b, c, kept, pairs, sum(kept.values())))] += 1
+    upper = lm.upper_mixture(rows(events))
+    assert 0 < upper[1:6].min() and upper[0] == 0
     for i, w in enumerate(words):
         x = got[i]
         assert (x["n_tokens"], x["n_known"], x["train_tokens"], x["held_out"]) == (len(w), sum(one[b] > 0 for b in w), n, fold[i] == 2)
         assert math.isclose(x["base_score"], sum(math.log10((one[b] + 1) / (n + v + 1)) for b in w), rel_tol=1e-9)
         p = 0.0
-        for a, b in zip(["\n", *w[:-1]], w, strict=True):
-            l2, l1, l0 = weights[int(lm.bucket(np.array([one[a]]))[0])]
-            p += math.log10(l2 * (two[a, b] / one[a] if one[a] else 0) + l1 * one[b] / n + l0 / (v + 1))
+        for a, b, c in each(w):
+            seen = context(a, b, one, two)
+            p += math.log10(upper[bucket(seen)] * (three[a, b, c] / seen if seen else 0) + (1 - upper[bucket(seen)]) * lower(b, c, one, two, n))
         assert math.isclose(x["score"], p, rel_tol=1e-9)
 
 
+def test_language_model_texts_longer_than_a_block(spark, monkeypatch):
+    texts = ["a b c " * 400, "c b a", "", "x " * 900, "a b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = {r["doc_id"]: tuple(r) for r in lm.score_texts(docs).collect()}
+    run = lm._to_blocks
+    monkeypatch.setattr(lm, "_to_blocks", lambda batches: (lm.__dict__.update(BLOCK=64), (yield from run(batches)))[0])
+    small = {r["doc_id"]: tuple(r) for r in lm.score_texts(docs).collect()}
+    assert whole.keys() == small.keys() == set(range(5))
+    assert all(math.isclose(a, b, rel_tol=1e-9) for i in whole for a, b in zip(whole[i][2:], small[i][2:], strict=True))
+
+
 def plain_best_fit(sizes, lengths, least):
     """Every open bin looked at for every piece."""
     bins, out = [], []  # [room, when, filled]
