@@ -28,6 +28,8 @@ from sparkreel.llm.common import mix, slices, stored, utf8_buffers, word_hashes
 END = np.uint64(0x5D1E7A9C3B804F26)
 #: Tokens of a block, hashes of a shard (rough), bytes hashed at once, bits of the hash of a token, a bigram, a trigram.
 BLOCK, SHARD, SLICE, BITS = 1 << 21, 3_000_000, 1 << 20, (64, 56, 52)
+#: Tokens whose probabilities are worked out at once.
+PART = 1 << 18
 #: Steps of an octave in which held-out events are told apart, context-frequency buckets, rounds of expectation-maximisation.
 STEPS, BUCKETS, ROUNDS = 4, 40, 60
 _BLOCKS = "block long, deleted boolean, tokens long, types long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, keys binary, seq binary"
@@ -114,16 +116,16 @@ def _to_blocks(batches):
 class Contents:
     """A block opened: its sorted distinct tokens, bigrams and trigrams (keys), and each token's place among them (at).
 
-    A text begins after two END tokens that are no tokens of it.
+    A text begins after two END tokens that are no tokens of it. placed: the keys themselves are not kept.
     """
 
-    def __init__(self, row: dict, orders: int = 3):
+    def __init__(self, row: dict, orders: int = 3, placed: bool = False):
         self.lengths = np.asarray(row["lengths"], np.int64)
         self.held = np.repeat(np.asarray(row["held"], bool), self.lengths)
         tokens = _from_ascending(row["keys"], row["types"])
         seq = np.frombuffer(pa.decompress(row["seq"], 4 * row["tokens"], codec="zstd", asbytes=True), "<i4")
         self.end = int(np.searchsorted(tokens, END))
-        self.before = np.concatenate([[self.end], seq[:-1]])  # a text's last token is END, the next one's context
+        self.before = np.concatenate([np.array([self.end], np.int32), seq[:-1]])  # a text's last token is END, the next one's context
         self.first = np.zeros(len(seq), bool)
         self.first[np.cumsum(self.lengths)[:-1]] = True
         self.first[:1] = True
@@ -132,20 +134,26 @@ class Contents:
         for order in range(1, orders):
             last = mix(last * np.uint64(0xD1342543DE82EF95) + own)
             keys, at = np.unique(last >> np.uint64(64 - BITS[order]), return_inverse=True)
-            self.keys.append(keys)
+            self.keys.append(None if placed else keys)
             self.at.append(at.astype(np.int32))
-            last = np.concatenate([last[:1], last[:-1]])
+            del keys, at
+            last[1:] = last[:-1].copy()
             last[self.first] = END
 
-    def estimates(self, counts: list[np.ndarray], tokens: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For every token and order (trigram first): how often its context was seen, and its frequency there."""
+    def parts(self):
+        """Slices of about PART tokens."""
+        for a in range(0, len(self.before), PART):
+            yield slice(a, min(a + PART, len(self.before)))
+
+    def estimates(self, counts: list[np.ndarray], tokens: int, part: slice) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For a slice's tokens and each order (highest first): how often its context was seen, and its frequency there."""
         one, two = counts[0], counts[1]
-        seen, shares = [one[self.before]], [_ratio(two[self.at[1]], one[self.before]), one[self.at[0]] / max(1, tokens)]
+        seen = [one[self.before[part]]]
+        shares = [_ratio(two[self.at[1][part]], seen[0]), one[self.at[0][part]] / max(1, tokens)]
         if len(counts) > 2:
-            pair = two[self.at[1]]
-            last = np.concatenate([pair[:1], pair[:-1]])
-            last[self.first] = one[self.end]  # every text begins in the same context
-            seen, shares = [last, *seen], [_ratio(counts[2][self.at[2]], last), *shares]
+            last = two[self.at[1][np.maximum(np.arange(part.start, part.stop) - 1, 0)]]
+            last[self.first[part]] = one[self.end]  # every text begins in the same context
+            seen, shares = [last, *seen], [_ratio(counts[2][self.at[2][part]], last), *shares]
         return seen, shares
 
 
@@ -195,7 +203,7 @@ def _answered(block: pd.DataFrame, answers: pd.DataFrame, orders: int = 3, kept:
         own = answers["kind"] == k
         return np.concatenate([unpacked(b, n) for b, n in zip(answers.loc[own, c], answers.loc[own, "n"], strict=True)]).astype(np.float64)
 
-    return Contents(block.iloc[0].to_dict(), orders), [read(k, "total") - read(k, "apart") if kept else read(k, "total") for k in range(orders)]
+    return Contents(block.iloc[0].to_dict(), orders, placed=True), [read(k, "total") - read(k, "apart") if kept else read(k, "total") for k in range(orders)]
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -228,10 +236,13 @@ def _events(kept_tokens: int, weights: np.ndarray | None = None, types: int = 0)
         if not len(block) or not len(answers):
             return pd.DataFrame({"b": [], "p2": [], "p1": [], "n": []}).astype("int64")
         c, counts = _answered(block, answers, 2 if weights is None else 3, kept=True)
-        seen, shares = c.estimates(counts, kept_tokens)
-        two = shares if weights is None else [shares[0], _lower(seen[1], shares[1:], weights, types)]
-        frame = pd.DataFrame({"b": bucket(seen[0]), "p2": _steps(two[0]), "p1": _steps(two[1])})
-        return frame[~c.held].groupby(["b", "p2", "p1"]).size().rename("n").reset_index()
+        told = []
+        for part in c.parts():
+            seen, shares = c.estimates(counts, kept_tokens, part)
+            two = shares if weights is None else [shares[0], _lower(seen[1], shares[1:], weights, types)]
+            frame = pd.DataFrame({"b": bucket(seen[0]), "p2": _steps(two[0]), "p1": _steps(two[1])})
+            told.append(frame[~c.held[part]].groupby(["b", "p2", "p1"]).size().rename("n").reset_index())
+        return pd.concat(told).groupby(["b", "p2", "p1"])["n"].sum().reset_index()
 
     return run
 
@@ -281,16 +292,19 @@ def _scored(weights: np.ndarray, upper: np.ndarray, tokens: int, types: int):
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in _SCORES.split(", ")})
         c, counts = _answered(block, answers)
-        seen, shares = c.estimates(counts, tokens)
-        own, w = counts[0][c.at[0]], upper[bucket(seen[0])]
-        p = w * shares[0] + (1 - w) * _lower(seen[1], shares[1:], weights, types)
+        logs = np.zeros(len(c.before))
+        for part in c.parts():
+            seen, shares = c.estimates(counts, tokens, part)
+            w = upper[bucket(seen[0])]
+            logs[part] = np.log10(w * shares[0] + (1 - w) * _lower(seen[1], shares[1:], weights, types))
+        own = counts[0][c.at[0]]
         start = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
         add = lambda x: np.add.reduceat(x, start)
         row = block.iloc[0]
         ids = pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], "Int64")
         return pd.DataFrame({
             "doc_id": ids, "held_out": row["held"], "n_tokens": c.lengths, "n_known": add((own > 0).astype(np.int64)), "train_tokens": tokens,
-            "base_score": add(np.log10((own + 1) / (tokens + types + 1))), "score": add(np.log10(p)),
+            "base_score": add(np.log10((own + 1) / (tokens + types + 1))), "score": add(logs),
         })
 
     return run
