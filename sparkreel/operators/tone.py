@@ -12,9 +12,12 @@ from sparkreel.operators import curves
 def isotonic(df: DataFrame, grp: str, x: str, y: str) -> DataFrame:
     """Adds fit, the non-decreasing least-squares fit of each group's curve: pooled in one pass over its points."""
     curve = df.groupBy(grp).agg(F.array_sort(F.collect_list(F.struct(x, y))).alias("_p"))
-    fit = curves.isotonic(F.transform("_p", lambda p: p[y].cast("double")))
-    rows = curve.select(grp, F.explode(F.arrays_zip(F.col("_p").alias("p"), fit.alias("fit"))).alias("z"))
-    return rows.select(grp, f"z.p.{x}", f"z.p.{y}", "z.fit")
+    pools = curves.isotonic(F.transform("_p", lambda p: p[y].cast("double")))
+    rows = curve.select(grp, F.explode(F.arrays_zip(F.col("_p").alias("p"), pools.alias("pool"))).alias("z")).select(grp, f"z.p.{x}", f"z.p.{y}", "z.pool")
+    # the same bits as a difference of running sums
+    rows = rows.withColumn("_s", F.sum(y).over(W.partitionBy(grp).orderBy(x).rowsBetween(W.unboundedPreceding, 0)))
+    pool = W.partitionBy(grp, "pool").orderBy(x).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("fit", (F.last("_s").over(pool) - F.first("_s").over(pool) + F.first(y).over(pool)) / F.count("*").over(pool)).select(grp, x, y, "fit")
 
 
 def moving_mean(df: DataFrame, grp: str, x: str, y: str, radius: int) -> DataFrame:
