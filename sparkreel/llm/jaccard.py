@@ -313,11 +313,15 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, doc_id: s
     same = stored(same)
     reps = sketch.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "id").select("id", "n", "prefix", "counts", "bytes")
     reps = stored(reps)
-    met = reps.select("id", F.explode("prefix").alias("key")).repartition("key")
-    shared = met.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least")).where("members > 1")
+    met = reps.select("id", F.explode("prefix").alias("key"))
+    # counted before the shuffle: a key that very many sets hold is one row a task here, and is split in the join
+    shared = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    hit = stored(met.join(shared, "key").select("key", "members", "id"))
+    told = hit.groupBy("key").agg(F.max("members").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least"))
     # keys held by the same sets tell the same: one of them is enough
-    shared = shared.groupBy("members", "x", "least").agg(F.min("key").alias("key"))
-    cells = stored(met.join(shared, "key").select("key", "id"))
+    told = told.groupBy("members", "x", "least").agg(F.min("key").alias("key"))
+    cells = stored(hit.join(told.select("key"), "key", "left_semi").select("key", "id"))
+    forget(hit)
     weights = cells.join(reps.select("id", F.octet_length("counts").alias("w")), "id")
     sizes = stored(weights.groupBy("key").agg(F.count("*").alias("members"), F.sum("w").alias("bytes")))
     split = _cells(cells, sizes, most).join(reps.select("id", "n", "counts"), "id")
