@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkreel.operators.raster import reflected
 from sparkreel.operators.robust import upper_median
 
-MODES = ("paper", "mirror", "tile")
+MODES, LEGACY = ("paper", "mirror", "tile"), "legacy"
 
 #: Fixed by the method: the border band that tells the paper's colour begins and ends at these shares of the short side.
 SKIP, BAND = 0.005, 0.03
@@ -40,10 +40,11 @@ def crop_filled(px: DataFrame, w: int, h: int, x: int, y: int, cw: int, ch: int,
     """(img, x, y, gray): a crop of cw x ch from (x, y), which may reach beyond the picture's w x h.
 
     Outside, mirror reflects at the edges with the edges repeated, tile starts anew, paper shows the
-    paper; a pixel without data shows the paper in every mode. One join by picture and place.
+    paper; a pixel without data shows the paper in every mode. With mode legacy what is outside is white, what
+    has no data black. One join by picture and place.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+    if mode not in (*MODES, LEGACY):
+        raise ValueError(f"mode must be one of {MODES} or {LEGACY}")
     side = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asks = paper(px, w, h, white).select("*", side(cw).alias("dx")).select("*", side(ch).alias("dy"))
     at = {"sx": (F.col("dx") + x, w), "sy": (F.col("dy") + y, h)}
@@ -54,7 +55,14 @@ def crop_filled(px: DataFrame, w: int, h: int, x: int, y: int, cw: int, ch: int,
     else:
         asks = asks.withColumns({k: i for k, (i, _) in at.items()})
     held = px.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), "gray")
-    return asks.join(held, ["img", "sx", "sy"], "left").select("img", F.col("dx").alias("x"), F.col("dy").alias("y"), F.coalesce("gray", "paper").alias("gray"))
+    inside = F.col("sx").between(0, w - 1) & F.col("sy").between(0, h - 1)
+    empty = F.when(inside, F.lit(0)).otherwise(F.lit(white)).cast("long") if mode == LEGACY else F.col("paper")
+    return asks.join(held, ["img", "sx", "sy"], "left").select("img", F.col("dx").alias("x"), F.col("dy").alias("y"), F.coalesce("gray", empty).alias("gray"))
+
+
+def fill_mode(name: str | None) -> str:
+    """The mode that a settings file names; any other name is the old way."""
+    return name if name in MODES else LEGACY
 
 
 def erased(px: DataFrame, rects: DataFrame, w: int, h: int, white: int = 255) -> DataFrame:

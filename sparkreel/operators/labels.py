@@ -45,7 +45,7 @@ def uniquified(df: DataFrame, grp: str, name: str, *order: str) -> DataFrame:
 
     Names can only meet inside a family, the names that are alike without their trailing _digits. A family of
     one name is numbered by a window; where a family has several, what is free depends on all its labels
-    before, and it is gone through in order.
+    before, and it is gone through in order. Counting from 2 anew for each name gives the same labels, as all lower ones are taken.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     rows = df.withColumn("_family", F.regexp_replace(name, r"(_[0-9]+)+$", ""))

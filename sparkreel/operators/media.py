@@ -97,3 +97,82 @@ def pages_in_flight(pages: DataFrame, grp: str, pixels: str, bytes_a_pixel: floa
     """(grp, peak, pages): bytes of the largest page, and how many such fit the budget, one at least."""
     peak = F.max(F.col(pixels) * bytes_a_pixel)
     return pages.groupBy(grp).agg(peak.alias("peak")).withColumn("pages", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("peak"))))
+
+
+#: Fixed: names of pixel formats begin with one of these; colour tags with one of those.
+PIXELS, COLOURS = r"^(yuva?|yuvj|gbra?p|gray|ya|rgba?|bgra?|nv\d|p0|p2|xyz)", r"^(bt|smpte|fcc)"
+
+
+def pixel_format(log: Column) -> Column:
+    """struct(format, depth, full, known, matrix) of the first pixel format in a log's first video stream; null without one.
+
+    Depth is the two digits before le or be, 16 at most, else 8; full is the full range, known whether a range is said.
+    """
+    line = F.regexp_extract(log, r"Stream #[^\n]*?Video: ([^\n]*)", 1)
+    found = lambda i: F.regexp_extract_all(line, F.lit(r"(?:^|, )([a-z][a-z0-9_]*)(?:\(([^)]*)\))?(?=,|$)"), F.lit(i))
+    one = F.get(F.filter(F.arrays_zip(found(1).alias("f"), found(2).alias("t")), lambda m: m["f"].rlike(PIXELS)), F.lit(0))
+    name, tags = one["f"], F.split(one["t"], r",\s*")
+    tag = F.substring_index(F.get(F.filter(tags, lambda t: t.rlike(COLOURS)), F.lit(0)), "/", 1)
+    bits = F.try_to_number(F.nullif(F.regexp_extract(name, r"(\d{2})(?:le|be)$", 1), F.lit("")), F.lit("99")).cast("long")
+    full = F.array_contains(tags, "pc") | name.startswith("yuvj")
+    matrix = F.when(tag == "bt709", "bt709").when(tag.isin("bt470bg", "smpte170m"), "bt601").when(tag.startswith("bt2020"), "bt2020")
+    told = F.struct(name.alias("format"), F.least(F.lit(16), F.coalesce(bits, F.lit(8))).cast("long").alias("depth"), full.alias("full"), (full | F.array_contains(tags, "tv")).alias("known"), matrix.alias("matrix"))
+    return F.when(name.isNotNull(), told)
+
+
+def planar_format(name: Column) -> Column:
+    """struct(format, sx, sy) of 10 and 12 bit planes in three sheets, with the steps of their colour planes; null for others."""
+    part = lambda i: F.regexp_extract(name, r"^yuva?(420|422|444)p(10|12)le$", i)
+    steps = lambda wide: F.when(part(1).isin(*wide), 2).otherwise(1).cast("long")
+    return F.when(part(1) != "", F.struct(F.concat(F.lit("I"), part(1), F.lit("P"), part(2)).alias("format"), steps(("420", "422")).alias("sx"), steps(("420",)).alias("sy")))
+
+
+def display_rotation(log: Column) -> Column:
+    """Clockwise quarter turns in degrees, from a display matrix that counts the other way; 0 without one."""
+    turn = F.regexp_extract(log, r"(?i)display ?matrix: rotation of (-?[\d.]+) degrees", 1).try_cast("double")
+    return F.coalesce(F.pmod(js_round(-turn / 90) * 90, F.lit(360)), F.lit(0)).cast("long")
+
+
+def probed(log: Column) -> Column:
+    """struct(duration, width, height, fps, rotation, pix) that a decoder's log tells; what it does not tell is 0, pix null."""
+    number = lambda p, i=1: F.coalesce(F.regexp_extract(log, p, i).try_cast("double"), F.lit(0.0))
+    clock, size = r"Duration:\s*(\d+):(\d+):(\d+\.?\d*)", r",\s*(\d{2,5})x(\d{2,5})[\s,]"
+    seconds = number(clock) * 3600 + number(clock, 2) * 60 + number(clock, 3)
+    return F.struct(seconds.alias("duration"), number(size).cast("long").alias("width"), number(size, 2).cast("long").alias("height"), number(r"(\d+(?:\.\d+)?)\s*fps").alias("fps"), display_rotation(log).alias("rotation"), pixel_format(log).alias("pix"))
+
+
+def range_problem(start: Column, end: Column, duration: Column) -> Column:
+    """Null for a range of finite ends in order, else what is wrong with it; a length that is null or 0 is not told."""
+    finite = lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    told = lambda v: F.when(finite(v), F.format_string("%.2f s", v)).otherwise("no number")
+    length = F.when(duration != 0, F.format_string("; the video lasts %.2f s", duration)).otherwise("")
+    return F.when(~(finite(start) & finite(end) & F.coalesce(end > start, F.lit(False))), F.concat(F.lit("the range from "), told(start), F.lit(" to "), told(end), F.lit(" is empty"), length))
+
+
+#: Fixed: bytes that a scan's file grows to by its kind, growth beside a graphics processor and without, share of memory for scans, least and largest bleed in percent, bleed where none is told.
+GROWTH, BESIDE, WITHOUT, SHARE, LEAST_BLEED, LARGEST_BLEED, BLEED = (12.0, 2.5, 5.0), 2.2, 3.5, 0.3, -100.0, 20.0, 1.5
+
+
+def bleed_growth(percent: Column) -> Column:
+    """How much more a scan takes for a negative bleed: a quarter of the area that its crops gain."""
+    share = F.greatest(F.lit(LEAST_BLEED), F.least(F.lit(LARGEST_BLEED), F.coalesce(percent, F.lit(BLEED)))) / 100
+    side = 1 - 2 * share
+    return F.when(share < 0, 1 + (side * side - 1) * 0.25).otherwise(1.0)
+
+
+def scan_peak(name: Column, size: Column, graphics: Column, bleed: Column) -> Column:
+    """Estimated bytes that a scan takes at its peak, by its file's kind and size."""
+    ratio = F.when(F.lower(name).rlike(r"\.(jpe?g|webp)$"), GROWTH[0]).when(F.lower(name).rlike(r"\.tiff?$"), GROWTH[1]).otherwise(GROWTH[2])
+    return size * ratio * F.when(graphics, BESIDE).otherwise(WITHOUT) * bleed_growth(bleed)
+
+
+def header_peak(w: Column, h: Column, deep: Column, bleed: Column) -> Column:
+    """The same by the size and depth in a scan's header: two copies and a quarter around them."""
+    return w * h * F.when(deep, 6).otherwise(3) * 2.5 * bleed_growth(bleed)
+
+
+def scans_at_once(scans: DataFrame, grp: str, peak: str, memory_gb: float, workers: int, told: bool, single: str) -> DataFrame:
+    """(grp, at_once): scans that fit a share of the memory, up to the workers and the scans, three if the memory is a guess; one where a group is a single sheet."""
+    worst = F.greatest(F.lit(1.0), F.max(peak))
+    most = F.least(F.greatest(F.lit(1).cast("long"), F.floor(F.lit(memory_gb * 1e9 * SHARE) / worst)), F.lit(workers).cast("long"), F.count("*"), F.lit(workers if told else 3).cast("long"))
+    return scans.groupBy(grp).agg(F.when(F.bool_or(single), F.lit(1).cast("long")).otherwise(most).alias("at_once"))

@@ -67,3 +67,63 @@ def reflected(i: Column, n: int) -> Column:
     """Any index brought into 0..n-1 by reflection at the edges, edges repeated."""
     m = F.pmod(i, F.lit(2 * n))
     return F.when(m < n, m).otherwise(2 * n - 1 - m)
+
+
+def blurred(px: DataFrame, sigma: float) -> DataFrame:
+    """(img, x, y, mean, gray): three moving means along rows and columns, of radius 1.5 sigma rounded, 1 at least; 0 or less changes nothing.
+
+    Rows are shuffled once, by picture: all six windows lie inside a picture.
+    """
+    radius, rows = max(1, int(sigma * 1.5 + 0.5)), px.select("img", "x", "y", F.col("gray").cast("double").alias("gray"))
+    if sigma > 0:
+        rows = rows.repartition("img")
+        for line, along in (("y", "x"), ("x", "y")) * 3:
+            rows = box_mean(rows, radius, line, along).select("img", "x", "y", F.col("mean").alias("gray"))
+    whole = F.least(F.greatest(F.floor(F.col("gray") + 0.5), F.lit(0)), F.lit(255)).cast("long")
+    return rows.select("img", "x", "y", F.col("gray").alias("mean"), whole.alias("gray"))
+
+
+def darker_than_around(px: DataFrame, window: int, c: float) -> DataFrame:
+    """Grays 255 where a pixel is more than c below the mean of the window around it, else 0."""
+    radius = max(1, window // 2)
+    rows = px.select("img", "x", "y", F.col("gray").alias("_own"), F.col("gray").cast("double").alias("gray")).repartition("img")
+    for line, along in (("y", "x"), ("x", "y")):
+        rows = box_mean(rows, radius, line, along).withColumn("gray", F.col("mean")).drop("mean")
+    return rows.select("img", "x", "y", F.when(F.col("_own") < F.round(F.col("gray") - c, 9), 255).otherwise(0).cast("long").alias("gray"))
+
+
+def _inside(x1: int, y1: int, x2: int, y2: int) -> Column:
+    return F.col("x").between(x1, x2 - 1) & F.col("y").between(y1, y2 - 1)
+
+
+def filled(px: DataFrame, x1: int, y1: int, x2: int, y2: int, gray: int) -> DataFrame:
+    """The pixels with a rectangle (its far ends left out) in one gray; what of it lies outside does nothing."""
+    return px.withColumn("gray", F.when(_inside(x1, y1, x2, y2), F.lit(gray).cast("long")).otherwise(F.col("gray")))
+
+
+def stroked(px: DataFrame, x1: int, y1: int, x2: int, y2: int, width: int, gray: int) -> DataFrame:
+    """The pixels with a frame of that width along the inside of a rectangle."""
+    sides = ((x1, y1, x2, y1 + width), (x1, y2 - width, x2, y2), (x1, y1, x1 + width, y2), (x2 - width, y1, x2, y2))
+    for side in sides:
+        px = filled(px, *side, gray)
+    return px
+
+
+def pasted(px: DataFrame, top: DataFrame, x: int, y: int) -> DataFrame:
+    """The pixels with another picture of the same img laid over at (x, y); what reaches beyond is cut."""
+    over = top.select("img", (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), F.col("gray").alias("_over"))
+    return px.join(over, ["img", "x", "y"], "left").withColumn("gray", F.coalesce("_over", "gray")).drop("_over")
+
+
+def inverted(gray: Column) -> Column:
+    return 255 - gray
+
+
+def widened(gray: Column) -> Column:
+    """8 bits as 16: black and white stay so."""
+    return gray * 257
+
+
+def narrowed(gray: Column) -> Column:
+    """The high byte of 16 bits."""
+    return F.shiftright(gray, 8)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkreel.functions import kernels
-from sparkreel.operators import curves, fill, labels, layout, media, planning, points, robust, sheets, timeline, tone
+from sparkreel.operators import curves, fill, labels, layout, media, planning, points, robust, sheets, state, timeline, tone
 from sparkreel.sources import archive, png
 
 
@@ -209,3 +209,29 @@ def test_planning_at_its_edges(spark):
     names = spark.createDataFrame([("g", i, n) for i, n in enumerate(["a.png", "a.jpg", "a_2.gif", "b"], 1)], "grp string, pos long, name string")
     plan = planning.compute_plan(names, "grp", "name", "pos", arr(), arr(), 3, naming="original").orderBy("k").collect()
     assert [r["label"] for r in plan] == ["a", "a_2", "a_2_2", "b"] and [(r["page"], r["cell"]) for r in plan] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+
+
+def test_logs_ranges_and_stores_at_their_edges(spark):
+    told = column(spark, media.probed(F.lit("nothing")))
+    assert told.asDict() == {"duration": 0.0, "width": 0, "height": 0, "fps": 0.0, "rotation": 0, "pix": None}
+    assert column(spark, media.probed(F.lit("Stream #0:1: Audio: aac, 48000 Hz\nStream #0:0: Video: png, rgba(pc), 64x48, 25 fps")))["pix"].asDict() == {"format": "rgba", "depth": 8, "full": True, "known": True, "matrix": None}
+    assert column(spark, media.planar_format(F.lit("yuv422p10be"))) is None and column(spark, media.planar_format(F.lit("yuva422p10le"))).asDict() == {"format": "I422P10", "sx": 2, "sy": 1}
+    nan, inf, one = F.lit(float("nan")), F.lit(float("inf")), F.lit(1.0)
+    assert all(column(spark, media.range_problem(a, b, F.lit(0.0))) for a, b in ((nan, one), (one, inf), (one, one), (F.lit(None).cast("double"), one)))
+    assert column(spark, media.range_problem(F.lit(0.0), one, F.lit(None).cast("double"))) is None
+    assert column(spark, media.bleed_growth(F.lit(-30.0))) == pytest.approx(1.39) and column(spark, media.bleed_growth(F.lit(None).cast("double"))) == 1
+    rows = lambda *x: spark.createDataFrame(list(x), "kind string, name string, value int")
+    old, new = rows(("a", "x", 1), ("flags", "f", 2)), rows(("a", "x", 9), ("a", "y", 8), ("flags", "g", 7))
+    got = lambda **k: {(r["kind"], r["name"]): r["value"] for r in state.merged_stores(old, new, **k).collect()}
+    assert got() == {("a", "x"): 1, ("a", "y"): 8, ("flags", "f"): 2}
+    assert got(incoming_wins=True, left_out=()) == {("a", "x"): 9, ("a", "y"): 8, ("flags", "f"): 2, ("flags", "g"): 7}
+
+
+def test_sweeping_spares_what_lives(spark):
+    at = lambda s: None if s is None else f"2024-01-01 12:{s // 60:02d}:{s % 60:02d}"
+    cases = [(1, 0, False, False, None), (2, 0, True, False, None), (3, None, False, False, None), (4, None, False, True, None), (5, None, False, False, 59 * 60), (6, 59 * 60 + 59, False, False, None)]
+    df = spark.createDataFrame([(k, at(s), c, l, at(o)) for k, s, c, l, o in cases], "key int, last string, closed boolean, locked boolean, output string")
+    df = df.withColumns({"last": F.to_timestamp("last"), "output": F.to_timestamp("output")})
+    got = lambda now: {r["key"]: r["emptied"] for r in state.swept(df, "key", now).collect()}
+    assert got("2024-01-01 12:59:59") == {2: True, 3: True, 5: False}
+    assert got("2024-01-01 11:50:00") == {1: True, 2: True, 3: True, 5: False, 6: True}  # the clock was set back
