@@ -54,3 +54,21 @@ def best_layout(df: DataFrame, w: str, h: str, page_w: float, page_h: float, cel
     fit = lambda c, r, pw, ph: F.least(F.lit(pw) / c / F.col(w), F.lit(ph) / r / F.col(h))
     options = F.array(*[F.struct(F.round(F.col(w) * F.col(h) * fit(c, r, pw, ph) * fit(c, r, pw, ph), 9).alias("area"), F.lit(-i).alias("ord"), F.lit(c).cast("long").alias("cols"), F.lit(r).cast("long").alias("rows")) for c, r, pw, ph, i in grids])
     return df.withColumn("_b", F.array_max(options)).select(*df.columns, "_b.cols", "_b.rows", F.round("_b.area", 6).alias("area"))
+
+
+def identified_sheets(texts: DataFrame, sheets: DataFrame, frames: DataFrame) -> DataFrame:
+    """(scan, sheet): the sheet that the first telling code of a scan names; no row for a scan without one.
+
+    texts: (scan, project, ord, box, text) as read, null where nothing was; sheets: (project, sheet); frames:
+    (project, label, sheet). A box counts once, codes that name another project are passed over (unless either name is
+    empty), a number that the project has not falls back to the label, and that to the first sheet that holds it.
+    """
+    first = texts.groupBy("scan", "project", "box").agg(F.min_by(F.struct("ord", "text"), "ord").alias("t")).select("scan", "project", "t.*")
+    rows = first.where("text is not null").withColumn("p", parsed_payload(F.col("text")))
+    named = F.trim(F.when(F.col("p.sheet").isNotNull(), F.get(F.split("text", r"\|"), F.lit(1))).otherwise(""))
+    own = F.trim(F.coalesce("project", F.lit("")))
+    rows = rows.where((named == "") | (own == "") | (named == own)).select("scan", "project", "ord", "p.label", F.col("p.sheet").alias("number"))
+    known = sheets.select("project", F.col("sheet").alias("number"), F.col("sheet").alias("_by_number")).distinct()
+    held = frames.where("label <> ''").groupBy("project", "label").agg(F.min("sheet").alias("_by_label"))
+    hits = rows.join(known, ["project", "number"], "left").join(held, ["project", "label"], "left").withColumn("sheet", F.coalesce("_by_number", "_by_label"))
+    return hits.where("sheet is not null").groupBy("scan").agg(F.min_by("sheet", "ord").alias("sheet"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkreel.operators import fill, media, raster, sinks, state
+from sparkreel.operators import fill, identity, media, raster, sinks, state
 from sparkreel.plans.base import GRAY8, SLOTS, gray8, query, slots
 from sparkreel.session import table
 
@@ -127,3 +127,15 @@ def pixel_basics(spark, d):
 @query(f"with {GRAY8}, i as (select distinct img from px), a as (select img, x, y from i, (select unnest(range(0, 12)) x), (select unnest(range(0, 13)) y)) select a.img, cast(a.x as bigint) x, cast(a.y as bigint) y, cast(case when a.x - 2 between 0 and 7 and a.y - 3 between 0 and 7 then coalesce(px.gray, 0) else 255 end as bigint) gray from a left join px on px.img = a.img and px.x = a.x - 2 and px.y = a.y - 3 and px.x + px.y < 12")
 def crop_legacy(spark, d):
     return fill.crop_filled(gray8(spark, d).where("x + y < 12"), 8, 8, -2, -3, 12, 13, fill.fill_mode("unknown"))
+
+
+@query("""with u as (select *, row_number() over (partition by p_brand, p_size order by p_partkey) n from part), h as (select p_brand scan, p_partkey ord, case p_partkey % 4 when 0 then case when p_size % 9 <= 4 then p_size % 9 when p_size between 10 and 30 then p_size % 7 end when 2 then case when p_size between 10 and 30 then p_size % 7 end end sheet from u where n = 1)
+select scan, cast(arg_min(sheet, ord) as bigint) as sheet from h where sheet is not null group by scan""")
+def identified_sheets(spark, d):
+    n, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    part, label = table(spark, d, "part"), F.concat(L("lab"), s.cast("string"))
+    code = lambda project: identity.payload(L(project), s % 9, L(9), label)
+    text = F.when(n % 4 == 0, code("proj")).when(n % 4 == 1, code("other")).when(n % 4 == 2, label).when(n % 8 == 3, "K2|proj|x|9|lab12")
+    texts = part.select(F.col("p_brand").alias("scan"), L("proj").alias("project"), n.alias("ord"), s.alias("box"), text.alias("text"))
+    own = part.select(L("proj").alias("project"), label.alias("label"), s.alias("s")).distinct()
+    return identity.identified_sheets(texts, own.select("project", (F.col("s") % 9).alias("sheet")).where("sheet <= 4"), own.where("s between 10 and 30").select("project", "label", (F.col("s") % 7).alias("sheet")))
