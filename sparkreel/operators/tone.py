@@ -57,3 +57,13 @@ def cdf(df: DataFrame, grp: str, x: str, n: str) -> DataFrame:
 
 def running_max(df: DataFrame, grp: str, x: str, y: str, to: str) -> DataFrame:
     return df.withColumn(to, F.max(y).over(W.partitionBy(grp).orderBy(x).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def inverse_at(df: DataFrame, grp: str, x: str, y: str, values: list[float]) -> DataFrame:
+    """(grp, want, x): where each group's rising curve reaches the values, straight between points; its last x beyond the end, no row below its first y."""
+    w = W.partitionBy(grp).orderBy(x)
+    rows = df.select(grp, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lead(x).over(w).alias("_x1"), F.lead(y).over(w).alias("_y1"))
+    asked = rows.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("want")).where("_y <= want")
+    last = asked.groupBy(grp, "want").agg(F.max_by(F.struct("_x", "_y", "_x1", "_y1"), "_x").alias("s"))
+    between = F.col("s._x") + F.try_divide((F.col("s._x1") - F.col("s._x")) * (F.col("want") - F.col("s._y")), F.col("s._y1") - F.col("s._y"))
+    return last.select(grp, "want", F.coalesce(between, F.col("s._x")).alias(x))

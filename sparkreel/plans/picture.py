@@ -119,12 +119,8 @@ def pchip_eval(spark, d):
 b as (select a.grp, want, x0, min(p.x) x1 from a left join p on p.grp = a.grp and p.x > x0 group by all)
 select b.grp, want, round(coalesce(x0 + (x1 - x0) * (want - p0.y) / (p1.y - p0.y), x0), 5) density from b join p p0 on p0.grp = b.grp and p0.x = x0 left join p p1 on p1.grp = b.grp and p1.x = x1""")
 def inverse_interp(spark, d):
-    rows = tone.running_max(response(spark, d), "grp", "density", "luma", "y").select("grp", F.col("density").alias("x"), "y")
-    w = W.partitionBy("grp").orderBy("x")
-    rows = rows.withColumns({"x1": F.lead("x").over(w), "y1": F.lead("y").over(w)})
-    want = rows.select("*", F.explode(F.array(*[F.lit(float(v)) for v in (98, 104, 108)])).alias("want")).where("y <= want")
-    last = want.groupBy("grp", "want").agg(F.max_by(F.struct("x", "y", "x1", "y1"), "x").alias("s"))
-    return last.select("grp", "want", F.round(F.coalesce(F.col("s.x") + F.try_divide((F.col("s.x1") - F.col("s.x")) * (F.col("want") - F.col("s.y")), F.col("s.y1") - F.col("s.y")), F.col("s.x")), 5).alias("density"))
+    rows = tone.running_max(response(spark, d), "grp", "density", "luma", "y")
+    return tone.inverse_at(rows, "grp", "density", "y", [98, 104, 108]).withColumn("density", F.round("density", 5))
 
 
 @query("with " + RESPONSE + ", p as (select *, row_number() over (partition by grp order by density) i, count(*) over (partition by grp) n from resp) select grp, round((max(luma) - min(luma)) / 255, 6) as range, avg(luma) filter (where i * 4 <= n) > avg(luma) filter (where (n - i) * 4 < n) + 8 inverted, (max(luma) - min(luma)) / 255 < 0.1 or count(*) < 3 flat from p group by grp")
