@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkreel.llm import decontam, html_text, jaccard, langid, lm, packing, pii, search, tokens, urls
+from sparkreel.llm import centroids, decontam, divergence, html_text, jaccard, langid, lm, packing, pii, search, secrets, tokens, urls
 from sparkreel.llm import pipeline as corpus
 
 
@@ -62,10 +62,25 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with their clusters after three exact rounds."""
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the secrets in them."""
+    return secrets.report(secrets.secrets(_table(spark, sf_dir, "documents")))
+
+
+def op13_support_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of every language with their divergences from one another and the terms that set them apart."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over the whole corpus."""
     return corpus.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op2_text_density_pages, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op8_variable_capacity_packing, op9_deleted_interpolation, op10_crf_language_id, pipeline)}
-ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_impact_ordered_search, op2_text_density_pages, op3_url_model_ratio, op4_count_vector_jaccard, op5_crf_personal_data, op6_two_tier_token_counts, op7_winnowing_decontamination, op8_variable_capacity_packing, op9_deleted_interpolation, op10_crf_language_id, op11_gemm_centroids, op12_multipart_secrets, op13_support_divergence, pipeline)}
+ORACLE_SQL = {"op1_impact_ordered_search": search.ORACLE, "op4_count_vector_jaccard": jaccard.ORACLE, "op7_winnowing_decontamination": decontam.ORACLE, "op11_gemm_centroids": centroids.ORACLE, "op13_support_divergence": divergence.ORACLE}
