@@ -132,16 +132,18 @@ def inverted(x: Column, y: Column, points: int = POINTS) -> Column:
     return let(x, lambda x: let(y, lambda y: run(x, y)))
 
 
-def averaged_prints(measured: DataFrame, grp: str, patch: str, value: str) -> DataFrame:
+def averaged_prints(measured: DataFrame, grp: str, patch: str, value: str, parts: int = 1) -> DataFrame:
     """(grp, patch, mean, off, prints): each patch's mean over the prints where it was measured, to tenths, and its mean deviation (null of a single print).
 
-    Values are added in ascending order, so the order of files or rows changes no bit.
+    Values may be whole parts of a unit, `parts` to one. They are added in ascending order, so the order of
+    files or rows changes no bit; of two tenths equally near the mean takes the upper one.
     """
     ordered = lambda xs: F.aggregate(F.array_sort(xs), F.lit(0.0), lambda a, x: a + x) / F.size(xs)
     rows = measured.where(F.col(value).isNotNull()).groupBy(grp, patch).agg(F.collect_list(F.col(value).cast("double")).alias("_v"))
     rows = rows.withColumn("_m", ordered(F.col("_v")))
     off = F.when(F.size("_v") > 1, ordered(F.transform("_v", lambda x: F.abs(x - F.col("_m")))))
-    return rows.select(grp, patch, (F.round(F.col("_m") * 10) / 10).alias("mean"), off.alias("off"), F.size("_v").cast("long").alias("prints"))
+    tenths = F.floor(F.col("_m") * 10 + 0.5 if parts == 1 else F.col("_m") / (parts / 10) + 0.5)
+    return rows.select(grp, patch, (tenths / 10).alias("mean"), (off / parts).alias("off"), F.size("_v").cast("long").alias("prints"))
 
 
 def uneven_prints(averages: DataFrame, grp: str) -> DataFrame:

@@ -45,17 +45,8 @@ def splice_bounds(intervals: DataFrame, grp: str, rate: int, fps: float) -> Data
     return out.withColumn("out_from", js_round(before * rate / fps))
 
 
-def crossfades(intervals: DataFrame, grp: str, rate: int, fps: float, seconds: float, steps: int) -> DataFrame:
-    """(grp, from, i, weight): weights (i + 1/2) / m of a fade into each interval that does not touch the one before it, at `steps` points."""
-    w = W.partitionBy(grp).orderBy("from")
-    gap = intervals.withColumn("_gap", F.col("from") - F.lag("to").over(w)).where("_gap > 0")
-    m = F.least(F.lit(int(rate * seconds)), js_round((F.col("to") - F.col("from")) * rate / fps))
-    rows = gap.select(grp, "from", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"))
-    return rows.select(grp, "from", F.floor(F.col("k") * F.col("m") / steps).cast("long").alias("i"), "m").withColumn("weight", (F.col("i") + 0.5) / F.col("m")).drop("m")
-
-
 def crossfade_samples(intervals: DataFrame, grp: str, rate: int, fps: float, seconds: float, have: str = "have") -> DataFrame:
-    """(grp, from, i, weight): every sample of those fades, (i + 1/2) / m for i below m.
+    """(grp, from, i, weight): every sample of the fade into each interval that does not touch the one before it, (i + 1/2) / m for i below m.
 
     m is the least of the fade's samples, those that the source, `have` samples long, has for the interval, and
     those that it has behind the interval before.

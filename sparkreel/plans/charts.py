@@ -8,25 +8,27 @@ from sparkreel.operators import curves
 from sparkreel.plans.base import query
 from sparkreel.session import table
 
-PRINTS = "prints as (select l_returnflag grp, l_linestatus print, l_quantity patch, round(sum(cast(round(l_extendedprice * 100) as bigint))::double / count(*) / 30000, 4) v from lineitem group by all)"
-AVERAGE = PRINTS + ", av0 as (select grp, patch, list_sort(list(v)) vs from prints group by grp, patch), av1 as (select *, list_sum(vs) / len(vs) m from av0), av as (select grp, patch, round(m * 10) / 10 mean, case when len(vs) > 1 then list_sum(list_transform(vs, lambda x: abs(x - m))) / len(vs) end off, len(vs) prints from av1)"
+PRINTS = "prints as (select l_returnflag grp, l_linestatus print, l_quantity patch, ((sum(cast(round(l_extendedprice * 100) as bigint))::bigint * 2 + 3 * count(*)) // (6 * count(*)))::double v from lineitem group by all)"
+AVERAGE = PRINTS + ", av0 as (select grp, patch, list_sort(list(v)) vs from prints group by grp, patch), av1 as (select *, list_sum(vs) / len(vs) m from av0), av as (select grp, patch, floor(m / 1000 + 0.5) / 10 mean, case when len(vs) > 1 then list_sum(list_transform(vs, lambda x: abs(x - m))) / len(vs) / 10000 end off, len(vs) prints from av1)"
 POINTS = AVERAGE + ", p as (select grp, patch * 5.1::double x, mean y, row_number() over (partition by grp order by patch) - 1 i, count(*) over (partition by grp) n from av)"
 SMOOTH = POINTS + """, o as (select *, unnest(range(-(v // 2), v // 2 + 1)) k from (select *, greatest(3, (n // 16) | 1) v from p)),
 sm as (select o.grp, o.x, o.i, o.n, case when o.i = 0 or o.i = o.n - 1 then any_value(o.y) else sum(b.y) / any_value(v) end y from o join p b on b.grp = o.grp and b.i = case when o.i + k < 0 then -(o.i + k) when o.i + k >= o.n then 2 * o.n - 2 - (o.i + k) else o.i + k end group by o.grp, o.x, o.i, o.n)"""
 
 
 def _averages(spark, d):
-    prints = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("print"), F.col("l_quantity").alias("patch")).agg(F.round(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 30_000, 4).alias("v"))
-    return curves.averaged_prints(prints, "grp", "patch", "v")
+    # whole ten-thousandths, half up: no engine's rounding of a double decides
+    whole = F.expr("(sum(cast(round(l_extendedprice * 100) as bigint)) * 2 + 3 * count(*)) div (6 * count(*))")
+    prints = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("print"), F.col("l_quantity").alias("patch")).agg(whole.alias("v"))
+    return curves.averaged_prints(prints, "grp", "patch", "v", 10_000)
 
 
 def _curves(spark, d):
     return curves.curve_rows(_averages(spark, d).select("grp", (F.col("patch") * 5.1).alias("x"), F.col("mean").alias("y")), "grp", "x", "y")
 
 
-@query(f"with {AVERAGE} select grp, patch, mean, round(off, 4) off, cast(prints as bigint) prints from av")
+@query(f"with {AVERAGE} select grp, patch, mean, off, cast(prints as bigint) prints from av")
 def print_averages(spark, d):
-    return _averages(spark, d).withColumn("off", F.round("off", 4))
+    return _averages(spark, d)
 
 
 @query(f"with {AVERAGE}, s as (select grp, avg(off) / greatest(max(mean) - min(mean), 1e-9) spread from av group by grp) select grp, round(spread, 4) spread, coalesce(spread > 0.03, false) uneven from s")

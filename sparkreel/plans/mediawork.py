@@ -53,10 +53,10 @@ def media_columns(spark, d):
     return table(spark, d, "part").select("p_partkey", media.codec_depth(codec).alias("depth"), matrix.alias("matrix"), media.encode_size(s, s).alias("e")).select("p_partkey", "depth", "matrix", "e.w", "e.h")
 
 
-@query("select event_id, cast(hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 as bigint) as time, cast((greatest(1980, year(ts)) - 1980) * 512 + month(ts) * 32 + day(ts) as bigint) as date, case when event_id * 70001 > 1000000 then printf('%.1f MB', event_id * 70001 / 1e6) else cast(cast(floor(event_id * 70001 / 1000.0::double + 0.5) as bigint) as varchar) || ' KB' end as size from events where event_id * 70001 < 1000000000")
+@query("select event_id, cast(hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 as bigint) as time, cast((greatest(1980, year(ts)) - 1980) * 512 + month(ts) * 32 + day(ts) as bigint) as date, case when event_id * 70001 > 1000000000 then printf('%.1f GB', event_id * 70001 / 1e9) when event_id * 70001 > 1000000 then printf('%.1f MB', event_id * 70001 / 1e6) else cast(cast(floor(event_id * 70001 / 1000.0::double + 0.5) as bigint) as varchar) || ' KB' end as size from events")
 def archive_columns(spark, d):
     n = F.col("event_id") * 70_001
-    rows = table(spark, d, "events").where(n < 1_000_000_000).select("event_id", media.dos_datetime(F.col("ts")).alias("t"), media.bytes_text(n).alias("size"))
+    rows = table(spark, d, "events").select("event_id", media.dos_datetime(F.col("ts")).alias("t"), media.bytes_text(n).alias("size"))
     return rows.select("event_id", "t.time", "t.date", "size")
 
 

@@ -34,40 +34,27 @@ def qr_payload_roundtrip(spark, d):
     return table(spark, d, "pages").select("page_id", identity.parsed_payload(text).alias("p")).select("page_id", "p.label", "p.sheet")
 
 
-_MAPS = "a as (select c_nationkey k, c_mktsegment n, min(c_custkey) v from customer where c_custkey % 2 = 0 group by all), b as (select c_nationkey k, c_mktsegment n, max(c_custkey) v from customer where c_custkey % 3 = 0 group by all)"
-
-
 #: Every customer is in one of the two stores.
-_ALL_MAPS = _MAPS.replace("c_custkey % 2 = 0", "coalesce(c_acctbal < 4000, true)").replace("c_custkey % 3 = 0", "not coalesce(c_acctbal < 4000, true)")
+_ALL_MAPS = "a as (select c_nationkey k, c_mktsegment n, min(c_custkey) v from customer where coalesce(c_acctbal < 4000, true) group by all), b as (select c_nationkey k, c_mktsegment n, max(c_custkey) v from customer where not coalesce(c_acctbal < 4000, true) group by all)"
 
 
-def _merged(spark, d, incoming_wins, first="c_custkey % 2 = 0", second="c_custkey % 3 = 0"):
+def _merged(spark, d, incoming_wins):
     c = table(spark, d, "customer")
     side = lambda rows, f: rows.groupBy("c_nationkey", "c_mktsegment").agg(f("c_custkey").alias("v")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "v"))).alias("m"))
-    both = side(c.where(first), F.min).alias("a").join(side(c.where(second), F.max).withColumnRenamed("m", "m2"), "c_nationkey", "full")
+    both = side(c.where("coalesce(c_acctbal < 4000, true)"), F.min).alias("a").join(side(c.where("not coalesce(c_acctbal < 4000, true)"), F.max).withColumnRenamed("m", "m2"), "c_nationkey", "full")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     both = both.select("c_nationkey", F.coalesce("m", none).alias("old"), F.coalesce("m2", none).alias("new"))
     return both.select(F.col("c_nationkey").cast("long").alias("kind"), F.explode(state.merged_maps("old", "new", incoming_wins)).alias("name", "value"))
 
 
-@query(f"with {_MAPS} select cast(coalesce(a.k, b.k) as bigint) kind, coalesce(a.n, b.n) as name, coalesce(b.v, a.v) as value from a full join b on a.k = b.k and a.n = b.n")
-def profile_merge_incoming(spark, d):
-    return _merged(spark, d, True)
-
-
-@query(f"with {_MAPS} select cast(coalesce(a.k, b.k) as bigint) kind, coalesce(a.n, b.n) as name, coalesce(a.v, b.v) as value from a full join b on a.k = b.k and a.n = b.n")
-def profile_merge_existing(spark, d):
-    return _merged(spark, d, False)
-
-
 @query(f"with {_ALL_MAPS} select cast(coalesce(a.k, b.k) as bigint) kind, coalesce(a.n, b.n) as name, coalesce(b.v, a.v) as value from a full join b on a.k = b.k and a.n = b.n")
 def profile_merge_all_incoming(spark, d):
-    return _merged(spark, d, True, "coalesce(c_acctbal < 4000, true)", "not coalesce(c_acctbal < 4000, true)")
+    return _merged(spark, d, True)
 
 
 @query(f"with {_ALL_MAPS} select cast(coalesce(a.k, b.k) as bigint) kind, coalesce(a.n, b.n) as name, coalesce(a.v, b.v) as value from a full join b on a.k = b.k and a.n = b.n")
 def profile_merge_all_existing(spark, d):
-    return _merged(spark, d, False, "coalesce(c_acctbal < 4000, true)", "not coalesce(c_acctbal < 4000, true)")
+    return _merged(spark, d, False)
 
 
 @query("""select p_partkey, '"' || replace(p_name, '"', '""') || '","' || replace(p_brand || '"', '"', '""') || '","' || cast(p_size as varchar) || '"' as line from part""")

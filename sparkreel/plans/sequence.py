@@ -32,13 +32,6 @@ def splice_sample_bounds(spark, d):
     return timeline.splice_bounds(timeline.keep_intervals(slots(spark, d), "grp", "content"), "grp", RATE, FPS)
 
 
-@query(f"""with {KEEP}, g as (select *, "from" - lag("to") over (partition by grp order by "from") gap from keep), m as (select grp, "from", least(220, cast(floor(("to" - "from") * 44100 / 24.0::double + 0.5) as bigint)) m, unnest([0, 1, 2, 3]) k from g where gap > 0)
-select grp, "from", k * m // 4 i, round((k * m // 4 + 0.5::double) / m, 6) weight from m""")
-def crossfade_weights(spark, d):
-    out = timeline.crossfades(timeline.keep_intervals(slots(spark, d), "grp", "content"), "grp", RATE, FPS, 0.005, 4)
-    return out.withColumn("weight", F.round("weight", 6))
-
-
 @query(f"""with {KEEP}, h as (select grp, cast(floor(count(*) * 44100 / 24.0::double + 0.5) as bigint) have from slots group by grp),
 o as (select *, coalesce(sum("to" - "from") over (partition by grp order by "from" rows between unbounded preceding and 1 preceding), 0) before from keep),
 b as (select *, cast(floor("from" * 44100 / 24.0::double + 0.5) as bigint) src, cast(floor((before + "to" - "from") * 44100 / 24.0::double + 0.5) - floor(before * 44100 / 24.0::double + 0.5) as bigint) len from o),

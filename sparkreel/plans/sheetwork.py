@@ -176,13 +176,12 @@ def polygon_columns(spark, d):
     return rows.select("vec_id", F.round(points.polygon_area(F.col("p")), 6).alias("area"), points.is_convex(F.col("p")).alias("convex"))
 
 
-@query("with e as (select vec_id, embedding::double[] e from embeddings), p as (select vec_id, 1 + e[1] a, e[2] b, 10 * e[3] c, e[4] d, 1 + e[5] e, 10 * e[6] f, 5 + e[7] x, 7 + e[8] y from e), q as (select *, a * x + b * y + c u, d * x + e * y + f v, a * e - b * d det from p) select vec_id, round(u, 6) u, round(v, 6) v, round((e * (u - c) - b * (v - f)) / det, 4) x, round((a * (v - f) - d * (u - c)) / det, 4) y from q where abs(det) > 0.1")
+@query("with e as (select vec_id, embedding::double[] e from embeddings), p as (select vec_id, 1 + e[1] a, e[2] b, 10 * e[3] c, e[4] d, 1 + e[5] e, 10 * e[6] f, 5 + e[7] x, 7 + e[8] y from e), q as (select *, a * x + b * y + c u, d * x + e * y + f v, a * e - b * d det from p) select vec_id, round(u, 6) u, round(v, 6) v, case when abs(det) >= 1e-12 then round((e * (u - c) - b * (v - f)) / det, 4) end x, case when abs(det) >= 1e-12 then round((a * (v - f) - d * (u - c)) / det, 4) end y from q")
 def map_columns(spark, d):
     e = lambda i: F.get("embedding", L(i)).cast("double")
     h = F.array(1 + e(0), e(1), 10 * e(2), e(3), 1 + e(4), 10 * e(5), L(0.0), L(0.0), L(1.0))
     rows = table(spark, d, "embeddings").select("vec_id", h.alias("h"), (5 + e(6)).alias("x"), (7 + e(7)).alias("y")).withColumn("i", points.inverse(F.col("h")))
     at = lambda m, x, y: points.projected([F.get(m, L(k)) for k in range(9)], x, y)
-    rows = rows.where(F.abs(F.get("h", L(0)) * F.get("h", L(4)) - F.get("h", L(1)) * F.get("h", L(3))) > 0.1)
     rows = rows.withColumn("p", at("h", F.col("x"), F.col("y"))).withColumn("q", at("i", F.col("p.x"), F.col("p.y")))
     return rows.select("vec_id", F.round("p.x", 6).alias("u"), F.round("p.y", 6).alias("v"), F.round("q.x", 4).alias("x"), F.round("q.y", 4).alias("y"))
 
