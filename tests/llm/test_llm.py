@@ -169,6 +169,39 @@ def test_search_leaves_nothing_out_after_many_blocks():
         assert [(-int(s), int(i)) for s, i in zip(best.scores[best.query == q], best.ids[best.query == q], strict=True)] == want
 
 
+def test_search_counts_an_id_of_many_equal_rows_once(spark):
+    rows = [(0, [1.0, 2.0])] * 6 + [(50, [1.0, 2.0])] + [(i, [0.5, 1.0]) for i in (3, 3, 3, 3, 3, 3, 3, 4)]
+    for slab_bytes in (search.SLAB_BYTES, 16):
+        got = sorted(tuple(r) for r in search.top_k(vectors_of(spark, rows).repartition(1), 50, 5, slab_bytes=slab_bytes).collect())
+        assert got == best_of_all_pairs(rows, 50, 5) and (0, 1, 50, 327_680) in got
+
+
+def test_search_walks_few_segments_and_skips_blocks():
+    """Clustered vectors of very different lengths: most blocks are out by their bounds, walks end before the last segment."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 32)) * 200
+    vectors = np.floor(centres[rng.integers(0, 200, 20_000)] + rng.normal(size=(20_000, 32)) * 20) * rng.choice([1.0, 0.2], 20_000)[:, None] // 1
+    best = search.Best(np.full(200, -np.inf), 5)
+    for block in search._blocks(np.arange(20_000), vectors, 5):
+        again = search.Block.of_row(*block.row())
+        assert (again.impact == block.impact).all() and (again.whole == block.whole).all()
+        search.walk_block(again, vectors[::100], np.arange(0, 20_000, 100), best)
+    assert best.counts["walked"] < best.counts["segments"] and best.counts["skipped"] > 200
+    scores = (vectors[::100] @ vectors.T).astype(np.int64)
+    scores[np.arange(200), np.arange(0, 20_000, 100)] = -(2**62)
+    assert (np.sort(scores, 1)[:, :-6:-1] == best.scores.reshape(200, 5)).all()
+
+
+def test_search_of_wide_vectors_beside_short_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4096 if i % 40 == 0 else 6).tolist()) for i in range(200)]
+    for slab_bytes in (search.SLAB_BYTES, 70_000):
+        got = sorted(tuple(r) for r in search.top_k(vectors_of(spark, rows), 50, 3, slab_bytes=slab_bytes).collect())
+        assert got == best_of_all_pairs(rows, 50, 3)
+    batch = next(iter(vectors_of(spark, rows).selectExpr("vec_id", "cast(embedding as array<double>)").toArrow().to_batches()))
+    assert max(m.nbytes for _, m in search._chunks([batch] * 30)) <= 2 * search.CHUNK_BYTES and sum(len(i) for i, _ in search._chunks([batch] * 30)) == 30 * len(batch)
+
+
 def test_language_model_against_plain_counts(spark):
     r = random.Random(1)
     texts = [" ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(60))) for _ in range(120)] + [None, ""]
