@@ -177,10 +177,10 @@ def test_search_counts_an_id_of_many_equal_rows_once(spark):
 
 
 def test_search_walks_few_segments_and_skips_blocks():
-    """Clustered vectors of very different lengths: most blocks are out by their bounds, walks end before the last segment."""
+    """Vectors of few large components and very different lengths: blocks are out by their bounds, walks end before the last segment."""
     rng = np.random.default_rng(8)
-    centres = rng.normal(size=(200, 32)) * 200
-    vectors = np.floor(centres[rng.integers(0, 200, 20_000)] + rng.normal(size=(20_000, 32)) * 20) * rng.choice([1.0, 0.2], 20_000)[:, None] // 1
+    centres = (rng.random((200, 32)) < 0.1) * rng.choice([-1000, 1000], (200, 32))
+    vectors = np.floor((centres[rng.integers(0, 200, 20_000)] + rng.normal(size=(20_000, 32)) * 20) * rng.choice([1.0, 0.2], 20_000)[:, None])
     best = search.Best(np.full(200, -np.inf), 5)
     for block in search._blocks(np.arange(20_000), vectors, 5):
         again = search.Block.of_row(*block.row())
