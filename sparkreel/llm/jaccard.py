@@ -1,8 +1,10 @@
 """N-gram Jaccard join over count vectors: shingles are hashed into groups, a set becomes a point of
 group counts, and the sum of coordinate minima bounds how many shingles two sets can share.
 
-Spark does the partitioning. Of any two sets that link, the lowest shingle hashes (a prefix as long as
-the threshold demands) share one; sets that share such a hash meet in a cell. In a cell an R-tree over
+Spark does the partitioning. Of any two sets that link, the rarest shingles (a prefix as long as the
+threshold demands) share one; sets that share such a shingle meet in a cell. Rarity is that of the shingle's
+bucket in a table of fixed size that all texts are counted into, so that passages of very many documents
+come last in the order and open cells only for sets of little else. In a cell an R-tree over
 the count vectors finds the pairs whose bound reaches the threshold. Cells give a spanning forest of
 those pairs only, whose components ("neighbourhoods") hold every link; inside a neighbourhood the
 whole sets are built once more from the texts, searched by the R-tree again, and each surviving pair
@@ -27,6 +29,8 @@ from sparkreel.llm.common import chained, connected_components, forget, mix, sli
 GROUPS, LEAF, FAN, MOST, SLICE, MATRIX = 64, 32, 8, 1024, 1 << 20, 200_000
 #: Bytes of a block, coordinates of node pairs compared at once, rows of whole cells and of whole neighbourhoods that go together.
 BLOCK_BYTES, COORDINATES, CELL_ROWS, TEXT_ROWS = 8 << 20, 4_000_000, 10_000, 500
+#: Bits of a shingle's bucket; sets in a bucket that count as rare, if the mean bucket has not a quarter of that.
+BUCKET_BITS, RARE = 20, 64
 _SKETCH = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, counts binary, bytes long"
 
 
@@ -40,6 +44,41 @@ def shingle_sets(column: pa.Array, size: int):
             yield np.unique(whole[a : b - size + 1]) if b - a >= size else chained(hashes[a:b], b - a) if b > a else whole[:0]
 
 
+def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
+    """For each bucket of shingles how often its count doubles what counts as rare, as bytes: the same 2**BUCKET_BITS numbers for any input.
+
+    Tasks count the sets of all texts; the tables are added up on the executors.
+    """
+    packed = lambda x: pa.compress(x.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+    read = lambda b: np.frombuffer(pa.decompress(b, 8 << BUCKET_BITS, codec="zstd", asbytes=True), "<i8")
+
+    def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            held, n = [], 0
+            for u in shingle_sets(batch.column(0), size):
+                held.append((u >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                n += len(u)
+                if n >= SLICE:
+                    total += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
+                    held, n = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["b"])
+
+    add = lambda a, b: b if a is None else a if b is None else packed(read(a) + read(b))
+    total = texts.select("text").mapInArrow(run, "b binary").rdd.map(lambda r: bytes(r[0])).treeAggregate(None, add, add, 2)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64) if total is None else read(total)
+    rare = max(RARE, 4 * counts.mean())
+    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / rare))).astype(np.uint8)
+
+
+def by_rarity(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Sorted hashes by the level of their bucket, then by value: one order for all sets."""
+    level = frequent[hashes >> np.uint64(64 - BUCKET_BITS)]
+    return hashes[np.argsort(level, kind="stable")] if level.any() else hashes
+
+
 def levels(sizes: np.ndarray) -> np.ndarray:
     """How often GROUPS is doubled for sets of these sizes; sizes of two sets that link are a level apart at most."""
     return np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (4 * GROUPS)))).astype(np.int64)
@@ -72,17 +111,24 @@ class Points:
         return np.stack([v.astype(np.int32).reshape(-1, width).sum(0) for v in own])
 
 
-def _sketcher(size: int, num: int, den: int):
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    m = mix(hashes)
+    return np.array([np.bitwise_xor.reduce(m), np.sum(m)], np.uint64).view(np.int64)
+
+
+def _sketcher(size: int, num: int, den: int, table):
+    """table: broadcast frequency_levels()."""
+
     def run(batches):
+        frequent = table.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             for doc, u in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 n = len(u)
                 keep = n - -(-num * n // den) + 1 if n else 0
-                m = mix(u)
-                fp = np.array([np.bitwise_xor.reduce(m), np.sum(m)], np.uint64).view(np.int64)
-                for to, x in zip(out, (doc, n, fp[0], fp[1], u[:keep].view(np.int64), as_bytes(group_counts(u))), strict=True):
+                fp = fingerprint(u)
+                for to, x in zip(out, (doc, n, fp[0], fp[1], by_rarity(u, frequent)[:keep].view(np.int64), as_bytes(group_counts(u))), strict=True):
                     to.append(x)
             at = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out[4]])))
@@ -277,8 +323,11 @@ def _links(size: int, num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = []
         for _, part in pdf.groupby(["key", "lo", "hi"], sort=False):
-            part = part.drop_duplicates("id", ignore_index=True)
             sets = list(shingle_sets(pa.array(part["text"], pa.large_string()), size))
+            # of the texts of a repeated doc_id the one that has the set
+            own = np.array([fingerprint(x)[0] for x in sets]) == part["fp1"].to_numpy()
+            own &= ~part["id"].where(own, part.index.to_series()).duplicated().to_numpy()
+            part, sets = part[own].reset_index(drop=True), [x for x, o in zip(sets, own.tolist(), strict=True) if o]
             points, ids = Points(np.array([len(x) for x in sets]), [group_counts(x) for x in sets]), part["id"].to_numpy()
             forest = Forest(len(part))
             for rows, cols, which in rtree_pairs(points, *_sides(part), num, den, forest):
@@ -303,16 +352,20 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, doc_id: s
     Words are runs of non-space characters with A-Z lower-cased, shingles `size` of them in a row; a
     shorter text is one shingle, a text without words or null has none and links with nothing, nor
     does a row without doc_id (component null). component_id is the smallest doc_id reachable by links.
-    Rows that repeat a doc_id are one node, linked as any of them is. Columns besides the two named
+    Rows that repeat a doc_id are one node, with a set for each of their texts: what links with any of
+    these is in its component, and every row keeps the size of its own set. Columns besides the two named
     are not read, so clashing names do no harm; an empty table gives no rows. Shingles are compared by
     hashes of 64 bits.
     """
+    of_set = ["fp1", "fp2", "n"]
+    set_id = F.xxhash64(*of_set)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketch = stored(texts.mapInArrow(_sketcher(size, num, den), _SKETCH))
-    same = sketch.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    same = stored(same)
-    reps = sketch.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "id").select("id", "n", "prefix", "counts", "bytes")
-    reps = stored(reps)
+    table = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts, size))
+    sketch = stored(texts.mapInArrow(_sketcher(size, num, den, table), _SKETCH))
+    known = sketch.where("n > 0 and doc_id is not null")
+    same = stored(known.groupBy(*of_set).agg(F.min("doc_id").alias("rep")).withColumn("id", set_id))
+    reps = known.join(same.withColumnRenamed("rep", "doc_id"), [*of_set, "doc_id"]).dropDuplicates([*of_set, "doc_id"])
+    reps = stored(reps.select("id", "n", "prefix", "counts", "bytes"))
     met = reps.select("id", F.explode("prefix").alias("key"))
     # counted before the shuffle: a key that very many sets hold is one row a task here, and is split in the join
     shared = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -327,29 +380,38 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, doc_id: s
     split = _cells(cells, sizes, most).join(reps.select("id", "n", "counts"), "id")
     pack = _packed(sizes, most, CELL_ROWS)
     near = connected_components(split.groupBy(pack).applyInPandas(_forest_of_cells(num, den), "src long, dst long"))
-    near = stored(near.withColumnRenamed("component", "key"))
+    near = stored(near.withColumnRenamed("component", "key").join(same.select("id", "fp1", F.col("rep").alias("doc_id")), "id"))
     crowd = stored(near.join(reps.select("id", "bytes"), "id").groupBy("key").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")))
-    members_text = _cells(near, crowd, most).join(texts.withColumnRenamed("doc_id", "id"), "id")
+    members_text = _cells(near, crowd, most).join(texts, "doc_id").drop("doc_id")
     pack = _packed(crowd, most, TEXT_ROWS)
     links = members_text.groupBy(pack).applyInPandas(_links(size, num, den), "src long, dst long")
-    linked = connected_components(links)
-    named = same.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
-    named = stored(named)
-    for x in (reps, cells, sizes, near, crowd):
+    several = known.groupBy("doc_id").agg(F.min(set_id).alias("dst"), F.max(set_id).alias("_m")).where("dst < _m")
+    ties = known.select("doc_id", set_id.alias("src")).join(several.select("doc_id", "dst"), "doc_id").select("src", "dst")
+    linked = stored(connected_components(links.unionByName(ties)))
+    least = linked.join(same.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = linked.join(least, "component").select("id", "component_id")
+    named = stored(same.join(found, "id", "left").select(*of_set, F.coalesce("component_id", "rep").alias("component_id")))
+    for x in (reps, cells, sizes, near, crowd, linked, same):
         forget(x)
-    out = sketch.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # rows without words belong to their doc_id's other texts, where there are any
+    blank = sketch.where("n = 0 and doc_id is not null").select("doc_id")
+    nodes = known.join(blank.distinct(), "doc_id", "left_semi").select("doc_id", *of_set).join(named, of_set).groupBy("doc_id").agg(F.min("component_id").alias("node"))
+    out = known.select("doc_id", *of_set).join(named, of_set).select("doc_id", "n", "component_id")
+    out = out.unionByName(blank.join(nodes, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("n"), F.coalesce("node", "doc_id").alias("component_id")))
+    none = F.lit(None).cast(out.schema["component_id"].dataType)
+    out = out.unionByName(sketch.where("doc_id is null").select("doc_id", "n", none.alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-#: DuckDB for small tables; every pair that shares a shingle is counted.
+#: DuckDB for small tables; every pair of rows that shares a shingle is counted.
 ORACLE = """
-with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
-s as (select distinct doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') g from (select doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) i from w where len(w) > 0)),
-n as (select doc_id, count(*) n from s group by doc_id),
-p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
-e as (select a, b from l union all select b, a from l),
-r as (select doc_id x, doc_id y from n union select r.x, e.b from r join e on r.y = e.a)
-select w.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, coalesce(min(r.y), w.doc_id) component_id
-from w left join n using (doc_id) left join r on w.doc_id = r.x group by w.doc_id, n.n
+with recursive w as (select row_number() over () id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct id, doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') g from (select id, doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) i from w where len(w) > 0)),
+n as (select id, count(*) n from s group by id),
+p as (select a.id a, b.id b, any_value(a.doc_id) x, any_value(b.doc_id) y, count(*) c from s a join s b on a.g = b.g and a.id < b.id where a.doc_id is not null and b.doc_id is not null group by all),
+l as (select distinct x, y from p join n a on p.a = a.id join n b on p.b = b.id where x <> y and 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x a, y b from l union select y, x from l),
+r as (select distinct doc_id x, doc_id y from w where doc_id is not null union select r.x, e.b from r join e on r.y = e.a)
+select w.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) n_shingles, min(r.y) component_id
+from w left join n using (id) left join r on w.doc_id = r.x group by w.id, w.doc_id
 """

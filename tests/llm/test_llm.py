@@ -96,6 +96,35 @@ def test_jaccard_against_all_pairs(spark, most):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """A doc_id of several texts is one node: all that any of them links with is its component, as in the SQL."""
+    import duckdb
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(4, a), (5, a), (3, b), (5, b), (5, ""), (6, ""), (None, a), (None, ""), (9, c), (9, "other"), (9, c), (8, "other"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, (tuple(r) for r in jaccard.jaccard_components(df, 4, 85, 100).collect())))
+    assert got == sorted(map(str, [(4, 37, 3), (5, 37, 3), (3, 37, 3), (5, 37, 3), (5, 0, 3), (6, 0, 6), (None, 37, None), (None, 0, None), (9, 37, 8), (9, 1, 8), (9, 37, 8), (8, 1, 8), (7, 0, 7)]))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(map(str, con.execute(jaccard.ORACLE).fetchall())) == got
+
+
+def test_jaccard_cells_grow_with_the_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts that have 28 words in common and nothing else meet in few cells, however many there are."""
+    shared, rows = " ".join(f"common{i}" for i in range(28)), []
+    seen = []
+    plain = jaccard._cells
+    monkeypatch.setattr(jaccard, "_cells", lambda cell, sizes, most: seen.append(plain(cell, sizes, most).count()) or plain(cell, sizes, most))
+    for n in (1000, 4000):
+        texts = [f"{shared} {' '.join(f'w{i}x{k}' for k in range(30))}" for i in range(n)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " end"])], "doc_id long, text string")
+        rows = jaccard.jaccard_components(df, 4, 85, 100, most=64).where("component_id <> doc_id").collect()
+        assert [(r["doc_id"], r["component_id"]) for r in rows] == [(n, 0)]
+    assert seen[0] <= 10 and seen[2] <= 10
+
+
 def test_tree_meets_every_leaf_pair_that_may_link():
     rng = np.random.default_rng(6)
     points = rng.poisson(rng.choice([0.2, 1, 3], (900, 1)), (900, 64))
