@@ -1,11 +1,15 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree gets a density: its characters for each tag, raised or lowered by how much
-of them are links. The node whose blocks' densities have the largest sum holds the main text; at or in the
-only article (or main element) of a page the sum counts twice. What hangs beside the way from there to the
-body is added where its density reaches the smallest one on that way. Elements that say themselves that they are no article (by name, role, class or id) are taken
-out before densities are computed; a class, an id or a form only does so where it holds no article, no main
-element and, on a page with neither, not most of the text.
+of them are links. The node whose child blocks' densities have the largest sum holds the main text (an inline
+element's density tells of a phrase, and a paragraph with one could outweigh the article around it). What hangs
+beside the way from there to the body is added where its density reaches the smallest one on that way.
+
+What is no text by nature (scripts, styles, what is hidden) and the elements and roles that are named as no
+article (menus, headers, footers, asides, forms' fields, dialogs) are taken out of the tree. Everything else only
+weighs: a class or id that speaks of adverts, notices, sidebars or comments, or a form, lowers the density of its
+element, unless that holds an article, a main element or, on a page with neither, most of the text; at or
+in the only article (or main element) of a page a sum counts twice.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ _CLOSES = {
     "tr": (_words("tr"), _words("table")), "td": (_words("td th"), _words("tr table")), "th": (_words("td th"), _words("tr table")), "body": (_words("head"), frozenset()),
 }
 _SCOPE = _words("table td th caption button object html")
-#: Elements, roles and words of a class or id that mark what is no article.
+#: Elements and roles that are no article, and words of a class or id that lower a density.
 _AWAY = _words("head script style noscript template iframe object embed svg canvas audio video nav aside footer button select textarea datalist dialog menu title xmp noembed noframes")
 _ROLES = _words("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar")
 _MARKS = _words(
@@ -50,6 +54,8 @@ _MARKS = _words(
 )
 #: Weight of a sum of densities at or in the only article, or else the only main element, of a page.
 _EVIDENCE = 2.0
+#: Weight of the density of an element whose class or id speaks against it.
+_DOUBT = 1 / 16
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -82,7 +88,7 @@ class Page:
                     self._add(node, source[m.end() : at])
         if at < len(source):
             self._add(stack[-1], source[at:])
-        self._drop_marked()
+        self._weigh_marked()
 
     def _add(self, node: int, piece: str) -> None:
         if not self.gone[node]:
@@ -142,8 +148,8 @@ class Page:
         names = [{w.lower() for w in _PARTS.findall(x)} for x in f"{own.get('class', '')} {own.get('id', '')}".split()]
         return False, name == "form" or role == "form" or any(x and x <= _MARKS or not inside and x == {"header"} for x in names)
 
-    def _drop_marked(self) -> None:
-        """Takes marked elements out, but none that holds an article, a main element or, on a page without either, half of the text."""
+    def _weigh_marked(self) -> None:
+        """Takes the mark from elements that hold an article, a main element or, on a page without either, half of the text."""
         n = len(self.parent)
         if not any(self.marked):
             return
@@ -166,8 +172,7 @@ class Page:
             chars[self.parent[i]] += chars[i]
             holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
         for i in range(1, n):
-            self.gone[i] = self.gone[i] or self.gone[self.parent[i]] or self.marked[i] and not holds[i] and (some or 2 * chars[i] < chars[0])
-        self.text = [(node, piece) for node, piece in self.text if piece is None or not self.gone[node]]
+            self.marked[i] = self.marked[i] and not holds[i] and (some or 2 * chars[i] < chars[0])
 
     def _close(self, stack: list[int], name: str) -> None:
         if at := self._last((name,)):
@@ -188,7 +193,11 @@ class Page:
         return -1
 
     def densities(self, root: int) -> tuple[list[float], list[float]]:
-        """Composite density of every node below the root, and the sum of its child blocks' ones."""
+        """Composite density of every node below the root, and the sum of its child blocks' ones.
+
+        C / T * log_b(C / L * T / K), b = ln(C / (C - L) * L + share * C + e): C characters and T tags below the node, L and
+        K those of links, share that of linked characters below the root; a number that would be 0 counts as 1.
+        """
         n = len(self.parent)
         chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
         for node, piece in self.text:
@@ -204,12 +213,14 @@ class Page:
                 tags[up] += tags[i] + 1
                 links[up] += links[i]
         share = linked[root] / max(1, chars[root])
-        density, below = [0.0] * n, [0.0] * n
+        density, below, doubted = [0.0] * n, [0.0] * n, [False] * n
+        for i in range(1, n):
+            doubted[i] = self.marked[i] or doubted[self.parent[i]]
         for i in range(n - 1, 0, -1):
             if chars[i] and not self.gone[i]:
                 c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
-                base = 1 + math.log(c / max(1, c - linked[i]) * linked[i] + share * c + math.e)
-                density[i] = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
+                base = math.log(c / max(1, c - linked[i]) * lc + share * c + math.e)
+                density[i] = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base) * (_DOUBT if doubted[i] else 1.0)
                 if self.tag[i] in _BLOCK:
                     below[self.parent[i]] += density[i]
         return density, below
@@ -236,8 +247,9 @@ class Page:
         for i in range(root + 1, n):
             if inside[i] and not keep[i]:
                 up = self.parent[i]
-                # beside the way, density decides, but not over a part of a sentence; below a node that was decided, its decision holds
-                keep[i] = keep[up] and (up == best or up not in on or density[i] >= least or self.tag[i] in _HEADINGS or self.tag[i] not in _BLOCK and up in said)
+                # beside the way, and for what is in doubt, density decides, but not over a part of a sentence; below a node that was decided, its decision holds
+                sure = up == best or up not in on
+                keep[i] = keep[up] and (sure and not self.marked[i] or density[i] >= least or not self.marked[i] and (self.tag[i] in _HEADINGS or self.tag[i] not in _BLOCK and up in said))
         return keep
 
     def main_text(self) -> str:

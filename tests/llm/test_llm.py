@@ -400,6 +400,71 @@ def test_pages_search_from_the_body():
         assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(text)
 
 
+def plain_densities(page, root):
+    """densities() by plain recursion over every node."""
+    own, children = collections.defaultdict(int), collections.defaultdict(list)
+    for node, piece in page.text:
+        own[node] += len((piece or "").strip())
+    for i, up in enumerate(page.parent):
+        if up >= 0 and not page.gone[i]:
+            children[up].append(i)
+
+    def counts(i):
+        c, linked, t, k = own[i], 0, 0, 0
+        for x in children[i]:
+            a, b, d, e = counts(x)
+            c, linked, t, k = c + a, linked + b, t + d + 1, k + e
+        return (c, c, t, k + 1) if page.tag[i] == "a" and not page.gone[i] else (c, linked, t, k)
+
+    def doubt(i):
+        return i > 0 and (page.marked[i] or doubt(page.parent[i]))
+
+    whole = counts(root)
+    share, out = whole[1] / max(1, whole[0]), {}
+    for i in range(1, len(page.parent)):
+        c, linked, t, k = counts(i)
+        if c and not page.gone[i]:
+            some = lambda x: max(1, x)
+            base = math.log(c / some(c - linked) * some(linked) + share * c + math.e)
+            out[i] = c / some(t) * max(0.0, math.log(c / some(linked) * some(t) / some(k), base)) * (html_text._DOUBT if doubt(i) else 1)
+    return out
+
+
+def test_densities_are_those_of_every_node():
+    r = random.Random(12)
+    for _ in range(60):
+        source = "".join(r.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<b>", "</b>", '<div class="ad">', "<article>", "</article>", "<form>", "<nav>menu</nav>", "some words here ", "word ", "<br>", "<ul><li>"]) for _ in range(r.randrange(60)))
+        page = html_text.Page(source)
+        density, below = page.densities(page.root())
+        want = plain_densities(page, page.root())
+        assert density == pytest.approx([want.get(i, 0.0) for i in range(len(density))])
+        assert below == pytest.approx([sum(want.get(j, 0.0) for j, up in enumerate(page.parent) if up == i and page.tag[j] in html_text._BLOCK) for i in range(len(density))])
+
+
+def test_density_alone_finds_the_text():
+    """Pages without an article, a main element or a telling class: link lists, short lines and a teaser go, the paragraphs stay."""
+    text = [f"Paragraph {i} of a text that is long enough to be the page's own, in a sentence or two, with some more words at its end." for i in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(12)) + "</ul></div>"
+    short = "<div><a href=/in>Login</a><span>12</span><a href=/top>Top</a></div>"
+    for page in (f"{links}{short}<div>{body}</div>{links}{short}", f"<div><div>{links}</div><div><div>{body}</div>{short}</div></div>{short}", f"<table><tr><td>{links}</td><td>{body}</td></tr></table>"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(text)
+
+
+def test_class_words_only_weigh():
+    """A class that speaks of adverts takes a short block out, a dense one that holds most of the text stays."""
+    text = [f"Paragraph {i} of a text that is long enough to be the page's own, in a sentence or two, with some more words at its end." for i in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    ad = '<div class="ad">Buy now, it is cheap and it is good</div>'
+    assert html_text.main_text(f"<body><div>{ad}{body}{ad}</div>{ad}</body>") == "\n".join(text)
+    assert html_text.main_text(f'<body><div class="promo">{body}</div>{ad}</body>') == "\n".join(text)
+    assert html_text.main_text(f'<body><article>{body}<div class="comments"><p>{text[0]}</p></div></article></body>') == "\n".join(text)
+
+
+def test_no_pages(spark):
+    assert html_text.page_texts(spark.createDataFrame([], "page_id long, url string, html string, n_chars int")).collect() == []
+
+
 def test_pages_and_urls_awkward(spark):
     rows = [(1, None, None, 1), (2, "", "", 1), (3, "no scheme", "<p>a", 1), (None, "http://A.net/x?y", "<p>b", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (5, "http://a.example.net/en/1#z", "<p>c", 1), (6, "http://x.org/fr/é\n2", "<p>d", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
