@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from sparkreel.plans import charts, filework, layouts, mediawork, output, picture, pixels, sequence, sheetwork, written  # noqa: F401  (they register their queries)
+from sparkreel.plans import charts, claimwork, filework, layouts, mediawork, output, picture, pixels, sequence, sheetwork, written  # noqa: F401  (they register their queries)
 from sparkreel.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
