@@ -27,7 +27,7 @@ from sparkreel.llm.common import mix, slices, stored, utf8_buffers, word_hashes
 #: The hash of the token that ends a text and is the context of its first word.
 END = np.uint64(0x5D1E7A9C3B804F26)
 #: Tokens of a block, hashes of a shard (rough), bytes hashed at once, bits of the hash of a token, a bigram, a trigram.
-BLOCK, SHARD, SLICE, BITS = 1 << 21, 2_000_000, 1 << 20, (64, 56, 52)
+BLOCK, SHARD, SLICE, BITS = 1 << 20, 2_000_000, 1 << 20, (64, 56, 52)
 #: Tokens whose probabilities are worked out at once.
 PART = 1 << 18
 #: Steps of an octave in which held-out events are told apart, context-frequency buckets, rounds of expectation-maximisation.
