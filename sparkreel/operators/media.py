@@ -1,4 +1,4 @@
-"""Sampling times, sound blocks, codec and colour facts, sizes and dates as columns."""
+"""Sampling times, sound blocks, colour matrices, sizes and dates as columns."""
 
 from __future__ import annotations
 
@@ -36,17 +36,6 @@ def placed_blocks(blocks: DataFrame, asks: DataFrame, grp: str) -> DataFrame:
     return met.withColumn("n", F.least(F.col("_to") - F.col("from"), F.col("_all") - F.col("at"))).where("n > 0").select(grp, "ask", "block", "at", "from", "n")
 
 
-def codec_depth(codec: Column) -> Column:
-    """Bits of a sample by a codec's name: null if the name does not tell."""
-    group = lambda p: F.try_to_number(F.nullif(F.regexp_extract(codec, p, 1), F.lit("")), F.lit("999")).cast("long")
-    deep = F.upper(F.substring(codec, 6, 2)).isin("6E", "7A", "F4")  # the profiles 110, 122 and 244
-    hevc = F.when(group(r"^(?:hev1|hvc1)\.[A-C]?(\d{1,3})") == 2, 10).otherwise(8)
-    return F.coalesce(
-        group(r"^vp09\.\d\d\.\d\d\.(\d\d)"), group(r"^av01\.\d\.\d\d[MH]\.(\d\d)"),
-        F.when(codec.rlike(r"^(hev1|hvc1)\.[A-C]?\d"), hevc).when(codec.rlike(r"^(avc1|avc3)\."), F.when(deep, 10).otherwise(8)).cast("long"),
-    )
-
-
 def colour_matrix(name: Column, height: Column) -> Column:
     """The matrix by its tag; without a tag by the picture's height, null if that is 0 too or the tag is another."""
     by_height = F.when(height > 576, "bt709").when(height > 0, "bt601")
@@ -99,48 +88,6 @@ def pages_in_flight(pages: DataFrame, grp: str, pixels: str, bytes_a_pixel: floa
     return pages.groupBy(grp).agg(peak.alias("peak")).withColumn("pages", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("peak"))))
 
 
-#: Fixed: names of pixel formats begin with one of these; colour tags with one of those.
-PIXELS, COLOURS = r"^(yuva?|yuvj|gbra?p|gray|ya|rgba?|bgra?|nv\d|p0|p2|xyz)", r"^(bt|smpte|fcc)"
-
-
-def pixel_format(log: Column) -> Column:
-    """struct(format, depth, full, known, matrix) of the first pixel format in a log's first video stream; null without one.
-
-    Depth is the two digits before le or be, 16 at most, else 8; full is the full range, known whether a range is said.
-    """
-    line = F.regexp_extract(log, r"Stream #[^\n]*?Video: ([^\n]*)", 1)
-    found = lambda i: F.regexp_extract_all(line, F.lit(r"(?:^|, )([a-z][a-z0-9_]*)(?:\(([^)]*)\))?(?=,|$)"), F.lit(i))
-    one = F.get(F.filter(F.arrays_zip(found(1).alias("f"), found(2).alias("t")), lambda m: m["f"].rlike(PIXELS)), F.lit(0))
-    name, tags = one["f"], F.split(one["t"], r",\s*")
-    tag = F.substring_index(F.get(F.filter(tags, lambda t: t.rlike(COLOURS)), F.lit(0)), "/", 1)
-    bits = F.try_to_number(F.nullif(F.regexp_extract(name, r"(\d{2})(?:le|be)$", 1), F.lit("")), F.lit("99")).cast("long")
-    full = F.array_contains(tags, "pc") | name.startswith("yuvj")
-    matrix = F.when(tag == "bt709", "bt709").when(tag.isin("bt470bg", "smpte170m"), "bt601").when(tag.startswith("bt2020"), "bt2020")
-    told = F.struct(name.alias("format"), F.least(F.lit(16), F.coalesce(bits, F.lit(8))).cast("long").alias("depth"), full.alias("full"), (full | F.array_contains(tags, "tv")).alias("known"), matrix.alias("matrix"))
-    return F.when(name.isNotNull(), told)
-
-
-def planar_format(name: Column) -> Column:
-    """struct(format, sx, sy) of 10 and 12 bit planes in three sheets, with the steps of their colour planes; null for others."""
-    part = lambda i: F.regexp_extract(name, r"^yuva?(420|422|444)p(10|12)le$", i)
-    steps = lambda wide: F.when(part(1).isin(*wide), 2).otherwise(1).cast("long")
-    return F.when(part(1) != "", F.struct(F.concat(F.lit("I"), part(1), F.lit("P"), part(2)).alias("format"), steps(("420", "422")).alias("sx"), steps(("420",)).alias("sy")))
-
-
-def display_rotation(log: Column) -> Column:
-    """Clockwise quarter turns in degrees, from a display matrix that counts the other way; 0 without one."""
-    turn = F.regexp_extract(log, r"(?i)display ?matrix: rotation of (-?[\d.]+) degrees", 1).try_cast("double")
-    return F.coalesce(F.pmod(js_round(-turn / 90) * 90, F.lit(360)), F.lit(0)).cast("long")
-
-
-def probed(log: Column) -> Column:
-    """struct(duration, width, height, fps, rotation, pix) that a decoder's log tells; what it does not tell is 0, pix null."""
-    number = lambda p, i=1: F.coalesce(F.regexp_extract(log, p, i).try_cast("double"), F.lit(0.0))
-    clock, size = r"Duration:\s*(\d+):(\d+):(\d+\.?\d*)", r",\s*(\d{2,5})x(\d{2,5})[\s,]"
-    seconds = number(clock) * 3600 + number(clock, 2) * 60 + number(clock, 3)
-    return F.struct(seconds.alias("duration"), number(size).cast("long").alias("width"), number(size, 2).cast("long").alias("height"), number(r"(\d+(?:\.\d+)?)\s*fps").alias("fps"), display_rotation(log).alias("rotation"), pixel_format(log).alias("pix"))
-
-
 def range_problem(start: Column, end: Column, duration: Column) -> Column:
     """Null for a range of finite ends in order, else what is wrong with it; a length that is null or 0 is not told."""
     finite = lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))

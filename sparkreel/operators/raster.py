@@ -16,9 +16,9 @@ def pixels(df: DataFrame, img: str, values: str, width: int) -> DataFrame:
 
 
 def stretched(px: DataFrame, img: str = "img", gray: str = "gray") -> DataFrame:
-    """Grays min-max scaled to 0..255 for each image; a flat image stays as it is. The range travels, not the pixels."""
+    """Grays min-max scaled to whole 0..255 for each image, half up; a flat image stays as it is. The range travels, not the pixels."""
     span = px.groupBy(img).agg(F.min(gray).alias("_low"), F.max(gray).alias("_high"))
-    scaled = F.floor((F.col(gray) - F.col("_low")) * 255 / (F.col("_high") - F.col("_low")))
+    scaled = F.floor((F.col(gray) - F.col("_low")) * 255 / (F.col("_high") - F.col("_low")) + 0.5)
     return px.join(span, img).withColumn(gray, F.when(F.col("_high") > F.col("_low"), scaled).otherwise(F.col(gray)).cast("long")).drop("_low", "_high")
 
 

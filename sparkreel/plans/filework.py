@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkreel.operators import fill, identity, media, raster, sinks, state
+from sparkreel.operators import fill, identity, logs, media, raster, sinks, state
 from sparkreel.plans.base import GRAY8, SLOTS, gray8, query, slots
 from sparkreel.session import table
 
@@ -23,8 +23,8 @@ def probe_logs(spark, d):
     n, s = F.col("p_partkey"), F.col("p_size")
     pick = lambda xs: F.get(F.array(*map(L, xs)), (n % len(xs)).cast("int"))
     log = F.format_string("Input #0\n  Duration: %02d:%02d:07.25, start: 0.0\n  Stream #0:0: Video: hevc (Main 10), %s%s, %dx%d, %d.5 fps, 24 tbr\n  %s", n % 10, s.cast("long"), pick(_FORMATS), pick(_TAGS), (s * 16 + 100).cast("long"), (s * 9 + 50).cast("long"), (20 + s % 10).cast("long"), pick(_TURNS))
-    rows = table(spark, d, "part").select("p_partkey", media.probed(log).alias("i"))
-    planes = media.planar_format(F.col("i.pix.format"))
+    rows = table(spark, d, "part").select("p_partkey", logs.probed(log).alias("i"))
+    planes = logs.planar_format(F.col("i.pix.format"))
     return rows.select("p_partkey", "i.duration", "i.width", "i.height", "i.fps", "i.rotation", "i.pix.*", planes["format"].alias("planes"), planes["sx"].alias("sx"))
 
 

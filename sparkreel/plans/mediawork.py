@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkreel.operators import media, timeline
+from sparkreel.operators import logs, media, timeline
 from sparkreel.plans.base import KEEP, query, slots
 from sparkreel.session import table
 
@@ -50,7 +50,7 @@ def media_columns(spark, d):
     s, n = F.col("p_size"), F.col("p_partkey")
     codec = F.get(F.array(*map(L, _CODECS)), (n % len(_CODECS)).cast("int"))
     matrix = media.colour_matrix(F.get(F.array(L("bt709"), L("smpte170m"), L("bt2020-ncl"), L("rgb"), L(None)), s % 5), F.get(F.array(*map(L, (0, 480, 576, 1080))), (n % 4).cast("int")))
-    return table(spark, d, "part").select("p_partkey", media.codec_depth(codec).alias("depth"), matrix.alias("matrix"), media.encode_size(s, s).alias("e")).select("p_partkey", "depth", "matrix", "e.w", "e.h")
+    return table(spark, d, "part").select("p_partkey", logs.codec_depth(codec).alias("depth"), matrix.alias("matrix"), media.encode_size(s, s).alias("e")).select("p_partkey", "depth", "matrix", "e.w", "e.h")
 
 
 @query("select event_id, cast(hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 as bigint) as time, cast((greatest(1980, year(ts)) - 1980) * 512 + month(ts) * 32 + day(ts) as bigint) as date, case when event_id * 70001 > 1000000000 then printf('%.1f GB', event_id * 70001 / 1e9) when event_id * 70001 > 1000000 then printf('%.1f MB', event_id * 70001 / 1e6) else cast(cast(floor(event_id * 70001 / 1000.0::double + 0.5) as bigint) as varchar) || ' KB' end as size from events")
@@ -68,3 +68,21 @@ def upscale_factors(spark, d):
 @query("with p as (select p_brand, max(p_size * 100000) * 12.0::double peak from part group by p_brand) select p_brand, peak, greatest(1, cast(floor(100000000 / peak) as bigint)) pages from p")
 def pages_in_flight(spark, d):
     return media.pages_in_flight(table(spark, d, "part").select("p_brand", (F.col("p_size") * 100_000).alias("px")), "p_brand", "px", 12.0, 100_000_000)
+
+
+@query("""with p as (select p_partkey, ['hvc1.2.4.L153', 'hev1.1.6.L93', 'avc1.6E0032', 'avc1.640028', 'avc3.7A0033'][p_partkey % 5 + 1] codec, p_size % 8 d, p_size % 3 n, p_size % 2 cut from part)
+select p_partkey, cast(case when codec like 'h%' then case when cut = 0 then d + 8 when codec like 'hvc1.2%' then 10 else 8 end when codec = 'avc1.640028' then 8 when cut = 0 then d + 8 else 10 end as bigint) depth from p""")
+def codec_boxes(spark, d):
+    """Depths by configuration boxes, whole and cut short: HEVC at its byte 17, high AVC behind its parameter sets."""
+    from sparkreel.operators.placing import big
+
+    n, s = F.col("p_partkey"), F.col("p_size")
+    codec = F.get(F.array(*map(L, ("hvc1.2.4.L153", "hev1.1.6.L93", "avc1.6E0032", "avc1.640028", "avc3.7A0033"))), (n % 5).cast("int"))
+    depth, sets = big(240 + s % 8, 1), s % 3
+    one = F.concat(big(3, 2), L(b"\x01\x02\x03"))
+    many = F.when(sets == 0, L(b"")).when(sets == 1, one).otherwise(F.concat(one, one))
+    hevc = F.concat(L(bytes(17)), depth, L(bytes(5)))
+    avc = F.concat(L(bytes(5)), big(224 + sets, 1), many, big(1, 1), one, L(b"\xfd"), depth, L(b"\xf8\x00"))
+    box = F.when(codec.startswith("h"), hevc).otherwise(avc)
+    box = F.when(s % 2 == 1, F.substring(box, 1, 6)).otherwise(box)
+    return table(spark, d, "part").select("p_partkey", logs.codec_depth(codec, box).alias("depth"))

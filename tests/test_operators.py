@@ -9,8 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkreel.functions import kernels
-from sparkreel.operators import curves, fill, labels, layout, media, planning, points, robust, sheets, state, timeline, tone
-from sparkreel.sources import archive, png
+from sparkreel.operators import curves, fill, labels, layout, logs, media, planning, points, robust, sheets, state, timeline, tone
+from sparkreel.sources import png
 
 
 def test_hold_and_keep(spark):
@@ -95,17 +95,11 @@ def test_bicubic_warp():
     assert (half[:, 8:] == 0).all() and (half[:, 7] == px[:, 6]).all()  # 7.5 is the last place seen
 
 
-def test_png_files_and_archives(spark, tmp_path):
+def test_png_files(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png.encoded(np.zeros((3, 5), np.uint8)))
     (tmp_path / "b.png").write_bytes(b"no image at all, but long enough")
     got = {r["path"].rsplit("/", 1)[1]: r["header"] for r in png.images(spark, str(tmp_path)).select("path", "header").collect()}
     assert tuple(got["a.png"]) == (5, 3, 8, 0) and got["b.png"] is None
-    files = spark.createDataFrame([("p", "x.txt", b"one"), ("p", "y.txt", b"")], "grp string, name string, content binary")
-    (tmp_path / "z.zip").write_bytes(archive.archives(files, "grp", "name", "content").first()["archive"])
-    (tmp_path / "bad.zip").write_bytes(b"PK not really")
-    rows = archive.entries(spark, str(tmp_path)).collect()
-    assert {r["entry"]: bytes(r["content"]) for r in rows if r["entry"]} == {"x.txt": b"one", "y.txt": b""}
-    assert [r["error"] is not None for r in rows if not r["entry"]] == [True]
 
 
 def test_layout_documents_of_the_first_version(spark):
@@ -212,10 +206,15 @@ def test_planning_at_its_edges(spark):
 
 
 def test_logs_ranges_and_stores_at_their_edges(spark):
-    told = column(spark, media.probed(F.lit("nothing")))
+    told = column(spark, logs.probed(F.lit("nothing")))
     assert told.asDict() == {"duration": 0.0, "width": 0, "height": 0, "fps": 0.0, "rotation": 0, "pix": None}
-    assert column(spark, media.probed(F.lit("Stream #0:1: Audio: aac, 48000 Hz\nStream #0:0: Video: png, rgba(pc), 64x48, 25 fps")))["pix"].asDict() == {"format": "rgba", "depth": 8, "full": True, "known": True, "matrix": None}
-    assert column(spark, media.planar_format(F.lit("yuv422p10be"))) is None and column(spark, media.planar_format(F.lit("yuva422p10le"))).asDict() == {"format": "I422P10", "sx": 2, "sy": 1}
+    assert column(spark, logs.probed(F.lit("Stream #0:1: Audio: aac, 48000 Hz\nStream #0:0: Video: png, rgba(pc), 64x48, 25 fps")))["pix"].asDict() == {"format": "rgba", "depth": 8, "full": True, "known": True, "matrix": None}
+    assert column(spark, logs.planar_format(F.lit("yuv422p10be"))) is None and column(spark, logs.planar_format(F.lit("yuva422p10le"))).asDict() == {"format": "I422P10", "sx": 2, "sy": 1}
+    line = "Stream #0:0[0x1](und): Video: hevc (Main 10) (hvc1 / 0x31637668), yuv420p10le(tv, bt2020nc/bt2020/smpte2084, progressive), 3840x2160 [SAR 1:1 DAR 16:9], 71000 kb/s, 23.98 fps, 24k tbr (default)"
+    told = column(spark, logs.probed(F.lit(f"  Duration: 01:02:03.50, start: 0.0\n  {line}\n   Display Matrix: rotation of -90.00 degrees")))
+    assert told.asDict(True) == {"duration": 3723.5, "width": 3840, "height": 2160, "fps": 23.98, "rotation": 90, "pix": {"format": "yuv420p10le", "depth": 10, "full": False, "known": True, "matrix": "bt2020"}}
+    assert column(spark, logs.probed(F.lit("Duration: N/A, x\nStream #0:0: Video: h264, 64x48, 25 fps"))).asDict() == {"duration": 0.0, "width": 64, "height": 48, "fps": 25.0, "rotation": 0, "pix": None}
+    assert [column(spark, logs.codec_depth(F.lit(c))) for c in ("vp09.00", "hvc1.C2.4", "hev1.x", "avc1", "av01.0.04M.10.0.110", "")] == [None, 10, None, 8, 10, None]
     nan, inf, one = F.lit(float("nan")), F.lit(float("inf")), F.lit(1.0)
     assert all(column(spark, media.range_problem(a, b, F.lit(0.0))) for a, b in ((nan, one), (one, inf), (one, one), (F.lit(None).cast("double"), one)))
     assert column(spark, media.range_problem(F.lit(0.0), one, F.lit(None).cast("double"))) is None
