@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkreel.functions import kernels
-from sparkreel.operators import curves, fill, labels, layout, logs, media, planning, points, robust, sheets, state, timeline, tone
+from sparkreel.functions import samples
+from sparkreel.operators import curves, equalise, fill, homography, labels, layout, logs, media, planning, points, resample, robust, sheets, state, timeline, tone
 from sparkreel.sources import png
 
 
@@ -74,27 +74,116 @@ def drawn_map(seed: int) -> np.ndarray:
     return out
 
 
-@pytest.mark.parametrize("seed, count, wrong", [(1, 12, 2), (2, 30, 9), (3, 50, 38), (4, 200, 60)])
-def test_homography_of_points_some_of_them_wrong(seed, count, wrong):
-    h, r = drawn_map(seed), np.random.default_rng(seed + 100)
-    src = r.uniform(0, 900, (count, 2))
-    dst, off = kernels.applied(h, src), r.permutation(count)[:wrong]
-    dst[off] = r.uniform(dst.min(0), dst.max(0) + 1, (wrong, 2)) + 40
-    on = np.setdiff1d(np.arange(count), off)
-    found, inside = kernels.robust_homography(src, dst)
-    assert inside[on].all() and np.abs(kernels.applied(found, src[on]) - dst[on]).max() < 3
-    assert kernels.robust_homography(src[:3], dst[:3]) is None
+def applied(h, p):
+    q = np.concatenate([p, np.ones((len(p), 1))], 1) @ np.asarray(h, float).reshape(3, 3).T
+    return q[:, :2] / q[:, 2:]
+
+
+def test_homographies_of_points_some_of_them_wrong(spark):
+    cases, rows, want = [(1, 12, 2), (2, 30, 9), (3, 50, 38), (4, 200, 60), (5, 4, 0), (6, 3, 0)], [], {}
+    for seed, count, wrong in cases:
+        h, r = drawn_map(seed), np.random.default_rng(seed + 100)
+        src = r.uniform(0, 900, (count, 2))
+        dst, off = applied(h, src), r.permutation(count)[:wrong]
+        if wrong:
+            dst[off] = r.uniform(dst.min(0), dst.max(0) + 1, (wrong, 2)) + 40
+        want[seed] = src, dst, np.setdiff1d(np.arange(count), off)
+        rows += [(seed, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(src, dst, strict=True))]
+    got = {r["sheet"]: r for r in homography.robust(spark.createDataFrame(rows, "sheet long, id long, x double, y double, u double, v double"), "sheet", "id").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for seed, (src, dst, on) in want.items():
+        if seed in got:
+            assert got[seed]["inliers"] >= len(on) and got[seed]["n"] == len(src) and np.abs(applied(got[seed]["h"], src[on]) - dst[on]).max() < 3
+
+
+def test_samples_are_drawn_by_rule():
+    numbers, state = samples.drawn(samples.SEED), samples.SEED
+    for _ in range(20):
+        state ^= state >> 12
+        state ^= state << 25 & (1 << 64) - 1
+        state &= (1 << 64) - 1
+        state ^= state >> 27
+        assert next(numbers) == state * 0x2545F4914F6CDD1D % (1 << 64)
+    four = samples.fours(5, 300)
+    assert all(len(set(f)) == 4 and max(f) < 5 for f in four.tolist()) and (four == samples.fours(5, 300)).all()
+
+
+def pixel_rows(spark, *pictures):
+    rows = [(i, x, y, int(p[y, x])) for i, p in enumerate(pictures) for y in range(p.shape[0]) for x in range(p.shape[1])]
+    return spark.createDataFrame(rows, "img long, x long, y long, gray long")
+
+
+def picture(df, w, h, img=0):
+    out = np.full((h, w), -1)
+    for r in df.where(F.col("img") == img).collect():
+        out[r["y"], r["x"]] = r["gray"]
+    return out
 
 
-def test_bicubic_warp():
-    px = np.random.default_rng(1).integers(0, 256, (6, 7)).astype(np.uint8)
-    assert (kernels.warped_bicubic(px, np.eye(3), 7, 6) == px).all()
-    half = kernels.warped_bicubic(px, np.array([[1, 0, 0.5], [0, 1, 0], [0, 0, 1.0]]), 10, 6)
+def test_pictures_through_maps(spark):
+    px = np.random.default_rng(1).integers(0, 256, (6, 7))
+    df = pixel_rows(spark, px)
+    one = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
+    assert (picture(resample.warped(df, 7, 6, one, 7, 6), 7, 6) == px).all() and (picture(resample.warped(df, 7, 6, one, 7, 6, cubic=False), 7, 6) == px).all()
+    half = picture(resample.warped(df, 7, 6, [1.0, 0, 0.5, 0, 1.0, 0, 0, 0, 1.0], 10, 6), 10, 6)
     row = np.pad(px[2].astype(float), 2, mode="edge")
     assert half[2, 3] == np.floor(np.clip(row[4:8] @ [-0.0625, 0.5625, 0.5625, -0.0625], 0, 255) + 0.5)
     assert (half[:, 8:] == 0).all() and (half[:, 7] == px[:, 6]).all()  # 7.5 is the last place seen
 
 
+def plain_resized(px, w, h, kind):
+    def weights(n, to):
+        out = np.zeros((to, n))
+        for o in range(to):
+            for i in range(n):
+                if kind == "area":
+                    out[o, i] = max(0.0, min(i + 1, (o + 1) * n / to) - max(i, o * n / to))
+                else:
+                    x = abs((i + 0.5 - (o + 0.5) * n / to) / max(1.0, n / to))
+                    out[o, i] = max(0.0, 1 - x) if kind == "triangle" else np.sinc(x) * np.sinc(x / 3) if x < 3 else 0.0
+        return out / out.sum(1, keepdims=True)
+
+    return np.clip(np.floor(np.round(weights(px.shape[0], h) @ px @ weights(px.shape[1], w).T, 9) + 0.5), 0, 255)
+
+
+@pytest.mark.parametrize("kind", ["area", "triangle", "lanczos"])
+def test_pictures_at_other_sizes(spark, kind):
+    one, two = np.random.default_rng(2).integers(0, 256, (2, 9, 11))
+    df = pixel_rows(spark, one, two)
+    for w, h in ((5, 4), (23, 17), (11, 9)):
+        got = resample.resized(df, 11, 9, w, h, kind)
+        assert (picture(got, w, h) == plain_resized(one, w, h, kind)).all() and (picture(got, w, h, 1) == plain_resized(two, w, h, kind)).all()
+
+
+def test_local_equalisation_and_flat_fields(spark):
+    rng = np.random.default_rng(3)
+    px = (rng.integers(0, 60, (12, 17)) + np.arange(17) * 9).astype(int)
+    tiles, limit, (h, w) = 4, 3.0, px.shape
+    tw, th = -(-w // tiles), -(-h // tiles)
+    tables = np.zeros((tiles, tiles, 256))
+    for ty in range(tiles):
+        for tx in range(tiles):
+            part = px[ty * th : (ty + 1) * th, tx * tw : (tx + 1) * tw].ravel()
+            counts, most = np.bincount(part, minlength=256), int(max(1.0, limit * max(1, part.size) / 256))
+            over = np.clip(counts - most, 0, None).sum()
+            tables[ty, tx] = np.clip(np.floor(np.cumsum(np.minimum(counts, most) + over // 256) / max(1, part.size) * 255 + 0.5), 0, 255)
+    want = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            fy, fx = (y - th / 2) / th, (x - tw / 2) / tw
+            y0, x0 = max(0, int(np.floor(fy))), max(0, int(np.floor(fx)))
+            ay, ax = (0.0 if f < 0 else f - np.floor(f) for f in (fy, fx))
+            y1, x1 = min(y0 + 1, tiles - 1), min(x0 + 1, tiles - 1)
+            v = px[y, x]
+            want[y, x] = (tables[y0, x0, v] * (1 - ax) + tables[y0, x1, v] * ax) * (1 - ay) + (tables[y1, x0, v] * (1 - ax) + tables[y1, x1, v] * ax) * ay
+    df = pixel_rows(spark, px)
+    assert (picture(equalise.equalised(df, w, h, tiles, limit), w, h) == np.floor(np.round(want, 9) + 0.5)).all()
+    assert (picture(equalise.equalised(df, w, h, 20), w, h) == px).all()
+    flat = picture(equalise.flat_field(df, w, h, 2), w, h)
+    assert flat.min() == 0 and flat.max() == 255
+    assert (picture(equalise.flat_field(pixel_rows(spark, np.full((6, 6), 90)), 6, 6), 6, 6) == 128).all()
+
+
 def test_png_files(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png.encoded(np.zeros((3, 5), np.uint8)))
     (tmp_path / "b.png").write_bytes(b"no image at all, but long enough")
