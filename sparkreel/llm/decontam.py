@@ -4,7 +4,9 @@ A document and a benchmark item that share `window` words share a fingerprint: o
 `window - gram + 1` consecutive hashes of `gram` words the smallest is kept, the leftmost of equal
 ones, and that choice depends on nothing outside the shared words. Fingerprints are joined, and each
 meeting (document, item, offset between them) is extended along that offset word by word, so every
-reported window is an exact match.
+reported window is an exact match. A window that both share holds a fingerprint of its own, so a meeting
+needs no more of either text than the words that a window around its place can have: a shared passage
+of any length is put together from the windows of its own meetings.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from sparkreel.llm.common import lower_ascii, stored
 #: Fixed by the contract: a word, once A-Z is lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM, WINDOW = 8, 13
+#: Words on either side of a fingerprint's place that a window with it can reach.
+REACH = WINDOW - 1
 #: Fingerprints of the benchmark up to this number go into the plan as a set of literals; more are joined by shuffle.
 INLINE = 20_000
 
@@ -55,6 +59,11 @@ def _place(x: Column) -> Column:
     return x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def _around(words: str, at: Column) -> Column:
+    """The words within REACH of a place."""
+    return F.slice(words, F.greatest(F.lit(1), at + 1 - REACH), REACH + 1 + F.least(at, F.lit(REACH)))
+
+
 def _short_grams(words: str, n: int) -> Column:
     """Every n consecutive words as (hash, position), for items of fewer words than a window."""
     return F.when(
@@ -64,11 +73,13 @@ def _short_grams(words: str, n: int) -> Column:
 
 
 def benchmark_prints(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, item_words, unit, print, place) of every fingerprint of every item; unit is the window's length."""
+    """(item_id, unit, print, place, item_n, item_near) of every fingerprint of every item: unit is the window's length, item_near the words within REACH of the place."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("item_words")).where("size(item_words) > 0 and item_id is not null")
     items = with_fingerprints(items, "item_words", "_long").withColumn("unit", F.least(F.size("item_words"), F.lit(WINDOW)))
     short = F.array(F.shiftleft(F.xxhash64(F.col("unit"), F.array_join("item_words", " ")), 32))
-    return items.select("item_id", "item_words", "unit", F.explode(F.when(F.size("item_words") >= WINDOW, F.col("_long")).otherwise(short)).alias("_x")).select("item_id", "item_words", "unit", _print(F.col("_x")).alias("print"), _place(F.col("_x")).alias("place"))
+    items = items.select("item_id", "item_words", "unit", F.explode(F.when(F.size("item_words") >= WINDOW, F.col("_long")).otherwise(short)).alias("_x"))
+    items = items.select("item_id", "item_words", "unit", _print(F.col("_x")).alias("print"), _place(F.col("_x")).alias("place"))
+    return items.select("item_id", "unit", "print", "place", F.size("item_words").alias("item_n"), _around("item_words", F.col("place")).alias("item_near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", inline: int = INLINE) -> DataFrame:
@@ -109,19 +120,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         some = all_prints.join(known, ["unit", "print"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("unit", "print", "at")).alias("meets"))
         rows = rows.join(some, "_row", "left").withColumn("words", words_of(F.col("text")))
         rows = rows.withColumn("meets", F.coalesce("meets", F.array().cast("array<struct<unit:int,print:int,at:int>>")))
-    near = lambda m: F.struct(m["unit"].alias("unit"), m["print"].alias("print"), m["at"].alias("at"), F.slice("words", F.greatest(F.lit(1), m["at"] + 1 - longest), F.lit(2 * longest)).alias("near"))
+    near = lambda m: F.struct(m["unit"].alias("unit"), m["print"].alias("print"), m["at"].alias("at"), _around("words", m["at"]).alias("near"))
     count = F.struct(F.lit(None).cast("int").alias("unit"), F.lit(None).cast("int").alias("print"), F.size("words").alias("at"), F.array().cast("array<string>").alias("near"))
     met = rows.select("_row", "doc_id", "text_hash", F.explode(F.concat(F.array(count), F.transform("meets", near))).alias("m")).select("_row", "doc_id", "text_hash", "m.*")
     met = met.join(prints, ["unit", "print"], "left").where("unit is null or item_id is not null")
-    # along one offset: word j of the item lies at word at - place + j of the document, at - place - base + j of `near`
-    met = met.withColumn("off", F.col("at") - F.col("place")).withColumn("base", F.greatest(F.lit(0), F.col("at") - longest))
+    # along one offset: word j of the item lies at word at - place + j of the document
+    first = lambda at: F.greatest(F.lit(0), F.col(at) - REACH)
+    met = met.withColumn("off", F.col("at") - F.col("place")).withColumn("base", first("at")).withColumn("item_base", first("place"))
     begins = F.filter(
-        F.sequence(F.lit(0), F.size("item_words") - F.col("unit")),
-        lambda j: (F.col("off") + j >= F.col("base")) & (F.slice("near", F.greatest(F.lit(1), F.col("off") + j - F.col("base") + 1), F.col("unit")) == F.slice("item_words", j + 1, F.col("unit"))),
+        F.sequence("item_base", F.least(F.col("place"), F.col("item_n") - F.col("unit"))),
+        lambda j: (F.col("off") + j >= F.col("base")) & (F.slice("near", F.greatest(F.lit(1), F.col("off") + j - F.col("base") + 1), F.col("unit")) == F.slice("item_near", j - F.col("item_base") + 1, F.col("unit"))),
     )
     spans = F.transform(begins, lambda j: F.struct((F.col("off") + j).alias("b"), (F.col("off") + j + F.col("unit")).alias("e")))
     found = met.withColumn("spans", F.when(F.col("unit").isNotNull(), spans)).where("unit is null or size(spans) > 0")
-    # a meeting repeats for each fingerprint of one offset, with the same spans: one row is enough
+    # meetings close to one another find the same windows
     found = found.select("_row", "doc_id", "text_hash", F.col("item_id").alias("item"), F.when(F.col("unit").isNull(), F.col("at")).alias("n_words"), "spans").distinct()
     joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
     by_row = found.groupBy("_row", "doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), joined.alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))

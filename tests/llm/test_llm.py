@@ -70,6 +70,38 @@ def test_decontamination_judges_repeated_ids_by_row(spark):
         assert got == [("1", 23, 2), ("1", 23, 2), ("1", 23, 2), ("None", 10, 1), ("None", 40, 1)]
 
 
+def plain_hits(text, items):
+    """(words, hit words, items) by looking at every window of every item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    own, hit, found = words(text), set(), set()
+    for i, t in items:
+        w = words(t)
+        u = min(13, len(w))
+        windows = {tuple(w[j : j + u]) for j in range(len(w) - u + 1)} if w else set()
+        for j in range(len(own) - u + 1) if w else ():
+            if tuple(own[j : j + u]) in windows:
+                hit.update(range(j, j + u))
+                found.add(i)
+    return len(own), len(hit), len(found)
+
+
+@pytest.mark.parametrize("inline", [decontam.INLINE, 0])
+def test_decontamination_against_every_window(spark, inline):
+    """Long and short items, passages cut at both ends and repeated, one item of 50,000 words."""
+    r = random.Random(21)
+    some = lambda n, k=60: [f"w{r.randrange(k)}" for _ in range(n)]
+    huge = [f"h{i}" for i in range(50_000)]
+    items = [(f"i{k}", " ".join(some(r.choice([3, 7, 12, 13, 14, 30, 90])))) for k in range(12)] + [("huge", " ".join(huge)), ("same", "a " * 40), ("none", "!!"), ("null", None)]
+    texts = [" ".join(huge[100:113]), " ".join(huge[100:112]), " ".join([*huge[:5000], *some(40), *huge[-13:]]), "a " * 29, ""]
+    for _ in range(30):
+        w = items[r.randrange(12)][1].split()
+        a = r.randrange(len(w))
+        texts.append(" ".join([*some(r.randrange(30)), *w[a : a + r.randrange(60)], *some(r.randrange(20)), *w[: r.randrange(40)]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"]) for x in decontam.report(decontam.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), inline=inline)).collect()}
+    assert got == {i: plain_hits(t, items) for i, t in enumerate(texts)}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
