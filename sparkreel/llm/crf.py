@@ -143,6 +143,26 @@ class Field:
             after[i] = b / b.sum()
         return before, after
 
+    def carried(self, scores: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """(sequence, label): what the messages that enter each sequence become for the first position behind it."""
+        p, t, _ = self._potentials(scores)
+        a = p[:, 0] * before
+        a /= a.sum(1, keepdims=True)
+        for i in range(1, p.shape[1]):
+            new = (a @ t) * p[:, i]
+            a = np.where((i < lengths)[:, None], new / new.sum(1, keepdims=True), a)
+        a = a @ t
+        return a / a.sum(1, keepdims=True)
+
+    def brought(self, scores: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """(sequence, label): what the messages that enter each sequence at its end become for the last position before it."""
+        p, t, _ = self._potentials(scores)
+        b = after / after.sum(1, keepdims=True)
+        for i in range(p.shape[1] - 1, -1, -1):
+            new = (p[:, i] * b) @ t.T
+            b = np.where((i < lengths)[:, None], new / new.sum(1, keepdims=True), b)
+        return b
+
     def best(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Viterbi: the likeliest labels (sequence, position); past a sequence's end they mean nothing. Ties go to the earlier label."""
         n, most, k = scores.shape

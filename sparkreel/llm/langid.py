@@ -89,9 +89,10 @@ class Emissions:
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, where: Column) -> list:
-    """TEXTS rows of every language (fewer of each, but FEWEST, where that is more than ALL_TEXTS), by a hash of text and id; rows over CHARACTERS come last, and give their first ones."""
+    """TEXTS rows of every language (fewer of each, but FEWEST, where that is more than ALL_TEXTS), by a hash of text and id; rows over CHARACTERS come last, and give so many from a place that the hash names."""
     rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.col(doc_id)).alias("h"))
-    rows = rows.select("lang", "h", F.substring("text", 1, CHARACTERS).alias("text"), (F.length("text") > CHARACTERS).alias("long"))
+    start = 1 + F.pmod("h", F.greatest(F.lit(1), F.length("text") - CHARACTERS + 1))
+    rows = rows.select("lang", "h", F.substring("text", start.cast("int"), F.lit(CHARACTERS)).alias("text"), (F.length("text") > CHARACTERS).alias("long"))
     each = max(FEWEST, min(TEXTS, ALL_TEXTS // max(1, rows.select("lang").distinct().count())))
     top = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("n") <= each)
     return top.select("lang", "text", "h").orderBy("lang", "h", "text").collect()
@@ -175,6 +176,8 @@ class Labeller:
         parts = [t[a : a + PART] for t in long for a in range(0, len(t), PART)]
         owner = np.repeat(np.arange(len(long)), [-(-len(t) // PART) for t in long])
         k = len(self.field.labels)
+        if k > USUAL:  # transfers cost a square of labels a word
+            return owner, parts, *self._handed_on(owner, parts)
         transfers, before, after = np.zeros((len(parts), k, k)), *np.zeros((2, len(parts), k))
         for which, x, lengths in self._blocks(parts):
             transfers[which] = self.field.transfers(self.table[x], lengths)
@@ -183,16 +186,32 @@ class Labeller:
             before[own], after[own] = self.field.messages(transfers[own])
         return owner, parts, before, after
 
+    def _handed_on(self, owner: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The messages of _parts() by going through the texts part by part, forth and back; only those at the parts' ends are kept."""
+        k, place = len(self.field.labels), np.arange(len(parts)) - np.searchsorted(owner, owner)
+        before, after = np.ones((2, len(parts), k))
+        first = self.field.first
+        before[place == 0] = np.exp(first - first.max())
+        last = int(place.max(initial=0))
+        for step in range(last):
+            here = np.flatnonzero(place == step)
+            here = here[np.isin(here + 1, np.flatnonzero(place == step + 1))]
+            for which, x, lengths in self._blocks([parts[i] for i in here]):
+                before[here[which] + 1] = self.field.carried(self.table[x], lengths, before[here[which]])
+        for step in range(last, 0, -1):
+            here = np.flatnonzero(place == step)
+            for which, x, lengths in self._blocks([parts[i] for i in here]):
+                after[here[which] - 1] = self.field.brought(self.table[x], lengths, after[here[which]])
+        return before, after
+
     def probabilities(self, texts: list[list[str]]):
         """(text, place of its first word, lengths, label probabilities) of blocks of texts or parts of texts."""
         ids = self.numbers([w for t in texts for w in t])
         own = np.split(ids, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
-        # transfers cost a square of labels a word: with many of them a long text is one chain
-        whole = WHOLE if len(self.field.labels) <= USUAL else len(ids) + 1
-        short = [i for i, t in enumerate(own) if len(t) <= whole]
+        short = [i for i, t in enumerate(own) if len(t) <= WHOLE]
         for which, x, lengths in self._blocks([own[i] for i in short]):
             yield np.array(short)[which], np.zeros(len(which), np.int64), lengths, self.field.marginals(self.table[x], lengths)
-        long = [i for i, t in enumerate(own) if len(t) > whole]
+        long = [i for i, t in enumerate(own) if len(t) > WHOLE]
         if long:
             owner, parts, before, after = self._parts([own[i] for i in long])
             place = np.concatenate([np.arange(0, len(own[i]), PART) for i in long])

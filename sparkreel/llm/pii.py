@@ -6,6 +6,7 @@ text by Viterbi in numpy batches. Texts longer than a chain are several ones tha
 
 from __future__ import annotations
 
+import functools
 import ipaddress
 import re
 
@@ -103,6 +104,8 @@ def _features(before: str, token: str, after: str) -> list[str]:
 
 #: Words of the labelled table that stand before personal data.
 _CUES = ("mail", "email", "e-mail", "contact", "ip", "host", "from", "address", "card", "visa", "paid", "no", "phone", "tel", "call", "mobile", "fax", "at")
+#: Those of them that stand before telephone numbers, as they are written.
+_TELEPHONE = ("phone", "Phone:", "tel", "Tel.", "tel:", "call", "Call", "mobile", "Mobile:", "fax", "Fax")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
@@ -125,7 +128,8 @@ def labelled_table(rows: int = EXAMPLES, seed: int = 7) -> list[tuple[list[str],
         "email": lambda: pick(f"{word()}.{num(2)}@{word()}.{word()}.com", f"{word()}@{word()}.org", f"{word()}_{word()}@{word()}-{word()}.net", f"{word()} (at) {word()}.com", f"{word()} [at] {word()}.org", f"{word()}@{word()}.de"),
         "ip": lambda: ".".join(str(x) for x in r.integers(1, 256, 4)),
         "card": lambda: pick(card(), card(), spaced(card(), " "), spaced(card(), "-"), spaced(card(), ".")),
-        "phone": lambda: pick(f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+49 {num(3)} {num(7)}", f"{num(3)}-{num(3)}-{num(4)}", f"+33 1 {num(2)} {num(2)} {num(2)} {num(2)}"),
+        "phone": lambda: pick(f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+49 {num(3)} {num(7)}", f"{num(3)}-{num(3)}-{num(4)}", f"+33 1 {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}.{num(3)}.{num(4)}"),
+        "national": lambda: pick(f"0{num(2)} {num(7)}", f"0{num(3)} {num(7)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(7)}", f"0{num(2)}-{num(7)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"),
     }
     other = lambda: pick(num(1), num(2), num(3), num(4), f"{num(2)}.{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:{num(2)}", f"{num(2)}%", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(2)}", f"AKIA{word().upper()}{num(2)}{word().upper()}", f"{num(5)}", f"{num(6)}", f"{num(8)}", f"{word()}{num(2)}", f"@{word()}", f"{num(3)}-{num(2)}", f"{num(12)}", f"{num(22)}", f"({num(2)})", f"{num(1)},{num(3)},{num(3)}", f"{word()}@@")
     out = []
@@ -136,11 +140,18 @@ def labelled_table(rows: int = EXAMPLES, seed: int = 7) -> list[tuple[list[str],
                 tokens.append(pick(word(), word().title(), word() + ",", word() + ".", pick(*_CUES)))
                 labels.append(0)
             if r.random() < 0.5:
-                tokens.append(other())
-                labels.append(0)
+                # numbers of orders and the like look as telephones do; what stands before tells
+                like = [*pick("order", "ref", "item", "invoice", "isbn", "part").split(), *pick("no", "no.", "number", "id", "").split(), *makers[pick("phone", "national")]().split(" ")] if r.random() < 0.15 else [other()]
+                tokens += like
+                labels += [0] * len(like)
             else:
                 kind = pick(*KINDS)
-                parts = makers[kind]().split(" ")
+                # without a country's number only a word before it makes a telephone of figures
+                national = kind == "phone" and r.random() < 0.4
+                if national:
+                    tokens.append(pick(*_TELEPHONE))
+                    labels.append(0)
+                parts = makers["national" if national else kind]().split(" ")
                 if r.random() < 0.2:
                     parts[-1] += pick(".", ",")
                 tokens += parts
@@ -162,6 +173,12 @@ def fit(rows: list[tuple[list[str], list[int]]]) -> Field:
     return Field(LABELS).fit([_features(*e) for e in number], sequences, answers, rounds=80)
 
 
+@functools.cache
+def fitted() -> Field:
+    """The field of the labelled table, fitted once a process."""
+    return fit(labelled_table())
+
+
 class Emissions:
     """The summed weights of _features for whole texts: each token's share looked up once, those of neighbours' shapes in tables."""
 
@@ -349,7 +366,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = (), doc_id: str = "do
     them. Offsets are code points. Null texts are empty (masked stays null), texts are whole, rows
     repeat as in the input, and columns not named are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted())
     names = [f"_k{i}" for i in range(len(keep))]
     fields = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "masked", *names]
 

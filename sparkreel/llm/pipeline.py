@@ -35,14 +35,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each component of near copies (5-word shingles, Jaccard 0.8 or more) the row with the smallest doc_id.
 
     Every row counts for itself: rows without a doc_id come after all others, of rows that agree in doc_id
-    and text one stays, and rows that share a doc_id but not their text are no copies of each other.
+    and text the one first by lang, source and n_chars stays (nulls first), and rows that share a doc_id but
+    not their text are no copies of each other.
     Texts without words are near nothing: all of them stay.
     """
     rows = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
     found = jaccard.jaccard_components(rows, 5, 80, 100, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
     ids = rows.select("_key", "doc_id").join(found, "_key")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
-    return rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    # few rows agree in their key: of those, and of no others, one is picked
+    rest = F.struct("lang", "source", "n_chars")
+    least = rows.groupBy("_key").agg(F.min(rest).alias("_least"))
+    kept = rows.join(first, "_key", "left_semi").join(least, "_key").where(rest.eqNullSafe(F.col("_least")))
+    return kept.dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -609,7 +609,10 @@ def test_language_id_of_code_switched_texts(spark):
     assert sum(len(set(want)) > 1 and set(got) == set(want) for (want, _), got in zip(switched, said, strict=True)) >= 0.7 * len(switched)
 
 
-def test_language_id_carries_messages_through_long_texts():
+@pytest.mark.parametrize("usual", [langid.USUAL, 2])
+def test_language_id_carries_messages_through_long_texts(monkeypatch, usual):
+    """By transfers of parts, and, as with very many languages, part by part."""
+    monkeypatch.setattr(langid, "USUAL", usual)
     rng = np.random.default_rng(5)
     r = random.Random(5)
     words = ["".join(r.choices("abcdefgh", k=3)) for _ in range(300)]
@@ -651,6 +654,9 @@ def test_pipeline_stages_on_awkward_rows(spark):
     # both rows 2 and the one without id are near copies of 1, as the first of the rows 9 is
     assert sorted(str(r["doc_id"]) for r in near) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, 10]))
     assert [r["text"] for r in near if r["doc_id"] == 9] == ["other text"]
+    same = [(1, "one text", "fr", "b", 8), (1, "one text", None, "z", 8), (1, "one text", "de", "a", 8), (2, "one text", "aa", "a", 8), (3, "", "en", None, 0), (3, "", "de", "x", 0)]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(same, rows.select(*pipeline.COLUMNS).schema).repartition(4), D).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([same[1], same[5]], rows.select(*pipeline.COLUMNS).schema).collect())
     item = spark.read.parquet(f"{D}/benchmark.parquet").where("length(text) > 120").first()["text"]
     some = spark.createDataFrame([(None, item, None, None, 0), (3, item, "en", "s", 0), (3, "clean words", "en", "s", 0), (None, "clean words", "en", None, 0), (None, None, None, None, None)], rows.select(*pipeline.COLUMNS).schema)
     assert sorted(str((r["doc_id"], r["text"])) for r in pipeline.benchmark_decontamination(spark, some, D).collect()) == sorted(map(str, [(3, "clean words"), (None, "clean words"), (None, None)]))
@@ -685,6 +691,25 @@ def test_personal_data_chains_of_very_different_lengths():
     assert finder.more(texts, [pii.base_spans(t) for t in texts])[1:] == [[]] * 3000
 
 
+def test_personal_data_on_rows_held_out():
+    """Precision and recall of each kind on rows of the labelled table that the field has not seen."""
+    rows = pii.labelled_table(400, seed=99)
+    texts = [" ".join(tokens) for tokens, _ in rows]
+    found = pii.Finder(pii.fitted()).more(texts, [pii.base_spans(t) for t in texts])
+    right, said, there = (collections.Counter() for _ in range(3))
+    for (tokens, labels), spans in zip(rows, found, strict=True):
+        at = np.cumsum([0] + [len(t) + 1 for t in tokens])
+        want = [(int(x - 1) // 2, at[i]) for i, x in enumerate(labels) if x % 2]
+        there.update(k for k, _ in want)
+        said.update(k for _, k, _ in spans)
+        right.update(k for k, a in want if any(k == kind and s <= a < e for s, kind, e in spans))
+    for k, name in enumerate(pii.KINDS):
+        assert right[k] >= 0.8 * there[k] and right[k] >= 0.8 * said[k], name
+    for text, want in (("phone: 0171 2345678 today", "0171 2345678"), ("Tel. 020 7946 0958.", "020 7946 0958"), ("fax 212.555.0199", "212.555.0199"), ("order no 555-123-4567 came", None), ("ref 0171 2345678 x", None)):
+        (spans,) = pii.Finder(pii.fitted()).more([text], [pii.base_spans(text)])
+        assert [text[s:e] for s, _, e in spans] == ([want] if want else [])
+
+
 def test_personal_data_field_reads_every_token(spark):
     far = "plain words without any figure in them, over and over again, " * 3
     texts = [far + "write to joe (at) mail.com please", "my mail joe [at] mail.org, now 12", "the host 10[.]20[.]30[.]40 and the host 10[.]20[.]30[.]400", far * 40 + "contact anna [at] mail.com"]
