@@ -16,15 +16,20 @@ def code_book(spark: SparkSession, size: int) -> DataFrame:
     return base.select("id", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("rot", "code"))
 
 
-def nearest_code(seen: DataFrame, book: DataFrame, bits: str, allowed: int) -> DataFrame:
+def nearest_code(seen: DataFrame, book: DataFrame, bits: str, allowed: int, width: int = 16) -> DataFrame:
     """Adds marker, rot and errors of the closest code; the earliest turn, then the lowest id of equally close ones.
 
-    The book is a fixed table of a few hundred rows: every value is held against it inside its own row.
+    Codes of `width` bits that differ in at most `allowed` of them agree in one of allowed + 1 stretches: they meet by
+    stretch, so a value seen is held against the codes that share one with it, and the book may have any size.
     """
-    codes = F.broadcast(book.agg(F.collect_list(F.struct("rot", "id", "code")).alias("_book")))
-    held = lambda b: F.struct(F.bit_count(F.col(bits).bitwiseXOR(b["code"])).cast("long").alias("errors"), b["rot"].cast("long").alias("rot"), b["id"].alias("marker"))
-    rows = seen.join(codes).withColumn("_b", F.array_min(F.transform("_book", held))).drop("_book")
-    return rows.where(F.col("_b.errors") <= allowed).select(*seen.columns, "_b.marker", "_b.rot", "_b.errors")
+    edges = [width * i // (allowed + 1) for i in range(allowed + 2)]
+    piece = lambda c: F.posexplode(F.array(*[F.shiftright(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])).alias("_band", "_piece")
+    values = seen.select(bits).distinct().where(F.col(bits).isNotNull())
+    near = values.select(bits, piece(F.col(bits))).join(book.select("id", "rot", "code", piece(F.col("code"))), ["_band", "_piece"])
+    errors = F.bit_count(F.col(bits).bitwiseXOR(F.col("code"))).cast("long")
+    best = near.select(bits, F.struct(errors.alias("errors"), F.col("rot").cast("long").alias("rot"), F.col("id").alias("marker")).alias("_b")).where(F.col("_b.errors") <= allowed)
+    best = best.groupBy(bits).agg(F.min("_b").alias("_b"))
+    return seen.join(best, bits).select(*seen.columns, "_b.marker", "_b.rot", "_b.errors")
 
 
 def sheet_marker_ids(sheet: Column, dictionary: int, count: int) -> Column:

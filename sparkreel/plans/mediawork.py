@@ -86,3 +86,28 @@ def codec_boxes(spark, d):
     box = F.when(codec.startswith("h"), hevc).otherwise(avc)
     box = F.when(s % 2 == 1, F.substring(box, 1, 6)).otherwise(box)
     return table(spark, d, "part").select("p_partkey", logs.codec_depth(codec, box).alias("depth"))
+
+
+@query("""with b as (select user_id grp, event_id block, (epoch(ts) - 1700000000)::double / 1000 stamp, 8 rate, 4 * (1 + event_id % 3) count from events), e as (select *, stamp + count / rate::double stop from b),
+a as (select grp, 0 ask, min(stamp) + 0.2::double start, 900.75::double duration from b group by grp union all select grp, 1, min(stamp) - 1, 1.1::double from b group by grp), j as (select e.*, ask, start, duration, start + duration astop from e join a using (grp) where stamp < start + duration and stop > start),
+f as (select *, case when stamp < start then cast(floor((start - stamp) * rate + 0.5) as bigint) else 0 end f, case when stop > astop then cast(floor((astop - stamp) * rate + 0.5) as bigint) else count end t, greatest(1, cast(floor(duration * rate + 0.5) as bigint)) alls from j),
+p as (select *, greatest(0, cast(floor((stamp + f / rate::double - start) * rate + 0.5) as bigint)) place from f), q as (select *, least(t - f, alls - place) n from p where least(t - f, alls - place) > 0),
+s as (select grp, ask, place + i pos, arg_max((block * 31 + (f + i) * 17) % 60000 - 30000, block) v from (select *, unnest(range(0, n)) i from q) group by all),
+z as (select grp, ask, sec, least(8, alls - sec * 8) n from (select distinct grp, ask, alls, unnest(range(0, (alls - 1) // 8 + 1)) as sec from q))
+select z.grp, cast(z.ask as bigint) ask, z.sec as "second", cast(any_value(z.n) as bigint) n, cast(coalesce(sum(v * (pos % 8 + 1)), 0) as bigint) as "sum" from z left join s on s.grp = z.grp and s.ask = z.ask and s.pos // 8 = z.sec group by all""")
+def sound_seconds(spark, d):
+    """Seconds of asked sound with silence between the blocks: how long each is, and a sum of its samples by their places."""
+    from sparkreel.operators import sound
+
+    seconds = (F.col("ts").cast("timestamp").cast("double") - 1_700_000_000) / 1000
+    count = (4 * (1 + F.col("event_id") % 3)).cast("int")
+    samples = F.transform(F.sequence(L(0), count - 1), lambda i: ((F.col("event_id") * 31 + i * 17) % 60_000 - 30_000).cast("smallint"))
+    b = table(spark, d, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("block"), seconds.alias("stamp"), L(8).cast("long").alias("rate"), L(1).cast("long").alias("channels"), samples.alias("samples"))
+    low = b.groupBy("grp").agg(F.min("stamp").alias("m"))
+    asks = low.select("grp", F.explode(F.array(F.struct(L(0).cast("long").alias("ask"), (F.col("m") + 0.2).alias("start"), L(900.75).alias("duration")), F.struct(L(1).cast("long").alias("ask"), (F.col("m") - 1).alias("start"), L(1.1).alias("duration")))).alias("a")).select("grp", "a.*")
+    out = sound.seconds_of_sound(b, asks, "grp")
+    n = (F.octet_length("content") / 2).cast("int")
+    byte = lambda k: F.conv(F.hex(F.substring("content", k, L(1))), 16, 10).cast("long")
+    value = lambda i: F.when(byte(2 * i + 2) > 127, byte(2 * i + 1) + byte(2 * i + 2) * 256 - 65_536).otherwise(byte(2 * i + 1) + byte(2 * i + 2) * 256)
+    total = F.aggregate(F.sequence(L(0), n - 1), L(0).cast("long"), lambda a, i: a + value(i) * (i + 1))
+    return out.select("grp", "ask", "second", n.cast("long").alias("n"), total.alias("sum"))

@@ -131,7 +131,8 @@ def original_page_numbers(spark, d):
 
 @query("select l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[count(*) // 2 + 1] as m from lineitem group by all")
 def upper_median_by_group(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(robust.upper_median("l_extendedprice").alias("m"))
+    items = table(spark, d, "lineitem").select(F.struct("l_returnflag", "l_linestatus").alias("g"), "l_extendedprice")
+    return robust.upper_medians(items, "g", "l_extendedprice").select("g.*", F.col("median").alias("m"))
 
 
 _ITEM = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkreel.functions import samples
-from sparkreel.operators import curves, equalise, fill, homography, labels, layout, logs, media, planning, points, resample, robust, sheets, state, timeline, tone
+from sparkreel.operators import curves, equalise, fill, homography, identity, labels, layout, logs, media, planning, points, resample, robust, sheets, state, timeline, tone
 from sparkreel.sources import png
 
 
@@ -34,6 +34,28 @@ def test_ranges(spark):
     assert got == [[1, 3, 4, 5, 9], [5, 6, 7], [], [], None, []]
 
 
+def test_upper_medians_of_hot_groups(spark):
+    r = np.random.default_rng(5)
+    groups = {"hot": r.integers(0, 400, 5001).tolist(), "even": [4, 1, 3, 2], "one": [7], "same": [5] * 90}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {x["g"]: x["median"] for x in robust.upper_medians(spark.createDataFrame(rows, "g string, x double").repartition(4), "g", "x").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == {g: sorted(v)[len(v) // 2] for g, v in groups.items()}
+
+
+@pytest.mark.parametrize("allowed", [0, 1, 3])
+def test_nearest_code_against_all_codes(spark, allowed):
+    book = identity.code_book(spark, 300)
+    codes = [(x["rot"], x["id"], x["code"]) for x in book.collect()]
+    seen = [(i, i * 7919 % 65_536) for i in range(400)] + [(900, 7919), (901, None)]
+    got = {x["i"]: (x["errors"], x["rot"], x["marker"]) for x in identity.nearest_code(spark.createDataFrame(seen, "i int, bits int"), book, "bits", allowed).collect()}
+    want = {i: min((bin(b ^ c).count("1"), rot, k) for rot, k, c in codes) for i, b in seen if b is not None}
+    assert got == {i: w for i, w in want.items() if w[0] <= allowed}
+
+
 @pytest.mark.parametrize("n", range(1, 8))
 def test_upper_median(spark, n):
     df = spark.createDataFrame([(float(i),) for i in range(n)], "x double")
