@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -39,21 +39,19 @@ def product_sums(pairs: DataFrame, grp: str) -> DataFrame:
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def least_vector(sums: pd.Series) -> pd.Series:
-    """The eigenvector of the smallest eigenvalue of 9 x 9 sums, by rows."""
-    return pd.Series(list(samples.smallest(np.stack(sums.to_list()).reshape(-1, 9, 9)))) if len(sums) else pd.Series([], dtype=object)
-
-
-def solved(sums: DataFrame) -> Column:
-    """The map of product_sums(), its last entry 1 unless that vanishes."""
-    h = points.product(points.product(points.inverse(F.col("td")), F.col("_v")), F.col("ts"))
-    last = F.get(h, F.lit(8))
-    return F.when(F.abs(last) < 1e-12, h).otherwise(F.transform(h, lambda x: x / last))
+def solved(sums: pd.Series, ts: pd.Series, td: pd.Series) -> pd.Series:
+    """The maps of product_sums(): the eigenvector of the smallest eigenvalue, between the points as they were, its last entry 1 unless that vanishes."""
+    if not len(sums):
+        return pd.Series([], dtype=object)
+    square = lambda x, n: np.stack(x.to_list()).reshape(-1, n, n)
+    h = np.linalg.inv(square(td, 3)) @ samples.smallest(square(sums, 9)).reshape(-1, 3, 3) @ square(ts, 3)
+    last = h[:, 2, 2][:, None, None]
+    return pd.Series(list((h / np.where(np.abs(last) < 1e-12, 1, last)).reshape(-1, 9)))
 
 
 def fitted(pairs: DataFrame, grp: str) -> DataFrame:
     """(grp, h, n): the least-squares map from (x, y) to (u, v) of every group of four pairs or more."""
-    return product_sums(pairs, grp).where("n >= 4").withColumn("_v", least_vector("sums")).select(grp, solved(None).alias("h"), "n")
+    return product_sums(pairs, grp).where("n >= 4").select(grp, solved("sums", "ts", "td").alias("h"), "n")
 
 
 def _sampled(rounds: int):
