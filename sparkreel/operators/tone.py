@@ -67,3 +67,30 @@ def inverse_at(df: DataFrame, grp: str, x: str, y: str, values: list[float]) ->
     last = asked.groupBy(grp, "want").agg(F.max_by(F.struct("_x", "_y", "_x1", "_y1"), "_x").alias("s"))
     between = F.col("s._x") + F.try_divide((F.col("s._x1") - F.col("s._x")) * (F.col("want") - F.col("s._y")), F.col("s._y1") - F.col("s._y"))
     return last.select(grp, "want", F.coalesce(between, F.col("s._x")).alias(x))
+
+
+def ink_ramp(stops: Column, ink: Column) -> Column:
+    """array of 256 colours, struct(r, g, b) of whole numbers, by density: straight between stops, half up.
+
+    stops: array<struct(d, r, g, b)>, in any order (of equal densities the first counts as the lower); without stops, or
+    null, white at 0 and the ink, struct(r, g, b), at 255. Densities are cut to 0..255; paper is white at 0 unless a
+    stop lies within half a step of it, and the last stop's colour goes on to 255.
+    """
+    point = lambda d, i, c: F.struct(d.cast("double").alias("d"), i.cast("int").alias("i"), *[c[k].cast("double").alias(k) for k in "rgb"])
+    white = F.struct(*[F.lit(255).alias(k) for k in "rgb"])
+    given = F.array_sort(F.transform(stops, lambda s, i: point(F.greatest(F.lit(0.0), F.least(F.lit(255.0), s["d"].cast("double"))), i, s)))
+    first, last = F.get(given, F.lit(0)), F.get(given, F.size(given) - 1)
+    none = F.filter(given, lambda s: F.lit(False))
+    started = F.concat(F.when(first["d"] > 0.5, F.array(point(F.lit(0), F.lit(-1), white))).otherwise(none), given)
+    whole = F.concat(started, F.when(last["d"] < 254.5, F.array(point(F.lit(255), F.lit(1 << 30), last))).otherwise(none))
+    plain = F.array(point(F.lit(0), F.lit(0), white), point(F.lit(255), F.lit(1), ink))
+    anchors = F.when(F.coalesce(F.size(stops), F.lit(0)) > 0, whole).otherwise(plain)
+
+    def at(a: Column, x: Column) -> Column:
+        k = F.size(F.filter(a, lambda s, i: (i > 0) & (s["d"] < x)))
+        low, high = F.get(a, k), F.get(a, F.least(k + 1, F.size(a) - 1))
+        t = F.when(high["d"] > low["d"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low["d"]) / (high["d"] - low["d"])))).otherwise(0.0)
+        return F.struct(*[F.floor(F.round(low[c] + (high[c] - low[c]) * t, 9) + 0.5).cast("long").alias(c) for c in "rgb"])
+
+    one = F.transform(F.array(anchors), lambda a: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: at(a, x.cast("double"))))
+    return F.get(one, F.lit(0))

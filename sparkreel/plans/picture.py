@@ -172,3 +172,28 @@ select p_partkey, id marker, cast(rot as bigint) rot, errors from k where n = 1
 def hamming_match(spark, d):
     seen = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 65_536).cast("int").alias("bits"))
     return identity.nearest_code(seen, identity.code_book(spark, 50), "bits", 3).drop("bits")
+
+
+@query("""with p as (select p_partkey p, p_size s from part), g as (select p, (s * 3)::double d, 0 i, 200 r, 180 g, 160 b from p where s % 5 > 0 union all select p, least(255, s + 60.5::double * (s % 4)), 1, 10, 20 + s, 30 from p where s % 5 > 0),
+a as (select *, row_number() over (partition by p order by d, i) k, count(*) over (partition by p) n from g),
+b as (select p, d, i, r, g, b from a union all select p, 0, -1, 255, 255, 255 from a where k = 1 and d > 0.5 union all select p, 255, 9, r, g, b from a where k = n and d < 254.5 union all select p, 0, 0, 255, 255, 255 from p where s % 5 = 0 union all select p, 255, 1, s, 40, 50 from p where s % 5 = 0),
+c as (select *, row_number() over (partition by p order by d, i) - 1 k, count(*) over (partition by p) n from b), x as (select p, n, x, (select count(*) from c where c.p = q.p and c.k > 0 and c.d < x) k from (select distinct p, n from c) q, (select unnest(range(0, 256)) x)),
+v as (select x.p, x, lo.r lr, lo.g lg, lo.b lb, hi.r hr, hi.g hg, hi.b hb, case when hi.d > lo.d then greatest(0, least(1, (x - lo.d) / (hi.d - lo.d))) else 0 end t from x join c lo on lo.p = x.p and lo.k = x.k join c hi on hi.p = x.p and hi.k = least(x.k + 1, x.n - 1))
+select p p_partkey, cast(sum(floor(round(lr + (hr - lr) * t, 9) + 0.5) * (x + 1)) as bigint) r, cast(sum(floor(round(lg + (hg - lg) * t, 9) + 0.5) * (x + 1)) as bigint) g, cast(sum(floor(round(lb + (hb - lb) * t, 9) + 0.5) * (x + 1)) as bigint) b from v group by p""")
+def ink_ramps(spark, d):
+    """The 256 colours of ramps with two stops or none, summed by their places."""
+    s = F.col("p_size")
+    stop = lambda at, r, g, b: F.struct(at.cast("double").alias("d"), F.lit(r).alias("r"), g.cast("int").alias("g"), F.lit(b).alias("b"))
+    stops = F.array(stop(s * 3, 200, F.lit(180), 160), stop(F.least(F.lit(255.0), s + 60.5 * (s % 4)), 10, 20 + s, 30))
+    ramp = tone.ink_ramp(F.when(s % 5 > 0, stops), F.struct(s.alias("r"), F.lit(40).alias("g"), F.lit(50).alias("b")))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(ramp).alias("x", "c"))
+    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(f"c.{k}") * (F.col("x") + 1)).alias(k) for k in "rgb"])
+
+
+@query("with p as (select p_partkey, p_size * 3.0::double x, p_partkey % 70 * 1.0::double y from part), q as (select *, (0.9::double * x + 0.1::double * y - 4) / (0.002::double * x + 1) u, (0.05::double * x + 1.1::double * y - 3) / (0.002::double * x + 1) v from p) select p_partkey, u between 0 and 99 and v between 0 and 59 as covered from q")
+def covered_points(spark, d):
+    """Which points of a sheet a scan of 100 by 60 has."""
+    from sparkreel.operators import fill
+
+    seen = (0.9, 0.1, -4.0, 0.05, 1.1, -3.0, 0.002, 0.0, 1.0)
+    return table(spark, d, "part").select("p_partkey", fill.covers(F.col("p_size") * 3.0, F.col("p_partkey") % 70 * 1.0, seen, 100, 60).alias("covered"))
