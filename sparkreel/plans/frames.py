@@ -64,7 +64,7 @@ def planes_read_and_turned(spark, d):
     return deep.turned(deep.plane(frames, 5, 3, L(6), L(14), "value"), 5, 3, F.col("img") % 4 * 90)
 
 
-_HOLDS = """h as (select user_id cache, ts start, case when event_id % 7 > 0 then ts + to_hours(cast(value % 90 as int)) end as "end", case when event_id % 5 = 0 then ts + to_hours(1) end narrowed from events where event_type in ('view', 'click')),
+_HOLDS = """h as (select user_id cache, ts start, case when event_id % 7 > 0 then ts + to_hours(cast(floor(value % 90) as int)) end as "end", case when event_id % 5 = 0 then ts + to_hours(1) end narrowed from events where event_type in ('view', 'click')),
 c as (select user_id cache, ts tm, row_number() over (partition by user_id order by ts) - 1 generation from events where event_type = 'purchase'),
 g as (select h.*, (select count(*) from c where c.cache = h.cache and c.tm < h.start) gen from h),
 p as (select c.cache, c.generation, c.tm, case when gen = c.generation then g."end" when g."end" is null then narrowed when narrowed is null then g."end" else least(g."end", narrowed) end until, g.start from c left join g on g.cache = c.cache and g.start <= c.tm)"""
@@ -76,7 +76,7 @@ def held_folders(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("cache"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id", "value")
     later = lambda n: (F.unix_seconds("ts") + n * 3600).cast("timestamp")
     kind = F.col("event_type")
-    ends = F.when(F.col("event_id") % 7 > 0, later(F.round(F.col("value") % 90).cast("long")))
+    ends = F.when(F.col("event_id") % 7 > 0, later(F.floor(F.col("value") % 90)))
     holds = e.where(kind.isin("view", "click")).select("cache", F.col("ts").alias("start"), ends.alias("end"), F.when(F.col("event_id") % 5 == 0, later(L(1))).alias("narrowed"))
     out = readers.deletions(e.where(kind == "purchase").select("cache", F.col("ts").alias("at")), holds, "cache")
     return out.select("cache", F.col("generation").cast("long").alias("generation"), F.unix_seconds("cleared").alias("cleared"), F.unix_seconds("deleted").alias("deleted"))

@@ -83,12 +83,12 @@ def _code(marker):
 @query("""with p as (select p_partkey // 4 scan, p_partkey marker, p_size, count(*) filter (where p_partkey % 4 <> 2) over (partition by p_partkey // 4) n from part)
 select scan, marker, cast(case when p_size % 5 = 1 then 1 else 0 end as bigint) shift, cast(case when p_size % 3 = 0 then 1 else 0 end as bigint) errors from p where marker % 4 = 2 and n >= 3 and p_size % 7 > 0""")
 def recovered_markers(spark, d):
-    """Lost markers found again: some stand three pixels off, some have one wrong cell, some are painted over."""
+    """Lost markers found again: some stand a cell off, some have one wrong cell, some are painted over."""
     marks = _expected(spark, d)
     mine = marks.where("marker % 4 = 2")
     # the pixels around each lost marker, drawn from its code: white paper, black border, white bits
     rows = mine.withColumn("x", F.explode(F.sequence(F.lit(3 + 90 * 3 // 2 - 12), F.lit(3 + 114 * 3 // 2 + 12)))).withColumn("y", F.explode(F.sequence(F.lit(2 + 15 - 12), F.lit(2 + 51 + 12))))
-    off = F.when(F.col("p_size") % 5 == 1, 3.0).otherwise(0.0)
+    off = F.when(F.col("p_size") % 5 == 1, 6.0).otherwise(0.0)
     at = lambda v, o, start: F.floor(((F.col(v) - o - off) / 1.5 - F.col(start)) * 6 / _SIDE)
     rows = rows.withColumn("c", at("x", 3, "x1")).withColumn("r", at("y", 2, "y1"))
     inner = F.col("c").between(1, 4) & F.col("r").between(1, 4)
@@ -99,5 +99,5 @@ def recovered_markers(spark, d):
     found = marks.where("marker % 4 <> 2").select("scan", "marker")
     seen = F.array(*[F.lit(float(v)) for v in (1.5, 0, 3, 0, 1.5, 2, 0, 0, 1)])
     quads = recovery.lost(marks, found, marks.select("scan", seen.alias("h")).distinct())
-    cells = recovery.sampled_cells(quads, px, 6, 2, [(0, 0), (3, 3)])
+    cells = recovery.sampled_cells(quads, px, 6, 2, [(0, 0), (6, 6)])
     return recovery.recovered(cells, mine.select("marker", _code(F.col("marker")).alias("code")), 4, 1, 0.2)
