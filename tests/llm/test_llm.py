@@ -667,7 +667,7 @@ def test_pipeline_stages_on_awkward_rows(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} - {"pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} - {"pipeline"}
 
 
 def test_emissions_are_the_sums_of_the_named_features():
