@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -764,3 +765,34 @@ def test_token_counts_are_the_librarys(spark):
         t = x["text"] or ""
         n = len(model.encode(t))
         assert got[x["doc_id"]] == (len(t.encode()), n, n > 4096), t[:80]
+
+
+def test_pre_tokens_and_their_lengths(monkeypatch):
+    path, r, mark = pipeline.TOKENIZER(), random.Random(7), "▁"
+    plain = re.compile(f"\n|{mark}*[^{mark}\n]+|{mark}+")
+    texts = ["".join(r.choice("  \n\t▁a1é漢　Bc\x00\r\U0001f600") for _ in range(r.randint(0, 30))) for _ in range(2000)] + [None, "", " ", "\n", "x" * 100, "漢字" * 300, "word " * 500]
+    column = pa.array(["cut off", *texts])[1:]
+    names, at = tokens.pre_tokens(column)
+    names = names.to_pylist()
+    for i, t in enumerate(texts):
+        assert names[at[i] : at[i + 1]] == [x.replace(mark, " ") for x in plain.findall(mark + t.replace(" ", mark) if t else "")]
+    encoder = tokens.Encoder(path)
+    want = [encoder.whole(t or "") for t in texts]
+    for size, cache, once in ((1, 5, 1), (200, 300, 7), (tokens.SLICE, tokens.CACHE, tokens.AT_ONCE)):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        monkeypatch.setattr(tokens, "CACHE", cache)
+        monkeypatch.setattr(tokens, "AT_ONCE", once)
+        assert tokens.Lengths({" word": 1}, encoder).counts(column).tolist() == want
+    assert tokens.Lengths({}, encoder).counts(column[:0]).tolist() == []
+
+
+def test_rare_words_are_counted_in_less_time_than_the_library_takes():
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(6, 10))) for _ in range(250_000)]
+    texts = [" ".join(r.choices(words, k=1000)) for _ in range(1000)]
+    encoder, column = tokens.Encoder(pipeline.TOKENIZER()), pa.array(texts)
+    began = time.process_time()
+    want = [encoder.whole(t) for t in texts]
+    library = time.process_time() - began
+    got = tokens.Lengths({}, encoder).counts(column).tolist()
+    assert got == want and time.process_time() - began - library < library
