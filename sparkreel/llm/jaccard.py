@@ -29,8 +29,8 @@ from sparkreel.llm.common import chained, connected_components, forget, mix, sli
 GROUPS, LEAF, FAN, MOST, SLICE, MATRIX = 64, 32, 8, 1024, 1 << 20, 200_000
 #: Bytes of a block, coordinates of node pairs compared at once, rows of whole cells and of whole neighbourhoods that go together.
 BLOCK_BYTES, COORDINATES, CELL_ROWS, TEXT_ROWS = 8 << 20, 4_000_000, 10_000, 500
-#: Bits of a shingle's bucket; sets in a bucket that count as rare, if the mean bucket has not a quarter of that.
-BUCKET_BITS, RARE = 20, 64
+#: Bits of a shingle's bucket; sets in a bucket that count as rare, if the mean bucket has not a quarter of that; sums of tables that the driver gets.
+BUCKET_BITS, RARE, SUMS = 20, 64, 12
 _SKETCH = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, counts binary, bytes long"
 
 
@@ -47,7 +47,8 @@ def shingle_sets(column: pa.Array, size: int):
 def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
     """For each bucket of shingles how often its count doubles what counts as rare, as bytes: the same 2**BUCKET_BITS numbers for any input.
 
-    Tasks count the sets of all texts; the tables are added up on the executors.
+    Tasks count the sets of all texts; the tables are added up on the executors, by the workers that counted
+    (an RDD would have workers of its own beside those), and the driver adds SUMS of them.
     """
     packed = lambda x: pa.compress(x.astype("<i8").tobytes(), codec="zstd", asbytes=True)
     read = lambda b: np.frombuffer(pa.decompress(b, 8 << BUCKET_BITS, codec="zstd", asbytes=True), "<i8")
@@ -66,9 +67,18 @@ def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
         yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["b"])
 
-    add = lambda a, b: b if a is None else a if b is None else packed(read(a) + read(b))
-    total = texts.select("text").mapInArrow(run, "b binary").rdd.map(lambda r: bytes(r[0])).treeAggregate(None, add, add, 2)
-    counts = np.zeros(1 << BUCKET_BITS, np.int64) if total is None else read(total)
+    def added(batches):
+        total = None
+        for batch in batches:
+            for b in batch.column(0):
+                total = read(b.as_buffer()) if total is None else total + read(b.as_buffer())
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["b"])
+
+    tables = texts.select("text").mapInArrow(run, "b binary").repartition(SUMS).mapInArrow(added, "b binary")
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in tables.collect():
+        counts += read(row["b"])
     rare = max(RARE, 4 * counts.mean())
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / rare))).astype(np.uint8)
 

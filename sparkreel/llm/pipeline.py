@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the
 last return the columns of `documents`. run() writes each stage's rows to the shared folder and
-reads them again as the next one's documents.
+reads them again as the next one's documents. The stages set how many bytes of rows the session hands to
+Python at once (BATCH): their rows are computed after they return, so that the setting stays.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from sparkreel.llm.common import stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose words carry their commonest language with less mean probability is rejected.
 LEAST_SCORE = 0.4
+#: Bytes of an Arrow batch. Spark's own 64 MB are held several times for each task, by the executor and by its worker, on the way there and back.
+BATCH = "4m"
 
 
 def TOKENIZER() -> str:  # noqa: N802
@@ -25,8 +28,14 @@ def TOKENIZER() -> str:  # noqa: N802
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get batches of BATCH bytes, or of one row; what they return is the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text carries a language: `und` and scores below LEAST_SCORE go."""
+    small_batches(spark)
     said = langid.predict(docs, keep=COLUMNS[1:])
     return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -39,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     not their text are no copies of each other.
     Texts without words are near nothing: all of them stay.
     """
+    small_batches(spark)
     rows = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
     found = jaccard.jaccard_components(rows, 5, 80, 100, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
     ids = rows.select("_key", "doc_id").join(found, "_key")
@@ -59,12 +69,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in brackets in place of every span of personal data; n_chars follows. Every row stays, whatever its doc_id; null texts stay null."""
+    small_batches(spark)
     hidden = pii.personal_data(docs, keep=("lang", "source"))
     return hidden.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts that are left, by their tokens and an end token each, into sequences of the permitted lengths. Null and repeated ids are packed each."""
+    small_batches(spark)
     return packing.pack_texts(docs, TOKENIZER())
 
 

@@ -158,6 +158,18 @@ def test_jaccard_cells_grow_with_the_texts_that_share_a_passage(spark, monkeypat
     assert seen[0] <= 10 and seen[2] <= 10
 
 
+def test_shingle_frequencies_by_the_workers_of_the_query(spark, monkeypatch):
+    """The tables of many tasks are added up, without an RDD, whose Python workers would stand beside those of the query."""
+    texts = [" ".join(f"w{i % k}" for i in range(40)) for k in range(1, 41)] * 8
+    buckets = collections.Counter(int(h) >> (64 - jaccard.BUCKET_BITS) for t in texts for h in next(iter(jaccard.shingle_sets(pa.array([t]), 4))))
+    want = {b: max(0, math.ceil(math.log2(n / jaccard.RARE))) for b, n in buckets.items()}
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(30)
+    monkeypatch.setattr(type(df), "rdd", property(lambda self: pytest.fail("an RDD")))
+    got = jaccard.frequency_levels(df, 4)
+    assert max(want.values()) > 1 and {b: int(got[b]) for b in buckets} == want and np.count_nonzero(got) == sum(n > 0 for n in want.values())
+    assert not jaccard.frequency_levels(df.where("text = 'none'"), 4).any()
+
+
 def test_tree_meets_every_leaf_pair_that_may_link():
     rng = np.random.default_rng(6)
     points = rng.poisson(rng.choice([0.2, 1, 3], (900, 1)), (900, 64))
@@ -648,6 +660,19 @@ def test_pipeline(spark):
     assert pipeline.run is corpus_pipeline.run and pipeline.STAGES is corpus_pipeline.STAGES
 
 
+def test_pipeline_hands_few_bytes_to_python_at_once(spark):
+    """What reads a stage's rows in Python, like the stage itself, gets batches of a few MB, not 64."""
+    rows = spark.range(0, 240, 1, 1).selectExpr("id doc_id", "repeat(concat('some words of text ', id, ' '), 4000) text", "'en' lang", "'s' source", "80000L n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"]) for b in batches)
+    for name, stage in pipeline.STAGES:
+        if stage is pipeline.benchmark_decontamination:  # has no Python
+            continue
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, rows.limit(0), D)
+        seen = rows.mapInArrow(sizes, "bytes long, rows long").collect()
+        assert sum(r["rows"] for r in seen) == 240 and max(r["bytes"] for r in seen) < 8 << 20, name
+
+
 def test_pipeline_stages_on_awkward_rows(spark):
     rows = awkward(spark)
     assert pipeline.language_id(spark, rows, D).count() >= 5
