@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from sparkreel.functions import samples
-from sparkreel.operators import points
+from sparkreel.session import spread
 
-#: Rounds of samples, those of one row, share of the points from which on a map is taken at once.
+#: Rounds of samples, those tried at once, share of the points from which on a map is taken at once.
 ROUNDS, CHUNK, ENOUGH = 2000, 250, 0.95
 
 
@@ -54,33 +54,19 @@ def fitted(pairs: DataFrame, grp: str) -> DataFrame:
     return product_sums(pairs, grp).where("n >= 4").select(grp, solved("sums", "ts", "td").alias("h"), "n")
 
 
-def _sampled(rounds: int):
-    def run(batches):
-        for pdf in batches:
-            for n in pdf["n"].tolist():
-                drawn = samples.fours(int(n), rounds)
-                yield pd.DataFrame({"n": n, "chunk": range(0, rounds, CHUNK), "fours": [drawn[a : a + CHUNK].ravel().tolist() for a in range(0, rounds, CHUNK)]})
-
-    return run
-
-
-def _best(limit: float):
+def _searched(limit: float, rounds: int):
     def run(batches):
+        drawn: dict[int, np.ndarray] = {}  # the same for all groups of a size
         for pdf in batches:
             out = []
-            for key, chunk, p, fours in zip(pdf["_key"], pdf["chunk"], pdf["p"], pdf["fours"], strict=True):
-                at = np.array([[q["x"], q["y"], q["u"], q["v"]] for q in p], np.float64)
-                four = np.asarray(fours, np.int64).reshape(-1, 4)
-                with np.errstate(all="ignore"):
-                    try:
-                        h = samples.maps(at[four][..., :2], at[four][..., 2:])
-                    except np.linalg.LinAlgError:  # points that coincide
-                        continue
-                    counts = samples.near(h, at[:, :2], at[:, 2:], limit).sum(1)
-                full = np.flatnonzero(counts > ENOUGH * len(at))
-                one = int(full[0]) if len(full) else int(counts.argmax())
-                out.append((key, bool(len(full)), chunk + one, int(counts[one]), h[one].ravel().tolist()))
-            yield pd.DataFrame(out, columns=["_key", "full", "round", "count", "h"])
+            for key, *sides in zip(pdf["_key"], *[pdf[c] for c in "xyuv"], strict=True):
+                at = np.stack(sides, 1).astype(np.float64)
+                if len(at) not in drawn:
+                    drawn[len(at)] = samples.fours(len(at), rounds) if len(at) > 4 else np.zeros((0, 4), np.int64)
+                found = samples.best(at[:, :2], at[:, 2:], drawn[len(at)], limit, ENOUGH, CHUNK)
+                if found:
+                    out.append((key, found[0].tolist(), found[1], len(at)))
+            yield pd.DataFrame(out, columns=["_key", "h", "inliers", "n"])
 
     return run
 
@@ -89,22 +75,13 @@ def robust(pairs: DataFrame, grp: str, order: str, limit: float = 3.0, rounds: i
     """(grp, h, inliers, n): the map with most pairs within limit among those of `rounds` samples of four, fitted anew to these pairs.
 
     Samples are drawn by a fixed rule from a group's pairs in the given order; the first map of most pairs counts,
-    and the first that has more than ENOUGH of them ends the search. Groups are sheets of a bounded number of
-    corners; their samples are spread over rows. Fewer than four pairs, or four within the limit, give no row;
-    exactly four pairs are fitted as they are.
+    and the first that has more than ENOUGH of them ends the search. A sample with three points in line has no map
+    of its own and does not count. Groups are sheets of a bounded number of corners, one row each; pairs without a
+    number on either side are left out. Fewer than four pairs, or four within the limit, give no row; exactly four
+    pairs are fitted as they are.
     """
     kind = pairs.schema[grp].dataType.simpleString()
-    listed = pairs.groupBy(F.col(grp).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(order, *[F.col(c).cast("double").alias(c) for c in "xyuv"]))).alias("p")).withColumn("n", F.size("p").cast("long")).where("n >= 4")
-    many = listed.where("n > 4")
-    drawn = many.select("n").distinct().mapInPandas(_sampled(rounds), "n long, chunk long, fours array<long>")
-    tried = many.join(drawn, "n").select("_key", "chunk", "p", "fours").mapInPandas(_best(limit), f"_key {kind}, full boolean, round long, count long, h array<double>")
-    rank = F.struct(F.col("full"), F.when(F.col("full"), -F.col("round")).otherwise(F.col("count")), -F.col("round"))
-    best = tried.groupBy("_key").agg(F.max_by("h", rank).alias("_h"))
-    rows = pairs.join(best.withColumnRenamed("_key", grp), grp)
-    seen = points.projected([F.get("_h", F.lit(i)) for i in range(9)], F.col("x"), F.col("y"))
-    rows = rows.withColumn("_p", seen)
-    off = (F.col("_p.x") - F.col("u")) * (F.col("_p.x") - F.col("u")) + (F.col("_p.y") - F.col("v")) * (F.col("_p.y") - F.col("v"))
-    inside = rows.where(off < limit * limit).select(grp, "x", "y", "u", "v")
-    four = pairs.join(listed.where("n = 4").select(F.col("_key").alias(grp)), grp, "left_semi").select(grp, "x", "y", "u", "v")
-    found = fitted(inside.unionByName(four), grp)
-    return found.withColumnRenamed("n", "inliers").join(listed.select(F.col("_key").alias(grp), "n"), grp)
+    whole = pairs.select(F.col(grp).alias("_key"), F.struct(order, *[F.col(c).cast("double").alias(c) for c in "xyuv"]).alias("_p")).where(" and ".join(f"abs(_p.{c}) < double('infinity')" for c in "xyuv"))
+    listed = spread(whole, "_key").groupBy("_key").agg(F.array_sort(F.collect_list("_p")).alias("_p")).where(F.size("_p") >= 4)
+    found = listed.select("_key", *[F.col(f"_p.{c}").alias(c) for c in "xyuv"]).mapInPandas(_searched(limit, rounds), f"_key {kind}, h array<double>, inliers long, n long")
+    return found.withColumnRenamed("_key", grp)

@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sparkreel.functions import samples
 from sparkreel.operators import recovery, scans
 
 
@@ -53,3 +55,27 @@ def test_cells_and_codes_of_a_marker(spark):
     book = spark.createDataFrame([(5, code)], "marker long, code long")
     assert sorted(tuple(r) for r in recovery.recovered(cells, book, 4, 1, 0.2).collect()) == [(0, 5, 0, 0), (1, 5, 0, 1)]
     assert [r["scan"] for r in recovery.recovered(cells, book, 4, 0, 0.2).collect()] == [0]
+
+
+def test_every_detection_counts(spark):
+    """A marker seen twice is two detections, as in the SQL of scan_reports: in number, in corners and as votes."""
+    boxes = [(i, 40 * (i % 2), 40 * (i // 2), 40 * (i % 2) + 10, 40 * (i // 2) + 10) for i in range(4)]
+    rows = [(scan, m, corners(*boxes[m // 2][1:])) for scan, seen in ((1, [0, 2, 5, 7, 7]), (2, [0, 2, 5, 7])) for m in seen]
+    found = spark.createDataFrame(rows, "scan long, marker long, corners array<struct<x: double, y: double>>")
+    s, b = spark.createDataFrame([(1, [0, 2, 4, 6]), (2, [1, 3, 5, 7])], "sheet long, ids array<long>"), spark.createDataFrame(boxes, "place long, x1 long, y1 long, x2 long, y2 long")
+    got = {r["scan"]: (r["markers"], r["inliers"], r["sheet"], r["error"]) for r in scans.scan_report(found, s, scans.scan_maps(found, s, b)).collect()}
+    assert got == {1: (5, 20, 2, None), 2: (4, 16, None, "no sheet has most of the markers")}
+
+
+def test_points_in_line_have_no_map_of_their_own():
+    src = np.array([[0, 0], [10, 0], [30, 0], [0, 20], [25, 15], [7, 30]], float)
+    want = np.array([[1.5, 0.2, 5], [-0.1, 1.4, 4], [1e-3, -2e-3, 1]])
+    dst = np.concatenate([src, np.ones((6, 1))], 1) @ want.T
+    dst = dst[:, :2] / dst[:, 2:]
+    h, only = samples.through(src[[[0, 1, 2, 3], [3, 2, 1, 0], [0, 1, 3, 4], [5, 4, 2, 0], [1, 1, 3, 4]]] / 15, dst[[[0, 1, 2, 3], [3, 2, 1, 0], [0, 1, 3, 4], [5, 4, 2, 0], [1, 1, 3, 4]]] / 20)
+    assert only.tolist() == [False, False, True, True, False]
+    assert samples.near(h[2:4], src / 15, dst / 20, 1e-9).all()
+    dst[5] += 50
+    best, inside = samples.best(src, dst, np.array([[0, 1, 2, 3], [0, 1, 4, 5], [0, 1, 3, 4]]), 3.0, 0.95, 2)
+    assert inside == 5 and np.abs(best - want.ravel()).max() < 1e-6
+    assert samples.best(src, dst, np.array([[0, 1, 2, 3]]), 3.0, 0.95, 2) is None
