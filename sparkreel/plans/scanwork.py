@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import points, scans
 from sparkreel.plans.base import query
-from sparkreel.session import table
+from sparkreel.session import spread, table
 
 L = F.lit
 
@@ -48,6 +48,6 @@ def scan_frames(spark, d):
     n = F.col("id")
     frames = spark.range(3).select(n.alias("sheet"), F.concat(L("frame"), n.cast("string")).alias("label"), (n * 10 + 40).alias("x1"), L(40).alias("y1"), (n * 10 + 60).alias("x2"), L(52).alias("y2"), L(5).alias("w"), L(3).alias("h"))
     # the part of each scan that frames lie in: grays rise evenly
-    px = found.select("scan").distinct().withColumn("x", F.explode(F.sequence(L(60).cast("long"), L(130).cast("long")))).withColumn("y", F.explode(F.sequence(L(60).cast("long"), L(90).cast("long"))))
+    px = spread(found.select("scan").distinct(), "scan").withColumn("x", F.explode(F.sequence(L(60).cast("long"), L(130).cast("long")))).withColumn("y", F.explode(F.sequence(L(60).cast("long"), L(90).cast("long"))))
     px = px.withColumn("gray", F.col("x") + 2 * F.col("y") + F.col("scan") % 40)
     return scans.cut_out(scans.scan_report(found, sheets, maps), maps, frames, px)

@@ -1,6 +1,7 @@
 """Whole scans: maps, sheets and frames, with scans that lack markers, vote for no sheet, or show a frame's edge only."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -79,3 +80,15 @@ def test_points_in_line_have_no_map_of_their_own():
     best, inside = samples.best(src, dst, np.array([[0, 1, 2, 3], [0, 1, 4, 5], [0, 1, 3, 4]]), 3.0, 0.95, 2)
     assert inside == 5 and np.abs(best - want.ravel()).max() < 1e-6
     assert samples.best(src, dst, np.array([[0, 1, 2, 3]]), 3.0, 0.95, 2) is None
+
+
+def test_pixels_of_scans_do_not_go_through_the_driver(spark):
+    """Many pixels made of few rows look small to the planner; the join with them must not be a broadcast."""
+    px = spark.range(2).select(F.col("id").alias("scan"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("x")).withColumn("y", F.col("x")).withColumn("gray", F.col("x"))
+    report = spark.createDataFrame([(1, 1, None)], "scan long, sheet long, error string")
+    maps = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "scan long, h array<double>")
+    frames = spark.createDataFrame([(1, "a", 0, 0, 4, 4, 4, 4)], "sheet long, label string, x1 long, y1 long, x2 long, y2 long, w int, h int")
+    cut = scans.cut_out(report, maps, frames, px)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[scan#\d+L, sx#\d+L, sy#\d+L\]", plan)
+    assert {(r["x"], r["y"]): r["gray"] for r in cut.collect()} == {(x, y): x if x == y else 255 for x in range(4) for y in range(4)}
