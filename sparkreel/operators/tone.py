@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import curves
 
+#: Half up to whole numbers, what lies below a half by less than half a billionth being one.
+HALF = 0.5 + 5e-10
+
 
 def isotonic(df: DataFrame, grp: str, x: str, y: str) -> DataFrame:
     """Adds fit, the non-decreasing least-squares fit of each group's curve: pooled in one pass over its points."""
@@ -69,8 +72,8 @@ def inverse_at(df: DataFrame, grp: str, x: str, y: str, values: list[float]) ->
     return last.select(grp, "want", F.coalesce(between, F.col("s._x")).alias(x))
 
 
-def ink_ramp(stops: Column, ink: Column) -> Column:
-    """array of 256 colours, struct(r, g, b) of whole numbers, by density: straight between stops, half up.
+def ink_ramps(df: DataFrame, stops: Column, ink: Column) -> DataFrame:
+    """Rows with x, 0..255, and the whole colours r, g and b of their ramp at that density: straight between stops, half up.
 
     stops: array<struct(d, r, g, b)>, in any order (of equal densities the first counts as the lower); without stops, or
     null, white at 0 and the ink, struct(r, g, b), at 255. Densities are cut to 0..255; paper is white at 0 unless a
@@ -86,11 +89,15 @@ def ink_ramp(stops: Column, ink: Column) -> Column:
     plain = F.array(point(F.lit(0), F.lit(0), white), point(F.lit(255), F.lit(1), ink))
     anchors = F.when(F.coalesce(F.size(stops), F.lit(0)) > 0, whole).otherwise(plain)
 
-    def at(a: Column, x: Column) -> Column:
-        k = F.size(F.filter(a, lambda s, i: (i > 0) & (s["d"] < x)))
-        low, high = F.get(a, k), F.get(a, F.least(k + 1, F.size(a) - 1))
-        t = F.when(high["d"] > low["d"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low["d"]) / (high["d"] - low["d"])))).otherwise(0.0)
-        return F.struct(*[F.floor(F.round(low[c] + (high[c] - low[c]) * t, 9) + 0.5).cast("long").alias(c) for c in "rgb"])
-
-    one = F.transform(F.array(anchors), lambda a: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: at(a, x.cast("double"))))
-    return F.get(one, F.lit(0))
+    def parts(a: Column) -> Column:
+        """Each anchor with the next one and the whole densities from behind it to that one."""
+        below = lambda s: F.floor(s["d"]).cast("int")
+        start = lambda s, i: F.when(i == 0, F.lit(0)).otherwise(below(s) + 1)
+        end = lambda i: F.when(i == F.size(a) - 1, F.lit(255)).otherwise(below(F.get(a, i + 1)))
+        part = lambda s, i: F.struct(s.alias("low"), F.get(a, F.least(i + 1, F.size(a) - 1)).alias("high"), start(s, i).alias("start"), end(i).alias("end"))
+        return F.filter(F.transform(a, part), lambda p: p["start"] <= p["end"])
+
+    rows = df.select("*", F.explode(curves.let(anchors, parts)).alias("_p")).select("*", F.explode(F.sequence("_p.start", "_p.end")).alias("x"))
+    low, high = F.col("_p.low"), F.col("_p.high")
+    t = F.when(high["d"] > low["d"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x") - low["d"]) / (high["d"] - low["d"])))).otherwise(0.0)
+    return rows.select(*df.columns, "x", *[F.floor(low[c] + (high[c] - low[c]) * t + HALF).cast("long").alias(c) for c in "rgb"])

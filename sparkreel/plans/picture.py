@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import align, identity, raster, tone
 from sparkreel.plans.base import GRAY8, MARKERS, RESPONSE, gray8, markers, query, response
-from sparkreel.session import table
+from sparkreel.session import spread, table
 
 HIST = "h as (select a.img, b.gray, count(px.gray) n from (select distinct img from px) a cross join (select unnest(range(0, 256)) gray) b left join px on px.img = a.img and px.gray = b.gray group by a.img, b.gray)"
 
@@ -185,9 +185,9 @@ def ink_ramps(spark, d):
     s = F.col("p_size")
     stop = lambda at, r, g, b: F.struct(at.cast("double").alias("d"), F.lit(r).alias("r"), g.cast("int").alias("g"), F.lit(b).alias("b"))
     stops = F.array(stop(s * 3, 200, F.lit(180), 160), stop(F.least(F.lit(255.0), s + 60.5 * (s % 4)), 10, 20 + s, 30))
-    ramp = tone.ink_ramp(F.when(s % 5 > 0, stops), F.struct(s.alias("r"), F.lit(40).alias("g"), F.lit(50).alias("b")))
-    rows = table(spark, d, "part").select("p_partkey", F.posexplode(ramp).alias("x", "c"))
-    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(f"c.{k}") * (F.col("x") + 1)).alias(k) for k in "rgb"])
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = tone.ink_ramps(parts, F.when(s % 5 > 0, stops), F.struct(s.alias("r"), F.lit(40).alias("g"), F.lit(50).alias("b")))
+    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(k) * (F.col("x") + 1)).alias(k) for k in "rgb"])
 
 
 @query("with p as (select p_partkey, p_size * 3.0::double x, p_partkey % 70 * 1.0::double y from part), q as (select *, (0.9::double * x + 0.1::double * y - 4) / (0.002::double * x + 1) u, (0.05::double * x + 1.1::double * y - 3) / (0.002::double * x + 1) v from p) select p_partkey, u between 0 and 99 and v between 0 and 59 as covered from q")
