@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.operators import points
+from sparkreel.session import spread
 
 #: Markers that a scan must have before others are looked for; part of a cell's side that is sampled, in its middle.
 LEAST, INNER = 3, 0.6
@@ -24,17 +25,18 @@ def sampled_cells(quads: DataFrame, px: DataFrame, cells: int, samples: int, shi
     scan pixels; between pixels grays are bilinear. A cell with a point outside the scan has no row.
     """
     some = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = quads.withColumn("_k", some(cells * cells * samples * samples)).withColumn("cell", F.floor(F.col("_k") / (samples * samples)))
+    rows = spread(quads, "scan", "marker").withColumn("_k", some(cells * cells * samples * samples)).withColumn("cell", F.floor(F.col("_k") / (samples * samples)))
     i = F.col("_k") % (samples * samples)
     part = lambda cell, k: (cell + (1 - INNER) / 2 + INNER * (k + 0.5) / samples) / cells
     u, v = part(F.col("cell") % cells, i % samples), part(F.floor(F.col("cell") / cells), F.floor(i / samples))
     rows = rows.withColumn("_p", points.projected([F.get("h", F.lit(j)) for j in range(9)], F.col("x1") + u * (F.col("x2") - F.col("x1")), F.col("y1") + v * (F.col("y2") - F.col("y1"))))
     moved = F.array(*[F.struct(F.lit(n).alias("shift"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy")) for n, (dx, dy) in enumerate(shifts)])
-    rows = rows.select("scan", "marker", "cell", "_k", "_p", F.explode(moved).alias("m")).select("scan", "marker", "cell", "_k", "m.shift", (F.col("_p.x") + F.col("m.dx")).alias("_x"), (F.col("_p.y") + F.col("m.dy")).alias("_y"))
+    rows = rows.select("scan", "marker", "cell", "_p", F.explode(moved).alias("m")).select("scan", "marker", "cell", "m.shift", (F.col("_p.x") + F.col("m.dx")).alias("_x"), (F.col("_p.y") + F.col("m.dy")).alias("_y"))
     fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
     near = F.array(*[F.struct((F.floor("_x") + a).alias("x"), (F.floor("_y") + b).alias("y"), (wx * wy).alias("weight")) for a, wx in ((0, 1 - fx), (1, fx)) for b, wy in ((0, 1 - fy), (1, fy))])
-    rows = rows.select("scan", "marker", "cell", "_k", "shift", F.explode(near).alias("n")).select("scan", "marker", "cell", "_k", "shift", "n.*").where("weight > 0")
-    rows = rows.join(px.select("scan", "x", "y", "gray"), ["scan", "x", "y"])
+    rows = rows.select("scan", "marker", "cell", "shift", F.explode(near).alias("n")).select("scan", "marker", "cell", "shift", "n.*").where("weight > 0")
+    # a table of pixels may look small to the planner when it is made of few rows, and must not go through the driver
+    rows = rows.join(px.select("scan", "x", "y", "gray").hint("merge"), ["scan", "x", "y"])
     means = rows.groupBy("scan", "marker", "shift", "cell").agg(F.sum(F.col("gray") * F.col("weight")).alias("_s"), F.sum("weight").alias("_w"))
     return means.where(F.abs(F.col("_w") - samples * samples) < 1e-6).select("scan", "marker", "shift", "cell", (F.col("_s") / F.col("_w")).alias("mean"))
 

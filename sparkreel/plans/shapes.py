@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import components, contours, recovery
 from sparkreel.plans.base import GRAY8, gray8, query
-from sparkreel.session import table
+from sparkreel.session import spread, table
 
 _ON = "b as (select img, x, y from px where gray >= 110)"
 
@@ -87,7 +87,7 @@ def recovered_markers(spark, d):
     marks = _expected(spark, d)
     mine = marks.where("marker % 4 = 2")
     # the pixels around each lost marker, drawn from its code: white paper, black border, white bits
-    rows = mine.withColumn("x", F.explode(F.sequence(F.lit(3 + 90 * 3 // 2 - 12), F.lit(3 + 114 * 3 // 2 + 12)))).withColumn("y", F.explode(F.sequence(F.lit(2 + 15 - 12), F.lit(2 + 51 + 12))))
+    rows = spread(mine, "marker").withColumn("x", F.explode(F.sequence(F.lit(3 + 90 * 3 // 2 - 12), F.lit(3 + 114 * 3 // 2 + 12)))).withColumn("y", F.explode(F.sequence(F.lit(2 + 15 - 12), F.lit(2 + 51 + 12))))
     off = F.when(F.col("p_size") % 5 == 1, 6.0).otherwise(0.0)
     at = lambda v, o, start: F.floor(((F.col(v) - o - off) / 1.5 - F.col(start)) * 6 / _SIDE)
     rows = rows.withColumn("c", at("x", 3, "x1")).withColumn("r", at("y", 2, "y1"))

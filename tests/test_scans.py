@@ -92,3 +92,15 @@ def test_pixels_of_scans_do_not_go_through_the_driver(spark):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[scan#\d+L, sx#\d+L, sy#\d+L\]", plan)
     assert {(r["x"], r["y"]): r["gray"] for r in cut.collect()} == {(x, y): x if x == y else 255 for x in range(4) for y in range(4)}
+
+
+def test_cells_are_sampled_on_all_tasks(spark):
+    """Few lost markers have many points, and many pixels made of few rows look small to the planner: both are dealt out, none is a broadcast."""
+    line = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")))
+    px = spark.range(3).select(F.col("id").alias("scan"), line.alias("x")).withColumn("y", line).withColumn("gray", F.col("x") + F.col("y"))
+    quads = spark.createDataFrame([(k, 5, 0, 0, 24, 24, [1.0, 0.0, -0.5, 0.0, 1.0, -0.5, 0.0, 0.0, 1.0]) for k in range(3)], "scan long, marker long, x1 long, y1 long, x2 long, y2 long, h array<double>")
+    cells = recovery.sampled_cells(quads, px, 6, 4, [(0, 0)])
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[scan#\d+L, x#\d+L, y#\d+L\]", plan) and "REPARTITION_BY_NUM" in plan
+    got = {(r["scan"], r["cell"]): r["mean"] for r in cells.collect()}
+    assert len(got) == 3 * 36 and all(abs(m - (4 * (c % 6) + 4 * (c // 6) + 3)) < 1e-6 for (_, c), m in got.items())
