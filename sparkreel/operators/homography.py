@@ -11,8 +11,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from sparkreel.functions import samples
 from sparkreel.session import spread
 
-#: Rounds of samples, those tried at once, share of the points from which on a map is taken at once.
-ROUNDS, CHUNK, ENOUGH = 2000, 250, 0.95
+#: Rounds of samples, those tried at once, share of the limit below which the mean distance under a map ends the search.
+ROUNDS, CHUNK, CLOSE = 2000, 250, 0.01
 
 
 def product_sums(pairs: DataFrame, grp: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _searched(limit: float, rounds: int):
                 at = np.stack(sides, 1).astype(np.float64)
                 if len(at) not in drawn:
                     drawn[len(at)] = samples.fours(len(at), rounds) if len(at) > 4 else np.zeros((0, 4), np.int64)
-                found = samples.best(at[:, :2], at[:, 2:], drawn[len(at)], limit, ENOUGH, CHUNK)
+                found = samples.best(at[:, :2], at[:, 2:], drawn[len(at)], limit, CLOSE, CHUNK)
                 if found:
                     out.append((key, found[0].tolist(), found[1], len(at)))
             yield pd.DataFrame(out, columns=["_key", "h", "inliers", "n"])
@@ -72,10 +72,10 @@ def _searched(limit: float, rounds: int):
 
 
 def robust(pairs: DataFrame, grp: str, order: str, limit: float = 3.0, rounds: int = ROUNDS) -> DataFrame:
-    """(grp, h, inliers, n): the map with most pairs within limit among those of `rounds` samples of four, fitted anew to these pairs.
+    """(grp, h, inliers, n): the map that puts pairs closest among those of `rounds` samples of four, fitted anew to its pairs within limit.
 
-    Samples are drawn by a fixed rule from a group's pairs in the given order; the first map of most pairs counts,
-    and the first that has more than ENOUGH of them ends the search. A sample with three points in line has no map
+    Samples are drawn by a fixed rule from a group's pairs in the given order. The least sum of distances counts,
+    those beyond the limit as the limit; of equal ones the first. A mean below CLOSE of it ends the search. A sample with three points in line has no map
     of its own and does not count. Groups are sheets of a bounded number of corners, one row each; pairs without a
     number on either side are left out. Fewer than four pairs, or four within the limit, give no row; exactly four
     pairs are fitted as they are.
